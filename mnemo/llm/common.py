@@ -15,25 +15,26 @@ WORD = r"[^\x20\x09-\x0D]+"
 ASCII_SPACE = b" \t\n\x0b\x0c\r"
 
 
-def use_checkpoints(spark: SparkSession) -> None:
-    """Make ``checkpoint()`` usable: the cluster's ``spark.checkpoint.dir`` if set, else (local master only) a
+def checkpoint_folder(spark: SparkSession) -> str:
+    """Make ``checkpoint()`` usable and return its folder: the cluster's ``spark.checkpoint.dir`` if set, else (local master only) a
     folder of this machine.  On a cluster without that setting this raises: a machine-local folder would be
     lost with its executor."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is not None:
-        return
+        return sc.getCheckpointDir()
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not folder:
         if not (sc.master == "local" or sc.master.startswith("local[")):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = os.path.join(tempfile.gettempdir(), "mnemo-checkpoints")
     sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder and continue from there: later plans neither recompute it
     nor depend on executors that held its shuffle files."""
-    use_checkpoints(df.sparkSession)
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -3,12 +3,13 @@ same result where SQL can."""
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import query
-from . import bpe, embedding_dedup, language_id, mixing, quality_rules, simhash, toxicity
+from . import bpe, chat_format, embedding_dedup, language_id, licenses, mixing, quality_classifier, quality_rules, simhash, toxicity
 from .common import held_out, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -21,6 +22,12 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "evidence")
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table's sources stand for hosts and its languages for the paths below them."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    return quality_classifier.classify(docs, quality_classifier.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     found = language_id.identify(docs.select("doc_id", "text"), language_id.fit(docs), keep_text=False)
@@ -49,9 +56,25 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.annotate(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.format_pairs(table(spark, sf_dir, "conversations"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = (op1_toxicity, op2_quality_classifier, op3_language_id, op4_embedding_dedup, op5_mixing, op6_simhash, op7_bpe, op8_license_scan, op9_quality_rules, op10_chat_format, pipeline)
+
+
 def queries() -> dict:
-    return {f.__name__: query(f) for f in (op1_toxicity, op3_language_id, op4_embedding_dedup, op5_mixing, op6_simhash, op7_bpe, op9_quality_rules)}
+    return {f.__name__: query(f) for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_mixing": mixing.ORACLE_SQL}
+    found = {"op5_mixing": mixing.ORACLE_SQL, "op8_license_scan": licenses.ORACLE_SQL, "op10_chat_format": chat_format.ORACLE_SQL, "pipeline": corpus_pipeline.ORACLE_SQL}
+    return {k: v for k, v in found.items() if v}
