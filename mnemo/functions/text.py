@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Fixed patterns: words that ranking compares, and units that a budget counts (words, numbers, punctuation marks).
 RANK_TOKEN = "[a-z0-9_-]+"
@@ -57,13 +58,13 @@ def md5_int(*parts: Column | str) -> Column:
     return F.conv(F.substring(F.md5(joined), 1, 8), 16, 10).cast("long")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def normalised_value(values: pd.Series) -> pd.Series:
     """NFC, no white space at the ends, caseless: how answers are compared."""
     return values.map(lambda v: None if v is None else unicodedata.normalize("NFC", v).strip().casefold())
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def usable_value(values: pd.Series) -> pd.Series:
     """Whether a value can be quoted: not empty, trimmed, in NFC, without control characters."""
 

@@ -123,7 +123,7 @@ def blocks_of(rows: DataFrame, order: list[str], size: int = 3) -> DataFrame:
 
 def reuse_plan(cells: DataFrame, key: list[str], position: list[str], cell: str) -> DataFrame:
     """The first cell of each key is a real call; the others reuse it."""
-    first = cells.groupBy(*key).agg(F.min(F.struct(*position, cell)).alias("k")).select(*key, F.col(f"k.{cell}").alias("first_cell"))
+    first = cells.groupBy(*key).agg(F.min(F.struct(*position, cell)).alias("_first")).select(*key, F.col(f"_first.{cell}").alias("first_cell"))
     x = cells.join(first, key)
     same = F.col(cell) == F.col("first_cell")
     return x.withColumn("kind", F.when(same, F.lit("call")).otherwise(F.lit("reuse"))).withColumn("reused_from", F.when(~same, F.col("first_cell")))

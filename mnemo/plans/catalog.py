@@ -1,9 +1,16 @@
-"""Named queries over the test tables."""
+"""Named queries over the test tables, each with the SQL that states the same result where SQL can."""
+
+from __future__ import annotations
+
+from ..session import query
+from . import evaluation, memory_graph, retrieval, selection
+
+ALL = retrieval.QUERIES | memory_graph.QUERIES | evaluation.QUERIES | selection.QUERIES
 
 
 def queries() -> dict:
-    return {}
+    return {name: query(f) for name, (f, _) in ALL.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in ALL.items() if sql}
