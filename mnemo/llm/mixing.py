@@ -26,6 +26,7 @@ SHARE = 1.5
 CAP = 2.0
 SEEDS = 8
 SALTS = 16
+BROADCAST_ROWS = 20_000
 
 
 def n_words(text: Column) -> Column:
@@ -48,31 +49,42 @@ def targets(sizes: DataFrame, share: float = SHARE, cap: float = CAP, weights: t
     return t.select("source", "source_size", F.least(F.col("cap"), F.coalesce(F.col("level") * F.col("w"), F.col("cap"))).alias("target"))
 
 
+def with_rates(rows: DataFrame, rates: DataFrame, source: str, key: str) -> DataFrame:
+    """Join per-source rates to rows.  The size of ``rates`` is checked: up to BROADCAST_ROWS sources are broadcast;
+    more are joined with each source in SALTS slices, so that one source's rows never meet in one task."""
+    if rates.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(rates), F.col(f"`{source}`").eqNullSafe(F.col(key)), "inner")
+    p = private(rows, "salt", "slice")
+    cut_ = rows.withColumn(p["salt"], F.floor(F.rand(7) * SALTS).cast("int"))
+    many = rates.withColumn(p["slice"], F.explode(F.array(*[F.lit(k) for k in range(SALTS)])))
+    return cut_.join(many, F.col(f"`{source}`").eqNullSafe(F.col(key)) & (F.col(p["salt"]) == F.col(p["slice"])), "inner").drop(*p.values())
+
+
 def plan(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source", seeds: int = SEEDS) -> DataFrame:
     """(doc_id, source, size, source_size, target, copies, taken) of each row.  Texts are read once; a light table
     of ids and sizes is kept in the checkpoint folder.  Sources are pre-aggregated before any shuffle."""
     light = cut(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size")))
     per_source = light.groupBy("source").agg(F.sum("size").alias("source_size"))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    rates = targets(per_source).withColumn("rate", rate).withColumn("part", F.col("rate") - F.floor("rate"))
-    drawn = light.join(rates, light["source"].eqNullSafe(rates["source"]), "inner").drop(rates["source"])
+    rates = cut(targets(per_source).withColumn("rate", rate).withColumn("part", F.col("rate") - F.floor("rate")).withColumnRenamed("source", "of"))
+    drawn = with_rates(light, rates, "source", "of").drop("of")
     missed = [F.sum(F.when(unit_hash(str(k), F.col("doc_id")) < F.col("part"), F.col("size")).otherwise(0)).alias(f"s{k}") for k in range(seeds)]
     tried = drawn.groupBy("source", "source_size", "target", "rate", "part").agg(*missed)
     off = lambda k: F.abs(F.floor("rate") * F.col("source_size") + F.col(f"s{k}") - F.col("target"))
     best = F.array_min(F.array(*[F.struct(off(k).alias("off"), F.lit(k).alias("k")) for k in range(seeds)])).getField("k")
     chosen = cut(tried.select("source", "source_size", "target", "rate", "part", best.cast("string").alias("seed")))
     copies = F.floor("rate") + (unit_hash(F.col("seed"), F.col("doc_id")) < F.col("part")).cast("long")
-    out = light.join(chosen, light["source"].eqNullSafe(chosen["source"]), "inner").drop(chosen["source"])
+    out = with_rates(light, chosen.withColumnRenamed("source", "of"), "source", "of")
     return out.withColumn("copies", copies).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "rate", "part", "seed")
 
 
 def mixed(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
-    """The documents of the mix: each row of ``docs`` as many times as the plan takes it, with its own columns.
-    Rates per source are joined to the rows (Spark broadcasts them while they are small), so texts are not shuffled."""
+    """The documents of the mix: each row of ``docs`` as many times as the plan takes it, with its own columns.  Rates
+    per source are joined to the rows; texts are not shuffled while the sources fit a broadcast."""
     p = private(docs, "source", "rate", "part", "seed", "copies")
-    rates = plan(docs, text_col, id_col, source_col).groupBy("source").agg(*[F.first(c).alias(p[c]) for c in ("rate", "part", "seed")]).withColumnRenamed("source", p["source"])
+    rates = cut(plan(docs, text_col, id_col, source_col).groupBy("source").agg(*[F.first(c).alias(p[c]) for c in ("rate", "part", "seed")]).withColumnRenamed("source", p["source"]))
     copies = F.floor(p["rate"]) + (unit_hash(F.col(p["seed"]), F.col(f"`{id_col}`")) < F.col(p["part"])).cast("long")
-    out = docs.join(rates, F.col(f"`{source_col}`").eqNullSafe(F.col(p["source"])), "inner").withColumn(p["copies"], copies).where(F.col(p["copies"]) > 0)
+    out = with_rates(docs, rates, source_col, p["source"]).withColumn(p["copies"], copies).where(F.col(p["copies"]) > 0)
     return out.withColumn(p["copies"], F.explode(F.array_repeat(F.lit(0), F.col(p["copies"]).cast("int")))).select(*[f"`{c}`" for c in docs.columns])
 
 
