@@ -264,19 +264,19 @@ def links(distinct: DataFrame, total: int, budget: int = BUDGET, node_size: int
 
 
 def classes(prints: DataFrame, budget: int = BUDGET, node_size: int | None = None) -> DataFrame:
-    """(fp, rep, component_id) of each distinct fingerprint of ``prints`` (doc_id, fp): rep is one fingerprint of its
-    component, component_id the component's smallest doc_id."""
+    """(fp, least, rep) of each distinct fingerprint of ``prints`` (doc_id, fp): its smallest doc_id, and one
+    fingerprint of its component."""
     distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     comp = components(links(distinct, distinct.count(), budget, node_size))
-    grouped = distinct.join(comp.select(F.col("node").alias("fp"), "component"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("rep"))
-    ids = grouped.groupBy("rep").agg(F.min("least").alias("component_id"))
-    return grouped.join(ids, "rep").select("fp", "least", "rep", "component_id")
+    return distinct.join(comp.select(F.col("node").alias("fp"), "component"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("rep"))
 
 
 def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", budget: int = BUDGET) -> DataFrame:
     """(doc_id, fingerprint, component_id) of each row."""
     prints = cut(fingerprints(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), keep_text=False))
-    found = classes(prints, budget).select("fp", "component_id")
+    found = classes(prints, budget)
+    ids = found.groupBy("rep").agg(F.min("least").alias("component_id"))
+    found = found.join(ids, "rep").select("fp", "component_id")
     return prints.join(found, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
