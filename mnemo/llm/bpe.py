@@ -29,8 +29,9 @@ SPACE = "\t-\r " + "".join(map(chr, (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
 PIECES = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+")
 SPACES = re.compile(f"[{SPACE}]+")
 
-#: Words whose encoding a worker remembers; the memory is emptied when full.
-REMEMBERED = 400_000
+#: Words whose encoding a worker remembers: a young and an old generation of this size each.  When the young one is
+#: full it becomes the old one; words found there move on.
+REMEMBERED = 100_000
 
 OUTPUTS = {
     "token_ids": T.ArrayType(T.IntegerType()),
@@ -61,7 +62,8 @@ class WordBpe:
         self.final = [vocab[c + suffix] for c in byte_symbols()]
         self.merges = {(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in enumerate(map(tuple, spec["model"]["merges"]))}
         self.specials = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.known: dict[str, tuple[tuple[int, ...], str, str]] = {}
+        self.young: dict[str, tuple[int, str, str]] = {}
+        self.old: dict[str, tuple[int, str, str]] = {}
 
     def merge(self, symbols: list[int]) -> list[int]:
         """Apply the merge rules to a word's symbols."""
@@ -88,28 +90,30 @@ class WordBpe:
                 heapq.heappush(heap, (rule[0], h, rule[1]))
         return [s for s in symbols if s >= 0]
 
-    def word(self, word: str) -> tuple[tuple[int, ...], str, str]:
-        """Ids of a word, as numbers, as decimal text, and as the text that they decode to."""
-        raw = word.encode("utf-8")
-        ids = self.merge([*map(self.inner.__getitem__, raw[:-1]), self.final[raw[-1]]])
-        if len(self.known) >= REMEMBERED:
-            self.known.clear()
-        found = self.known[word] = (tuple(ids), " ".join(map(str, ids)), self.decode(ids))
+    def word(self, word: str) -> tuple[int, str, str]:
+        """A word's number of tokens, ids as decimal text, and the text that they decode to."""
+        found = self.old.pop(word, None)
+        if found is None:
+            raw = word.encode("utf-8")
+            ids = self.merge([*map(self.inner.__getitem__, raw[:-1]), self.final[raw[-1]]])
+            found = len(ids), " ".join(map(str, ids)), self.decode(ids)
+        if len(self.young) >= REMEMBERED:
+            self.young, self.old = {}, self.young
+        self.young[word] = found
         return found
 
-    def parts(self, text: str) -> Iterator[tuple[tuple[int, ...], str, str]]:
+    def parts(self, text: str) -> Iterator[tuple[int, str, str]]:
         for piece in self.specials.split(text) if self.specials and "<|" in text else (text,):
             if piece in self.special:
-                yield (self.special[piece],), str(self.special[piece]), piece
+                yield 1, str(self.special[piece]), piece
             elif piece:
                 # per character lower case: the library knows no final sigma
                 plain = SPACES.sub(" ", unicodedata.normalize("NFC", piece)).replace("Σ", "σ").lower()
-                known = self.known.get
                 for w in PIECES.findall(plain):
-                    yield known(w) or self.word(w)
+                    yield self.young.get(w) or self.word(w)
 
     def encode(self, text: str | None) -> list[int]:
-        return [i for ids, _, _ in self.parts(text or "") for i in ids]
+        return [int(i) for _, ids, _ in self.parts(text or "") for i in ids.split()]
 
     def decode(self, ids) -> str:
         """Vocabulary strings of the ids, joined as the library joins them; unknown ids are left out."""
@@ -131,9 +135,9 @@ def _outputs(bpe: WordBpe, text: str | None, wanted: tuple[str, ...]) -> list:
     row, digest = [], lambda k: hashlib.sha256(" ".join([p[k] for p in parts]).encode()).hexdigest()
     for name in wanted:
         if name == "token_ids":
-            row.append([i for p in parts for i in p[0]])
+            row.append([int(i) for p in parts for i in p[1].split()])
         elif name == "n_tokens":
-            row.append(sum([len(p[0]) for p in parts]))
+            row.append(sum([p[0] for p in parts]))
         elif name == "decoded":
             row.append(" ".join([p[2] for p in parts]))
         else:

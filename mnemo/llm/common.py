@@ -76,6 +76,7 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = 8 << 20)
         step = max(1, int(batch.num_rows * limit / max(total, limit)))
         for start in range(0, batch.num_rows, step):
             yield batch.slice(start, step)
+    pa.default_memory_pool().release_unused()  # workers live on between tasks
 
 
 def column(batch: pa.RecordBatch, name: str) -> list:
