@@ -11,11 +11,10 @@ Repeated rows are encoded each on its own.  Texts of any length are encoded whol
 from __future__ import annotations
 
 import hashlib
-import heapq
 import json
 import re
 import unicodedata
-from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import pyarrow as pa
 import regex
@@ -60,34 +59,40 @@ class WordBpe:
         self.strings = {i: s for s, i in vocab.items()} | {i: s for s, i in self.special.items()}
         self.inner = [vocab[c] for c in byte_symbols()]
         self.final = [vocab[c + suffix] for c in byte_symbols()]
-        self.merges = {(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in enumerate(map(tuple, spec["model"]["merges"]))}
+        pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in spec["model"]["merges"]]
+        #: rank of a pair of ids (as one number), and the id that the rule of a rank makes
+        self.ranks = {vocab[a] << 32 | vocab[b]: rank for rank, (a, b) in enumerate(pairs)}
+        self.made = [vocab[a + b] for a, b in pairs]
         self.specials = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.young: dict[str, tuple[int, str, str]] = {}
         self.old: dict[str, tuple[int, str, str]] = {}
 
     def merge(self, symbols: list[int]) -> list[int]:
         """Apply the merge rules to a word's symbols."""
-        merges, n = self.merges, len(symbols)
-        if n == 1:
+        rank_of, made, n = self.ranks.get, self.made, len(symbols)
+        heap = []  # rank * n + position
+        for i in range(n - 1):
+            if (rank := rank_of(symbols[i] << 32 | symbols[i + 1])) is not None:
+                heap.append(rank * n + i)
+        if not heap:
             return symbols
-        before, after = list(range(-1, n - 1)), [*range(1, n), -1]
-        heap = [(*rule, i) for i in range(n - 1) if (rule := merges.get((symbols[i], symbols[i + 1])))]
-        heap = [(rank, i, new) for rank, new, i in heap]
-        heapq.heapify(heap)
+        heapify(heap)
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
         while heap:
-            _, i, new = heapq.heappop(heap)
+            rank, i = divmod(heappop(heap), n)
             j = after[i]
-            if j < 0 or symbols[i] < 0 or merges.get((symbols[i], symbols[j]), (0, -1))[1] != new:
+            if j == n or symbols[i] < 0 or rank_of(symbols[i] << 32 | symbols[j]) != rank:
                 continue  # stale: one of the two has been merged since
-            symbols[i], symbols[j] = new, -1
+            new = symbols[i] = made[rank]
+            symbols[j] = -1
             k = after[i] = after[j]
-            if k >= 0:
+            if k < n:
                 before[k] = i
-                if rule := merges.get((new, symbols[k])):
-                    heapq.heappush(heap, (rule[0], i, rule[1]))
+                if (rank := rank_of(new << 32 | symbols[k])) is not None:
+                    heappush(heap, rank * n + i)
             h = before[i]
-            if h >= 0 and (rule := merges.get((symbols[h], new))):
-                heapq.heappush(heap, (rule[0], h, rule[1]))
+            if h >= 0 and (rank := rank_of(symbols[h] << 32 | new)) is not None:
+                heappush(heap, rank * n + h)
         return [s for s in symbols if s >= 0]
 
     def word(self, word: str) -> tuple[int, str, str]:
@@ -96,21 +101,25 @@ class WordBpe:
         if found is None:
             raw = word.encode("utf-8")
             ids = self.merge([*map(self.inner.__getitem__, raw[:-1]), self.final[raw[-1]]])
-            found = len(ids), " ".join(map(str, ids)), self.decode(ids)
+            strings = self.strings
+            found = len(ids), " ".join([str(i) for i in ids]), " ".join([strings[i] for i in ids])
         if len(self.young) >= REMEMBERED:
             self.young, self.old = {}, self.young
         self.young[word] = found
         return found
 
-    def parts(self, text: str) -> Iterator[tuple[int, str, str]]:
+    def parts(self, text: str) -> list[tuple[int, str, str]]:
+        """What ``word`` gives for each piece of a text, in order."""
+        found: list[tuple[int, str, str]] = []
         for piece in self.specials.split(text) if self.specials and "<|" in text else (text,):
             if piece in self.special:
-                yield 1, str(self.special[piece]), piece
+                found.append((1, str(self.special[piece]), piece))
             elif piece:
                 # per character lower case: the library knows no final sigma
                 plain = SPACES.sub(" ", unicodedata.normalize("NFC", piece)).replace("Σ", "σ").lower()
-                for w in PIECES.findall(plain):
-                    yield self.young.get(w) or self.word(w)
+                known, word = self.young.get, self.word
+                found += [known(w) or word(w) for w in PIECES.findall(plain)]
+        return found
 
     def encode(self, text: str | None) -> list[int]:
         return [int(i) for _, ids, _ in self.parts(text or "") for i in ids.split()]
@@ -131,7 +140,7 @@ def load(path: str) -> WordBpe:
 
 
 def _outputs(bpe: WordBpe, text: str | None, wanted: tuple[str, ...]) -> list:
-    parts = list(bpe.parts(text or ""))
+    parts = bpe.parts(text or "")
     row, digest = [], lambda k: hashlib.sha256(" ".join([p[k] for p in parts]).encode()).hexdigest()
     for name in wanted:
         if name == "token_ids":
