@@ -26,7 +26,6 @@ from .common import appended, column, slices
 #: Fixed by the tokenizers library: white space as Unicode defines it, and the pre-tokenizer's pattern.
 SPACE = "\t-\r " + "".join(map(chr, (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 PIECES = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+")
-SPACES = re.compile(f"[{SPACE}]+")
 
 #: Words whose encoding a worker remembers: a young and an old generation of this size each.  When the young one is
 #: full it becomes the old one; words found there move on.
@@ -115,8 +114,9 @@ class WordBpe:
             if piece in self.special:
                 found.append((1, str(self.special[piece]), piece))
             elif piece:
-                # per character lower case: the library knows no final sigma
-                plain = SPACES.sub(" ", unicodedata.normalize("NFC", piece)).replace("Σ", "σ").lower()
+                # per character lower case: the library knows no final sigma.  Its runs of white space need not become
+                # single spaces here, since no piece holds any.
+                plain = unicodedata.normalize("NFC", piece).replace("Σ", "σ").lower()
                 known, word = self.young.get, self.word
                 found += [known(w) or word(w) for w in PIECES.findall(plain)]
         return found

@@ -70,9 +70,9 @@ class Classifier:
 
 def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", label_col: str = "quality", per_class: int = PER_CLASS) -> Classifier:
     """The classifier of at most ``per_class`` labelled documents of each class, none of them held out."""
-    chosen, weights = sampled_labels(labels, label_col, per_class, "quality")
+    chosen, totals = sampled_labels(labels, label_col, per_class, "quality")
     none = Classifier(np.zeros((0, len(NAMES))), np.zeros(0), (1.0, 1.0))
-    if chosen is None or len(weights) < 2:
+    if chosen is None or len(totals) < 2:
         return none
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "doc_id")
 
@@ -83,7 +83,8 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str
     found = rows.select("doc_id", "y", "text").mapInArrow(run, "doc_id long, y int, x array<double>").dropDuplicates(["doc_id"]).orderBy("doc_id").toArrow().to_pylist()
     if not found:
         return none
-    return Classifier(np.array([r["x"] for r in found]), np.array([r["y"] for r in found], float), (weights[0], weights[1]))
+    y = np.array([r["y"] for r in found], float)
+    return Classifier(np.array([r["x"] for r in found]), y, tuple(totals[c] / max(1, (y == c).sum()) for c in (0, 1)))
 
 
 def evidence(docs: DataFrame, model: Classifier, text_col: str = "text", out_col: str = "p_doc", keep_text: bool = True) -> DataFrame:

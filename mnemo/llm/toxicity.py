@@ -165,7 +165,7 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e
 
 def sampled_labels(labels: DataFrame, label_col: str, per_class: int, salt: str) -> tuple[DataFrame | None, dict[int, float]]:
     """At most ``per_class`` (doc_id, y) of each class 0 and 1, the first by a hash of the id, none of them held out;
-    and the number of labelled rows that one of each class stands for."""
+    and the number of labelled rows of each class."""
     y = labels.where(F.col(label_col).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     y = y.groupBy("doc_id").agg(F.max(label_col).cast("int").alias("y"))
     n = {r["y"]: r["count"] for r in y.groupBy("y").count().collect()}
@@ -173,13 +173,13 @@ def sampled_labels(labels: DataFrame, label_col: str, per_class: int, salt: str)
     out = parts[0] if parts else None
     for p in parts[1:]:
         out = out.union(p)
-    return out, {c: m / min(m, per_class) for c, m in n.items()}
+    return out, n
 
 
 def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", label_col: str = "toxic", per_class: int = PER_CLASS, vocabulary: int = VOCABULARY) -> Model:
     """The model of a bounded sample of the labelled rows that are not held out."""
-    chosen, weights = sampled_labels(labels, label_col, per_class, "toxicity")
-    if chosen is None or len(weights) < 2:
+    chosen, totals = sampled_labels(labels, label_col, per_class, "toxicity")
+    if chosen is None or len(totals) < 2:
         return Model(None, 0.0)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "doc_id")
 
@@ -216,8 +216,8 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str
         counts[r["doc_id"]][r["term"]] = r["n"]
     ids = sorted(ys)
     index = BlockMaxIndex(np.array(ids, np.int64), np.array([ys[i] for i in ids]), [counts[i] for i in ids])
-    rate = n1 * weights[1] / (n1 * weights[1] + n0 * weights[0])
-    return Model(index, rate, (weights[0], weights[1]))
+    # an example weighs as many labelled rows as it stands for
+    return Model(index, totals[1] / (totals[0] + totals[1]), (totals[0] / n0, totals[1] / n1))
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", keep_text: bool = True, prefix: str = "") -> DataFrame:
