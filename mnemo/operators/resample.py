@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -97,16 +98,21 @@ def sequential_dedupe(rows: DataFrame, order: str, profile: str, summary: str, i
         nodes = keep(nodes.join(by_p, "p").select("p", "s", "k", F.col("gp").alias("g"), (F.col("gp") < F.col("g")).alias("moved")))
         moved = nodes.where("moved").limit(1).count()
 
-    def scan(p: pd.DataFrame) -> pd.DataFrame:
-        profiles, summaries, out = set(), set(), []
-        for r in p.sort_values(["o", "i"]).to_dict("records"):
-            if r["p"] not in profiles and not (r["s"] and r["s"] in summaries):
-                profiles.add(r["p"])
-                summaries.add(r["s"])
-                out.append((r["p"], r["s"], r["o"], r["i"]))
-        return pd.DataFrame(out, columns=["p", "s", "o", "i"])
-
-    taken = nodes.select("g", "p", "s", "k.o", "k.i").groupBy("g").applyInPandas(scan, "p string, s string, o string, i long")
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, profiles, summaries = None, set(), set()
+        for batch in batches:
+            out = []
+            for g, p, s, o, i in batch.itertuples(index=False):
+                if g != group:
+                    group, profiles, summaries = g, set(), set()
+                if p not in profiles and not (s and s in summaries):
+                    profiles.add(p)
+                    summaries.add(s)
+                    out.append((p, s, o, i))
+            yield pd.DataFrame(out, columns=["p", "s", "o", "i"])
+
+    firsts = nodes.select("g", "p", "s", "k.o", "k.i").repartition("g").sortWithinPartitions("g", "o", "i")
+    taken = firsts.mapInPandas(scan, "p string, s string, o string, i long")
     by_profile = taken.select(F.col("p").alias("pp"), F.struct("o", "i").alias("at_p"))
     by_summary = taken.where("s <> ''").select(F.col("s").alias("ss"), F.struct("o", "i").alias("at_s"))
     x = rows.join(by_profile, F.col(profile) == F.col("pp"), "left").join(by_summary, F.col(summary) == F.col("ss"), "left")
