@@ -1,4 +1,5 @@
-"""What a Spark session needs before queries run: this package on the workers."""
+"""What a Spark session needs before queries run: this package on the workers, and Arrow batches of a bounded number of
+texts (Spark's default of 10,000 rows is meant for narrow rows)."""
 
 from __future__ import annotations
 
@@ -9,6 +10,7 @@ from functools import wraps
 
 from pyspark.sql import SparkSession
 
+BATCH_ROWS = 1000
 HERE = os.path.dirname(os.path.abspath(__file__))
 
 
@@ -16,6 +18,8 @@ def ready(spark: SparkSession) -> SparkSession:
     """Send this package to the workers, once per Spark context, so that their functions can be imported there
     whatever their path is."""
     sc = spark.sparkContext
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) == 10_000:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     if not getattr(sc, "_mnemo_sent", False):
         folder = tempfile.mkdtemp(prefix="mnemo-")
         path = os.path.join(folder, "mnemo.zip")
