@@ -55,8 +55,10 @@ def signatures(x: np.ndarray, bits: int, tables: int) -> np.ndarray:
 
 
 def matrix(lists: pa.Array) -> np.ndarray:
-    """Vectors of one length from a list column."""
-    return np.asarray(lists.flatten(), np.float64).reshape(len(lists), -1)
+    """Vectors of one length from a list column, each scaled by a power of two so that its largest component is near 1:
+    that changes no cosine, and squares neither overflow nor vanish."""
+    v = np.asarray(lists.flatten(), np.float64).reshape(len(lists), -1)
+    return np.ldexp(v, -np.frexp(np.abs(v).max(axis=1, keepdims=True))[1])
 
 
 def compare(a: dict, b: dict | None, threshold: float) -> tuple[list[np.ndarray], list[np.ndarray]]:
@@ -115,16 +117,17 @@ def linked(classes: DataFrame, threshold: float = THRESHOLD, tile: int = TILE) -
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1))
     met = met.select("cid", "t", "bucket", "slice", other.alias("o"))
     met = met.select("cid", "t", "bucket", "slice", F.least("slice", "o").alias("lo"), F.greatest("slice", "o").alias("hi"))
-    full = met.join(classes.select("cid", "m", "v"), "cid")
+    # a bucket is a hash: label and length tell apart those that collide
+    full = met.join(classes.select("cid", "m", "label", F.size("v").alias("size"), "v"), "cid")
     parts = max(int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows * tables / 100_000))
-    full = full.repartition(parts, "bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi", "t", "slice")
+    full = full.repartition(parts, "bucket", "lo", "hi").sortWithinPartitions("bucket", "label", "size", "t", "lo", "hi", "slice")
 
     def join(batches):
         held: list = []
         mark = None
 
         def results(group):
-            cid, t, bucket, s, lo, hi, m, v = group
+            cid, t, bucket, s, lo, hi, m, label, size, v = group
             part = {"cid": cid, "m": m, "x": v / np.sqrt((v * v).sum(axis=1))[:, None], "codes": signatures(v, bits, tables), "table": int(t[0])}
             cut_ = np.searchsorted(s, lo[0], side="right")
             pick = lambda k: {n: (x if n == "table" else x[k]) for n, x in part.items()}
@@ -147,9 +150,9 @@ def linked(classes: DataFrame, threshold: float = THRESHOLD, tile: int = TILE) -
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cols = [np.asarray(batch.column(k)) for k in range(7)]
-            v = batch.column(7)
-            key = np.stack([cols[2], cols[4], cols[5]], axis=1)
+            cols = [np.asarray(batch.column(k)) for k in range(9)]
+            v = batch.column(9)
+            key = np.stack([cols[k] for k in (2, 7, 8, 1, 4, 5)], axis=1)
             edges = np.r_[0, np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1, len(key)]
             done = []
             for lo, hi in zip(edges[:-1], edges[1:]):
@@ -158,13 +161,13 @@ def linked(classes: DataFrame, threshold: float = THRESHOLD, tile: int = TILE) -
                     held.append(piece)
                 else:
                     if held:
-                        done.append([np.concatenate([h[k] for h in held]) for k in range(8)])
+                        done.append([np.concatenate([h[k] for h in held]) for k in range(10)])
                     held, mark = [piece], tuple(key[lo])
             yield from flush(done)
         if held:
-            yield from flush([[np.concatenate([h[k] for h in held]) for k in range(8)]])
+            yield from flush([[np.concatenate([h[k] for h in held]) for k in range(10)]])
 
-    return full.select("cid", "t", "bucket", "slice", "lo", "hi", "m", "v").mapInArrow(join, "a long, b long, n long")
+    return full.select("cid", "t", "bucket", "slice", "lo", "hi", "m", "label", "size", "v").mapInArrow(join, "a long, b long, n long")
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD, tile: int = TILE) -> DataFrame:

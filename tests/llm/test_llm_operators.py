@@ -132,6 +132,7 @@ def test_language_mixture(spark, odd):
     (lang, share, chosen), empty_, none = language_id.infer(model, [text("en", 70) + " " + text("de", 30), "12 !", None])
     assert lang == "en" and [c[0] for c in chosen] == ["en", "de"] and abs(share - 0.7) < 0.1
     assert empty_[:2] == none[:2] == ("und", 0.0)
+    assert language_id.infer(model, ["½ ²", "½ eau"])[0][:2] == ("und", 0.0)
     found = language_id.identify(odd, model).collect()
     assert len(found) == odd.count() and all((r.lang_pred == "und") == (not re.search(r"[^\W\d_]", r.text or "")) for r in found)
     nobody = language_id.fit(empty(spark))
@@ -168,6 +169,12 @@ def test_embedding_links_and_components(spark):
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embedding_sizes_of_components(spark):
+    rows = [(1, [3e200, 4e200], 0), (2, [3e-200, 4.01e-200], 0), (3, [3.0, 4.0], 0), (4, [4.0, -3.0], 0), (5, [3.0, 4.0, 0.0], 0), (6, [3.0, 4.0], 1)]
+    got = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert {(r.vec_id, r.n_links, r.component_id) for r in got} == {(1, 2, 1), (2, 2, 1), (3, 2, 1), (4, 0, 4), (5, 0, 5), (6, 0, 6)}
+
+
 # --- mixing -------------------------------------------------------------------
 
 
