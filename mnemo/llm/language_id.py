@@ -98,7 +98,8 @@ def infer(model: LanguageModel, texts: list[str | None], penalty: float = PENALT
     """(predicted language, its proportion, selected set with proportions) of each text."""
     out: list = [(UNKNOWN, 0.0, [])] * len(texts)
     counts = [Counter(LETTERS.findall((t or "").lower())) for t in texts]
-    which = [k for k, c in enumerate(counts) if c] if model.languages else []
+    # LETTERS lets number characters such as fractions into words; a text of those alone has no letter
+    which = [k for k, c in enumerate(counts) if any(any(map(str.isalpha, w)) for w in c)] if model.languages else []
     if not which:
         return out
     words = [w for k in which for w in counts[k]]
