@@ -94,3 +94,20 @@ def normalise(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]
     e = e.join(ids.withColumnsRenamed({"node_id": "object"}).withColumn("_o", F.lit(True)), "object", "left")
     e = e.withColumn("provenance_valid", has & F.col("_s").isNotNull() & F.col("_o").isNotNull()).drop("_s", "_o")
     return nodes, e.withColumn("edge_id", F.format_string("E%03d", F.col("order").cast("long")))
+
+
+def relation_trace(relations: DataFrame, items: DataFrame, key: list[str]) -> DataFrame:
+    """For each required relation (key, relation_id, source_message_ids) the selected items (key, item_id,
+    source_message_ids) that come from all of its messages, joined by commas, and whether there is any.  That shows
+    shared provenance, not that the relation is stated correctly.  A relation without sources has no items."""
+    need = relations.select(*key, "relation_id", F.size(F.array_distinct("source_message_ids")).alias("need"), F.explode(F.array_distinct("source_message_ids")).alias("message_id"))
+    have = items.select(*key, "item_id", F.explode(F.array_distinct("source_message_ids")).alias("message_id"))
+    met = need.join(have, [*key, "message_id"]).groupBy(*key, "relation_id", "item_id", "need").agg(F.count("*").alias("n")).where("n = need")
+    met = met.groupBy(*key, "relation_id").agg(F.array_join(F.array_sort(F.collect_list("item_id")), ",").alias("item_ids"))
+    x = relations.select(*key, "relation_id").join(met, [*key, "relation_id"], "left")
+    return x.select(*key, "relation_id", F.coalesce("item_ids", F.lit("")).alias("item_ids"), F.col("item_ids").isNotNull().alias("present"))
+
+
+def unselected_reason(readable: Column, on_topic: Column, selected: Column) -> Column:
+    """Why an edge is not in the context; null for a selected one."""
+    return F.when(selected, None).when(~readable, "state not readable").when(~on_topic, "off topic").otherwise("outside the budget")

@@ -88,3 +88,28 @@ def tier_properties(selected: DataFrame, key: list[str], budget: int) -> DataFra
 def pinned(files: DataFrame, manifest: DataFrame) -> DataFrame:
     """Files (path, content) whose sha256 differs from the manifest's (path, sha256), or that one side lacks."""
     return mismatch(files.select("path", F.sha2("content", 256).alias("sha256")), manifest, ["path"], "sha256", "E-HASH")
+
+
+def same_except(run: DataFrame, reference: DataFrame, key: list[str], declared: tuple[str, ...] = (), code: str = "E-COMPAT") -> DataFrame:
+    """Rows of a run that differ from the reference in a field that is not declared to differ, or that only one has."""
+    fields = [c for c in run.columns if c not in key and c not in declared]
+    pack = lambda df, name: df.select(*key, F.struct(*[F.col(c) for c in fields]).alias(name), F.lit(True).alias(f"_{name}"))
+    x = pack(run, "a").join(pack(reference, "b"), key, "full")
+    unlike = F.concat_ws(",", *[F.when(~F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")), F.lit(c)) for c in fields])
+    x = x.withColumn("detail", F.when(F.col("_a").isNull(), "missing").when(F.col("_b").isNull(), "unexpected").otherwise(unlike))
+    return violation(x.where("detail <> ''"), code, key, F.col("detail"))
+
+
+def unsupported_causes(cases: DataFrame, code: str = "E-CAUSE") -> DataFrame:
+    """Declared causes (case_id, cause, unreachable_ids, not_retrieved_ids) that the trace does not support."""
+    none = lambda c: F.coalesce(F.size(c), F.lit(0)) <= 0
+    why = F.when((F.col("cause") == "unreachable") & none("unreachable_ids"), "all evidence was reachable").when((F.col("cause") == "not_retrieved") & none("not_retrieved_ids"), "all evidence was retrieved")
+    why = why.when((F.col("cause") == "generation") & ~(none("unreachable_ids") & none("not_retrieved_ids")), "evidence was lost before")
+    return violation(cases.withColumn("why", why).where("why IS NOT NULL"), code, ["case_id"], F.col("why"))
+
+
+def approved(files: DataFrame, approval: DataFrame) -> None:
+    """Let an execution begin only if ``approval`` (path, sha256) names each of ``files`` with the content it has now."""
+    bad = pinned(files, approval).limit(5).collect()
+    if bad or not approval.take(1):
+        raise PermissionError("not approved: " + (", ".join(r["key"] for r in bad) or "the approval is empty"))

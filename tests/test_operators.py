@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from mnemo.functions import parse
 from mnemo.functions.text import count_tokens, normalised_value, plain_spaces, ratio
-from mnemo.operators import budget, evaluate, graph, memory, metrics, perimeter, quality, ranking, resample
+from mnemo.operators import budget, evaluate, graph, intake, memory, metrics, perimeter, quality, ranking, resample
 
 
 def rows(df, *order):
@@ -287,3 +287,45 @@ def test_flags_and_fragments(spark):
     assert r.o == ["old"] and r.u == ["X-9"]
     r = spark.range(1).select(metrics.fragments(F.array(F.lit("Web"), F.lit("other")), F.array(F.lit("Web - App"))).alias("x")).first()
     assert r.x == ["Web"]
+
+
+def test_facts_keep_and_mark_what_they_cannot_support(spark):
+    schema = "scenario string, order long, text string, kind string, source_message_ids array<string>, allowed_message_ids array<string>"
+    raw = spark.createDataFrame([("A", 1, " a b ", "Fact", ["m1 "], ["m1"]), ("A", 2, None, "odd", ["m1", "m9"], ["m1"]), ("A", 3, "x", None, None, ["m1"]), ("A", 4, "x", "fact", ["m1"], None)], schema)
+    got = rows(intake.facts(raw, ("fact",)), "order")
+    assert [(r["fact_id"], r["kind_valid"], r["provenance_problem"], r["tokens"]) for r in got] == [
+        ("A-F001", True, None, 2), ("A-F002", False, "foreign messages: m9", 0), ("A-F003", False, "no source message", 1), ("A-F004", True, "foreign messages: m1", 1)]
+    assert intake.facts(raw.limit(0), ("fact",)).count() == 0
+
+
+def test_registered_proposals_without_fact_change_nothing(spark):
+    known = spark.createDataFrame([("A", "s", "F1", ["m1"], ["m1"]), ("A", "t", "F2", ["m2"], ["m1"])], "scenario string, session string, fact_id string, source_message_ids array<string>, allowed_message_ids array<string>")
+    p = spark.createDataFrame([("A", "s", 1, "F1", "k", "ADD", "v", None), ("A", "s", 2, "F2", "k", "UPDATE", "w", "A-M001"), ("A", "t", 3, "F2", "k", "UPDATE", "w", "A-M001")], "scenario string, session string, op_order long, fact_id string, claim_key string, kind string, value string, target string")
+    ops = intake.register(p, known)
+    assert [(r["op_id"], r["has_fact"], r["provenance_problem"]) for r in rows(ops, "op_order")] == [("A-OP001", True, None), ("A-OP002", False, "fact of another session"), ("A-OP003", True, "foreign messages: m2")]
+    done = rows(intake.fold_registered(ops), "op_order")
+    assert [(r["applied"], r["rejection"], r["entry_id"]) for r in done] == [(True, None, "A-M001"), (False, "provenance: fact of another session", None), (True, None, "A-M003")]
+
+
+def test_known_lists_are_whole_or_empty(spark):
+    lists = [["b", " a", "b"], ["a", "Unknown"], ["a", "U - Other"], ["x - unknown"], [None, "a"], [], None]
+    got = spark.createDataFrame([(k, v) for k, v in enumerate(lists)], "k int, v array<string>").select("k", intake.known_list(F.col("v")).alias("v"))
+    assert [r["v"] for r in rows(got, "k")] == [["a", "b"], [], [], [], [], [], []]
+
+
+def test_relation_without_sources_is_absent(spark):
+    kind = "q int, {} string, source_message_ids array<string>"
+    relations = spark.createDataFrame([(1, "r", ["a", "b", "a"]), (1, "s", []), (1, "t", None), (2, "r", ["a"])], kind.format("relation_id"))
+    items = spark.createDataFrame([(1, "i", ["b", "a", "c"]), (1, "j", ["a"]), (1, "h", ["a", "b"])], kind.format("item_id"))
+    assert [tuple(r.values()) for r in rows(graph.relation_trace(relations, items, ["q"]), "q", "relation_id")] == [(1, "r", "h,i", True), (1, "s", "", False), (1, "t", "", False), (2, "r", "", False)]
+
+
+def test_causes_and_approval(spark):
+    cases = spark.createDataFrame([("a", "unreachable", [], ["x"]), ("b", "unreachable", ["x"], []), ("c", "not_retrieved", ["x"], None), ("d", "generation", [], []), ("e", "generation", None, ["x"])], "case_id string, cause string, unreachable_ids array<string>, not_retrieved_ids array<string>")
+    assert [r["key"] for r in rows(quality.unsupported_causes(cases), "key")] == ["a", "c", "e"]
+    files = spark.createDataFrame([("p", bytearray(b"x"))], "path string, content binary")
+    good = files.select("path", F.sha2("content", 256).alias("sha256"))
+    quality.approved(files, good)
+    for bad in (good.limit(0), good.withColumn("sha256", F.lit("0"))):
+        with pytest.raises(PermissionError):
+            quality.approved(files, bad)
