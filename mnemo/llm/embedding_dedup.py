@@ -10,6 +10,8 @@ are cut into slices and compared as tiles (slice pairs), so no task holds a larg
 number of links and a forest of its links, never all pairs.  Counting the links of a crowd of m different near
 copies still takes m * m / 2 cosines, spread over tiles: the contract's counts ask for no less in general.
 
+Vectors are shuffled in the precision they come in; cosines are taken in double precision.
+
 Rows: a vector that is null, empty, zero or has null or non-finite components, or whose label is null, links with
 nothing.  Vectors of different lengths do not link.  A null id takes part; a component's id is the smallest non-null
 one (null if none) and a row with a null id is not kept.  Repeated rows are copies.
@@ -23,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import cut
 from .components import components
@@ -172,7 +175,8 @@ def linked(classes: DataFrame, threshold: float = THRESHOLD, tile: int = TILE) -
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD, tile: int = TILE) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of each row."""
-    v = F.col(vector_col).cast("array<double>")
+    single = vectors.select(vector_col).schema[0].dataType == T.ArrayType(T.FloatType(), True)
+    v = F.col(vector_col) if single else F.col(vector_col).cast("array<double>")  # single precision is shuffled as it is
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
     usable = F.col(label_col).isNotNull() & v.isNotNull() & ~F.exists(v, bad) & F.exists(v, lambda x: x != 0)
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("long").alias("label"), v.alias("v"), F.coalesce(usable, F.lit(False)).alias("ok"))

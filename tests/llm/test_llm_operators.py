@@ -167,6 +167,10 @@ def test_embedding_links_and_components(spark):
         assert Counter((r.vec_id, r.n_links, r.component_id) for r in got) == want
         assert all(r.kept == (r.vec_id == r.component_id) for r in got)
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
+    rounded = df.select("vec_id", F.col("embedding").cast("array<float>").alias("embedding"), "label")
+    as_double = rounded.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"), "label")
+    one, two = ({tuple(r) for r in embedding_dedup.near_duplicates(x, tile=64).collect()} for x in (rounded, as_double))
+    assert one == two
 
 
 def test_embedding_sizes_of_components(spark):
