@@ -10,7 +10,9 @@ are cut into slices and compared as tiles (slice pairs), so no task holds a larg
 number of links and a forest of its links, never all pairs.  Counting the links of a crowd of m different near
 copies still takes m * m / 2 cosines, spread over tiles: the contract's counts ask for no less in general.
 
-Vectors are shuffled in the precision they come in; cosines are taken in double precision.
+Before vectors move, a pass over the buckets with 128 further sign bits a vector leaves out those that resemble no other
+of their bucket (a pair at the threshold is lost with probability 1e-9 at most).  The rest are
+shuffled in the precision they come in; cosines are taken in double precision.
 
 Rows: a vector that is null, empty, zero or has null or non-finite components, or whose label is null, links with
 nothing.  Vectors of different lengths do not link.  A null id takes part; a component's id is the smallest non-null
@@ -20,6 +22,7 @@ one (null if none) and a row with a null id is not kept.  Repeated rows are copi
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +38,9 @@ THRESHOLD = 0.98
 MISS = 1e-4
 TILE = 1024
 SEED = 20240607
+#: Words of 64 sign bits in a sketch, which tells unlike vectors of a bucket apart without their components.
+SKETCH = 2
+SKETCHES = [f"s{k}" for k in range(SKETCH)]
 
 
 def plan(rows: int, threshold: float = THRESHOLD, miss: float = MISS) -> tuple[int, int]:
@@ -57,6 +63,12 @@ def signatures(x: np.ndarray, bits: int, tables: int) -> np.ndarray:
     return (signs.astype(np.int64) << np.arange(bits)).sum(axis=2)
 
 
+def sketches(x: np.ndarray) -> np.ndarray:
+    """Further sign bits (vectors x SKETCH, uint64), of planes that no table uses."""
+    planes = np.random.default_rng([SEED, 1, x.shape[1]]).standard_normal((x.shape[1], 64 * SKETCH))
+    return np.packbits(x @ planes > 0, axis=1).view("<u8")
+
+
 def matrix(lists: pa.Array) -> np.ndarray:
     """Vectors of one length from a list column, each scaled by a power of two so that its largest component is near 1:
     that changes no cosine, and squares neither overflow nor vanish."""
@@ -91,11 +103,77 @@ def compare(a: dict, b: dict | None, threshold: float) -> tuple[list[np.ndarray]
     return [cid[hit], counts[hit]], [cid[moved], cid[labels[moved]]]
 
 
+def sketch_limit(threshold: float, bits: int = 64 * SKETCH, miss: float = 1e-9) -> int:
+    """Most differing bits of two sketches that count as possibly linked: a pair at the threshold differs in more with
+    probability ``miss`` at most."""
+    p, below = math.acos(min(1.0, threshold)) / math.pi, 0.0
+    for k in range(bits):
+        below += math.comb(bits, k) * p**k * (1 - p) ** (bits - k)
+        if 1 - below <= miss:
+            return k
+    return bits
+
+
+def partnered(a: np.ndarray, b: np.ndarray | None, limit: int) -> np.ndarray:
+    """Which rows of a, or of a then b, have a row of the other side (b None: another row of a) whose sketch differs
+    in at most ``limit`` bits.  a, b: uint64 rows x SKETCH."""
+    right = a if b is None else b
+    far = sum(np.bitwise_count(a[:, None, k] ^ right[None, :, k]).astype(np.int16) for k in range(SKETCH))
+    near = far <= limit
+    if b is None:
+        np.fill_diagonal(near, False)
+        return near.any(axis=1)
+    return np.concatenate([near.any(axis=1), near.any(axis=0)])
+
+
+def runs(batches, keys: tuple[int, ...]) -> Iterator[list]:
+    """The rows of sorted batches in runs of equal keys (numbers of columns): each run's columns, numbers as numpy
+    arrays and lists as they are."""
+    held, mark = [], None
+    whole = lambda pieces: pieces[0] if len(pieces) == 1 else (np.concatenate(pieces) if isinstance(pieces[0], np.ndarray) else pa.concat_arrays(pieces))
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = [c if pa.types.is_list(c.type) else np.asarray(c) for c in batch.columns]
+        key = np.stack([cols[k] for k in keys], axis=1)
+        edges = np.r_[0, np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1, len(key)].tolist()
+        for lo, hi in zip(edges[:-1], edges[1:]):
+            piece = [c[lo:hi] for c in cols]
+            if held and (key[lo] == mark).all():
+                held.append(piece)
+                continue
+            if held:
+                yield [whole(c) for c in zip(*held)]
+            held, mark = [piece], key[lo]
+    if held:
+        yield [whole(c) for c in zip(*held)]
+
+
+def packed(parts: Iterable[list[np.ndarray]], names: list[str], rows: int = 50_000) -> Iterator[pa.RecordBatch]:
+    """Small column groups (all of one width) as batches of about ``rows`` rows; -1 in column b means null."""
+
+    def batch(some):
+        cols = [np.concatenate(c) for c in zip(*some)]
+        return pa.RecordBatch.from_arrays([pa.array(c, mask=c < 0) if n == "b" else pa.array(c) for n, c in zip(names, cols)], names)
+
+    some, n = [], 0
+    for part in parts:
+        if len(part[0]):
+            some.append(part)
+            n += len(part[0])
+        if n >= rows:
+            yield batch(some)
+            some, n = [], 0
+    if some:
+        yield batch(some)
+
+
 def linked(classes: DataFrame, threshold: float = THRESHOLD, tile: int = TILE) -> DataFrame:
     """(a, b, n) from classes (cid, label, m, v): b null: class a has n links found in some table; else a link of the
     forest."""
     rows = classes.count()
     bits, tables = plan(rows, threshold)
+    limit = sketch_limit(threshold)
 
     def sign(batches):
         for batch in batches:
@@ -105,72 +183,55 @@ def linked(classes: DataFrame, threshold: float = THRESHOLD, tile: int = TILE) -
             sizes = np.asarray(v.value_lengths())
             for size in np.unique(sizes):
                 at = np.flatnonzero(sizes == size)
-                codes = signatures(matrix(v.take(pa.array(at))), bits, tables)
+                x = matrix(v.take(pa.array(at)))
+                codes, sketch = signatures(x, bits, tables), sketches(x)
                 n = len(at)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.tile(np.asarray(cid)[at], tables)), pa.array(np.repeat(np.arange(tables, dtype=np.int32), n)), pa.array(np.tile(np.asarray(label)[at], tables)), pa.array(np.full(n * tables, size, np.int32)), pa.array(codes.T.ravel())],
-                    ["cid", "t", "label", "size", "code"],
+                    [pa.array(np.tile(np.asarray(cid)[at], tables)), pa.array(np.repeat(np.arange(tables, dtype=np.int32), n)), pa.array(np.tile(np.asarray(label)[at], tables)), pa.array(np.full(n * tables, size, np.int32)), pa.array(codes.T.ravel())]
+                    + [pa.array(np.tile(sketch[:, k].view(np.int64), tables)) for k in range(SKETCH)],
+                    ["cid", "t", "label", "size", "code", *SKETCHES],
                 )
 
-    spots = classes.select("cid", "label", "m", "v").mapInArrow(sign, "cid long, t int, label long, size int, code long")
-    spots = cut(spots.select("cid", "t", F.xxhash64("label", "size", "t", "code").alias("bucket"), F.col("code")))
+    spots = classes.select("cid", "label", "m", "v").mapInArrow(sign, "cid long, t int, label long, size int, code long, " + ", ".join(f"{c} long" for c in SKETCHES))
+    spots = cut(spots.select("cid", "t", F.xxhash64("label", "size", "t", "code").alias("bucket"), *SKETCHES))
     sizes = spots.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    met = spots.join(sizes, "bucket").select("cid", "t", "bucket", F.ceil(F.col("n") / tile).alias("slices"))
+    met = spots.join(sizes, "bucket").select("cid", "t", "bucket", *SKETCHES, F.ceil(F.col("n") / tile).alias("slices"))
     met = met.withColumn("slice", F.pmod(F.xxhash64("cid", F.lit(7)), F.col("slices")))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1))
-    met = met.select("cid", "t", "bucket", "slice", other.alias("o"))
-    met = met.select("cid", "t", "bucket", "slice", F.least("slice", "o").alias("lo"), F.greatest("slice", "o").alias("hi"))
+    met = met.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)))
+    place = ["cid", "t", "bucket", "slice", "lo", "hi"]
+    met = met.select("cid", "t", "bucket", "slice", F.least("slice", "o").alias("lo"), F.greatest("slice", "o").alias("hi"), *SKETCHES)
+    parts = max(int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows * tables / 500_000))
+    met = met.repartition(parts, "bucket", "lo", "hi").sortWithinPartitions("bucket", "t", "lo", "hi", "slice")
+
+    def sift(batches):
+        def found(group):
+            s, lo, hi = group[3:6]
+            sketch = np.stack(group[6:], axis=1).view(np.uint64)
+            cut_ = None if lo[0] == hi[0] else np.searchsorted(s, lo[0], side="right")
+            keep = partnered(sketch, None, limit) if cut_ is None else partnered(sketch[:cut_], sketch[cut_:], limit)
+            return [c[keep] for c in group[:6]]
+
+        yield from packed(map(found, runs(batches, (2, 1, 4, 5))), place)
+
+    # only rows with a partner by their sketches bring their vectors along
+    near = met.mapInArrow(sift, "cid long, t int, bucket long, slice long, lo long, hi long")
     # a bucket is a hash: label and length tell apart those that collide
-    full = met.join(classes.select("cid", "m", "label", F.size("v").alias("size"), "v"), "cid")
-    parts = max(int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows * tables / 100_000))
+    full = near.join(classes.select("cid", "m", "label", F.size("v").alias("size"), "v"), "cid")
     full = full.repartition(parts, "bucket", "lo", "hi").sortWithinPartitions("bucket", "label", "size", "t", "lo", "hi", "slice")
 
     def join(batches):
-        held: list = []
-        mark = None
-
-        def results(group):
-            cid, t, bucket, s, lo, hi, m, label, size, v = group
+        def found(group):
+            cid, t, _, s, lo, hi, m, _, _, v = group
+            v = matrix(v)
             part = {"cid": cid, "m": m, "x": v / np.sqrt((v * v).sum(axis=1))[:, None], "codes": signatures(v, bits, tables), "table": int(t[0])}
             cut_ = np.searchsorted(s, lo[0], side="right")
             pick = lambda k: {n: (x if n == "table" else x[k]) for n, x in part.items()}
-            return compare(part, None, threshold) if lo[0] == hi[0] else compare(pick(slice(0, cut_)), pick(slice(cut_, None)), threshold)
-
-        def flush(rows):
-            counts, edges = [], []
-            for g in rows:
-                c, e = results(g)
-                counts.append(c)
-                edges.append(e)
-            if not counts:
-                return
-            c = [np.concatenate([x[k] for x in counts]) for k in (0, 1)]
-            e = [np.concatenate([x[k] for x in edges]) for k in (0, 1)]
-            a = pa.array(np.concatenate([c[0], e[0]]).astype(np.int64))
-            b = pa.array(np.concatenate([np.zeros(len(c[0]), np.int64), e[1]]), mask=np.r_[np.ones(len(c[0]), bool), np.zeros(len(e[0]), bool)])
-            yield pa.RecordBatch.from_arrays([a, b, pa.array(np.concatenate([c[1], np.ones(len(e[0]), np.int64)]))], ["a", "b", "n"])
+            (a, n), (x, y) = compare(part, None, threshold) if lo[0] == hi[0] else compare(pick(slice(0, cut_)), pick(slice(cut_, None)), threshold)
+            return [np.concatenate([a, x]), np.concatenate([np.full(len(a), -1, np.int64), y]), np.concatenate([n, np.ones(len(x), np.int64)])]
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            cols = [np.asarray(batch.column(k)) for k in range(9)]
-            v = batch.column(9)
-            key = np.stack([cols[k] for k in (2, 7, 8, 1, 4, 5)], axis=1)
-            edges = np.r_[0, np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1, len(key)]
-            done = []
-            for lo, hi in zip(edges[:-1], edges[1:]):
-                piece = [*(c[lo:hi] for c in cols), matrix(v.slice(lo, hi - lo))]
-                if mark is not None and tuple(key[lo]) == mark:
-                    held.append(piece)
-                else:
-                    if held:
-                        done.append([np.concatenate([h[k] for h in held]) for k in range(10)])
-                    held, mark = [piece], tuple(key[lo])
-            yield from flush(done)
-        if held:
-            yield from flush([[np.concatenate([h[k] for h in held]) for k in range(10)]])
-
-    return full.select("cid", "t", "bucket", "slice", "lo", "hi", "m", "label", "size", "v").mapInArrow(join, "a long, b long, n long")
+        yield from packed(map(found, runs(batches, (2, 7, 8, 1, 4, 5))), ["a", "b", "n"])
+
+    return full.select(*place, "m", "label", "size", "v").mapInArrow(join, "a long, b long, n long")
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD, tile: int = TILE) -> DataFrame:
