@@ -35,7 +35,7 @@ from .components import components
 from .simhash import unite
 
 THRESHOLD = 0.98
-MISS = 1e-4
+MISS = 1e-6
 TILE = 1024
 SEED = 20240607
 #: Words of 64 sign bits in a sketch, which tells unlike vectors of a bucket apart without their components.
@@ -45,7 +45,7 @@ SKETCHES = [f"s{k}" for k in range(SKETCH)]
 
 def plan(rows: int, threshold: float = THRESHOLD, miss: float = MISS) -> tuple[int, int]:
     """Bits of a signature and number of tables for a number of vectors."""
-    bits = max(8, math.ceil(math.log2(max(2, rows / 16))))
+    bits = max(8, math.ceil(math.log2(max(2, rows / 64))))
     meet = (1 - math.acos(threshold) / math.pi) ** bits
     return bits, max(1, math.ceil(math.log(miss) / math.log(1 - meet)))
 
