@@ -1,16 +1,15 @@
 """Toxicity from the nearest labelled examples.
 
-A bounded sample of labelled documents is indexed: TF-IDF vectors (1 + ln tf, smoothed idf, unit length) over the
-words that tell the classes apart best (chi-square), as an inverted index whose posting lists are cut into blocks of
-BLOCK examples with each block's largest weight.  A query's upper bound for a block is the dot product with those
-maxima.  Blocks are scored in falling order of their bound until it falls below the k-th best exact cosine, so the
-neighbours are exact.  Votes are weighted by similarity, and a logistic fit to the examples' leave-one-out votes turns
-them into probabilities; the neighbours are returned as evidence.
+A bounded sample of labelled documents is indexed: unit vectors (1 + ln tf, smoothed idf, and more weight the better a
+word tells the classes apart by chi-square) over all words of the sample.  Cosines of a batch of queries are summed to
+single precision, and the examples that can be among the nearest by the maxima of blocks of BLOCK examples get exact
+ones, so the neighbours are exact.  Votes are weighted by similarity, and a logistic fit to the examples' leave-one-out
+votes turns them into probabilities; the neighbours are returned as evidence.
 
 Near copies within a class (by min-hashes of word shingles) are one example: else a much copied text's own words would
 look like signs of its label.
 
-Size: at most ``per_class`` examples of each class and ``vocabulary`` words, so the broadcast index has a fixed bound.
+Size: at most ``per_class`` examples of each class, so the broadcast index has the size of their texts.
 Everything else is one pass over the documents, without a shuffle.
 
 Rows: a null text is read as empty.  A text without indexed words has no neighbours and gets the calibrated score of
@@ -22,7 +21,10 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections import Counter
+from collections.abc import Iterable
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -37,9 +39,10 @@ LETTERS = re.compile(r"[^\W\d_]+")
 BLOCK = 64
 NEIGHBOURS = 15
 PER_CLASS = 4000
-VOCABULARY = 1024
-MIN_CHI2 = 25.0
-MIN_DF = 5
+FLOOR = 0.05
+CHI2 = 25.0
+MARGIN = 1e-4
+BATCH = 128
 PRIOR = 0.5
 
 EVIDENCE = T.ArrayType(T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("cosine", T.DoubleType())]))
@@ -57,67 +60,103 @@ def minhashes(ws: list[str], size: int = 3) -> list[int]:
 
 
 class BlockMaxIndex:
-    """Unit TF-IDF vectors of examples, by term, in blocks of examples."""
-
-    def __init__(self, ids: np.ndarray, labels: np.ndarray, counts: list[dict[str, int]], block: int = BLOCK):
-        n = len(ids)
-        df = Counter(t for c in counts for t in c)
-        self.terms = {t: k for k, t in enumerate(sorted(df))}
-        self.idf = np.array([math.log((1 + n) / (1 + df[t])) + 1 for t in self.terms])
-        vectors = [self.vector(c) for c in counts]
-        # examples with the same heaviest terms side by side: their blocks have few terms and tight bounds
-        order = sorted(range(n), key=lambda e: (tuple(vectors[e][0][np.argsort(-vectors[e][1], kind="stable")[:3]]), ids[e]))
-        self.ids, self.labels, self.vectors = ids[order], labels[order].astype(float), [vectors[e] for e in order]
-        self.blocks = max(1, -(-n // block))
-        term = np.concatenate([v[0] for v in self.vectors] or [np.zeros(0, np.int64)])
-        at = np.repeat(np.arange(n), [len(v[0]) for v in self.vectors])
-        weight = np.concatenate([v[1] for v in self.vectors] or [np.zeros(0)])
-        order = np.lexsort((at, term))
-        term, self.at, self.weight = term[order], at[order], weight[order]
-        cell = term * self.blocks + self.at // block
-        #: postings of term t in block b: offsets[t, b] to offsets[t, b + 1]
-        edges = np.searchsorted(cell, np.arange(len(self.terms) * self.blocks + 1))
-        self.offsets = edges
-        self.most = np.zeros(len(self.terms) * self.blocks)
-        np.maximum.at(self.most, cell, self.weight)
-        self.most = self.most.reshape(len(self.terms), self.blocks)
+    """Unit vectors of examples over all their words.  A word's weight is its idf times FLOOR + x / (x + CHI2), where x
+    is its chi-square with the label: telling words count most, and all words count.
+
+    Words of many examples are rows of a dense matrix, the others have posting lists.  Both are summed for a batch of
+    queries in single precision; the k-th largest of the maxima of blocks of ``block`` examples bounds the k-th cosine
+    from below, and all examples within MARGIN of that bound get their exact cosines."""
+
+    def __init__(self, ids: np.ndarray, labels: np.ndarray, counts: Iterable[dict[str, int]], block: int = BLOCK):
+        self.ids, self.labels, self.block, n = ids, labels.astype(float), block, len(ids)
+        known: dict[str, int] = {}
+        term, tf, size = array("i"), array("i"), array("q", [0])
+        for c in counts:
+            term.extend([known.setdefault(t, len(known)) for t in c])
+            tf.extend(c.values())
+            size.append(len(term))
+        term, tf, self.starts = np.array(term, np.int64), np.array(tf, float), np.array(size)
+        at = np.repeat(np.arange(n), np.diff(self.starts))
+        names = list(known)
+        df = np.bincount(term, minlength=len(names))
+        with_1 = np.bincount(term, self.labels[at], minlength=len(names))
+        # term numbers: words of many examples first
+        order = sorted(range(len(names)), key=lambda k: (-df[k], names[k]))
+        number = np.empty(len(names), np.int64)
+        number[order] = np.arange(len(names))
+        term, df, with_1 = number[term], df[order], with_1[order]
+        self.terms = {names[k]: e for e, k in enumerate(order)}
+        self.idf = (np.log((1 + n) / (1 + df)) + 1) * (FLOOR + telling(df, with_1, n, self.labels.sum()))
+        order = np.lexsort((term, at))
+        self.term, weight = term[order].astype(np.int32), ((1 + np.log(tf)) * self.idf[term])[order]
+        norm = np.sqrt(np.bincount(at, weight * weight, minlength=n))
+        self.weight = weight / norm[at]
+        self.dense = np.zeros(len(names))  # the query at hand
+        self.heads = int((df > n / 16).sum())
+        head = self.term < self.heads
+        self.head = np.zeros((self.heads, n), np.float32)
+        self.head[self.term[head], at[head]] = self.weight[head]
+        tail = np.flatnonzero(~head)[np.argsort(self.term[~head], kind="stable")]
+        self.at, self.part = at[tail].astype(np.int32), self.weight[tail].astype(np.float32)
+        self.edges = np.searchsorted(self.term[tail], np.arange(self.heads, len(names) + 1))
+
+    @property
+    def vectors(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        return [(self.term[a:b].astype(np.int64), self.weight[a:b]) for a, b in zip(self.starts[:-1], self.starts[1:])]
 
     def vector(self, counts: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-        own = sorted((self.terms[t], n) for t, n in counts.items() if t in self.terms)
-        t = np.array([k for k, _ in own], np.int64)
-        w = (1 + np.log(np.array([n for _, n in own], float))) * self.idf[t] if len(own) else np.zeros(0)
-        return t, w / np.sqrt((w * w).sum()) if len(own) else w
-
-    def scores(self, t: np.ndarray, w: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Examples of some blocks that share a term with the query, and their cosines."""
-        cells = (t[:, None] * self.blocks + blocks[None, :]).ravel()
-        first = self.offsets[cells]
-        size = self.offsets[cells + 1] - first
-        take = np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
-        at = self.at[take]
-        total = np.bincount(at, self.weight[take] * np.repeat(np.repeat(w, len(blocks)), size))
-        hit = np.flatnonzero(total)
-        return hit, total[hit]
-
-    def nearest(self, t: np.ndarray, w: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of largest positive cosine (ties: smaller id first), leaving one out if wanted."""
-        none = np.zeros(0, np.int64), np.zeros(0)
-        if not len(t):
-            return none
-        bound = w @ self.most[t]
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        best, cosines, done, step = *none, 0, 2
-        while done < len(order):
-            if len(best) == k and bound[order[done]] < cosines[-1] - 1e-12:
-                break
-            at, s = self.scores(t, w, np.sort(order[done : done + step]))
-            done, step = done + step, step * 2
-            keep = at != without
-            best, cosines = np.concatenate([best, at[keep]]), np.concatenate([cosines, s[keep]])
-            rank = np.lexsort((self.ids[best], -cosines.round(12)))[:k]
-            best, cosines = best[rank], cosines[rank]
-        return best, cosines
+        t = np.fromiter(map(self.terms.get, counts, repeat(-1)), np.int64, len(counts))
+        order = np.argsort(t)[np.count_nonzero(t < 0) :]
+        t = t[order]
+        w = (1 + np.log(np.fromiter(counts.values(), float, len(counts))[order])) * self.idf[t]
+        return t, w / np.sqrt((w * w).sum()) if len(t) else w
+
+    def sums(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Cosines of queries and all examples to single precision."""
+        first = [np.searchsorted(t, self.heads) for t, _ in queries]
+        q = np.zeros((len(queries), self.heads), np.float32)
+        for row, (t, w), h in zip(q, queries, first):
+            row[t[:h]] = w[:h]
+        out = q @ self.head
+        for row, (t, w), h in zip(out, queries, first):
+            a = self.edges[t[h:] - self.heads]
+            size = self.edges[t[h:] - self.heads + 1] - a
+            take = np.repeat(a - np.cumsum(size) + size, size) + np.arange(size.sum())
+            row += np.bincount(self.at[take], self.part[take] * np.repeat(w[h:], size), minlength=len(self.ids))
+        return out
+
+    def cosines(self, t: np.ndarray, w: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Exact cosines of a query and some examples."""
+        self.dense[t] = w
+        size = self.starts[at + 1] - self.starts[at]
+        take = np.repeat(self.starts[at] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        out = np.bincount(np.repeat(np.arange(len(at)), size), self.dense[self.term[take]] * self.weight[take], minlength=len(at))
+        self.dense[t] = 0
+        return out
+
+    def nearest_all(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, without: Iterable[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query the k examples of largest positive cosine (ties: smaller id first), leaving one out if wanted."""
+        sums, found = self.sums(queries), []
+        if without is not None:
+            sums[np.arange(len(queries)), list(without)] = 0
+        most = np.maximum.reduceat(sums, np.arange(0, len(self.ids), self.block), axis=1)
+        for row, m, (t, w) in zip(sums, most, queries):
+            least = np.partition(m, -k)[-k] - MARGIN if len(m) >= k else 0
+            at = np.flatnonzero(row > max(least, 0))
+            s = self.cosines(t, w, at)
+            rank = np.lexsort((self.ids[at], -s.round(12)))[:k]
+            found.append((at[rank], s[rank]))
+        return found
+
+    def nearest(self, t: np.ndarray, w: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        return self.nearest_all([(t, w)], k)[0]
+
+
+def telling(df: np.ndarray, with_1: np.ndarray, n: int, n1: float) -> np.ndarray:
+    """x / (x + CHI2) of each word's chi-square x with the label."""
+    sides = df * (n - df) * n1 * (n - n1)
+    x = n * (with_1 * (n - n1) - (df - with_1) * n1) ** 2 / np.where(sides > 0, sides, np.inf)
+    return x / (x + CHI2)
 
 
 class Model:
@@ -128,7 +167,9 @@ class Model:
         self.class_weights = class_weights
         self.beta = np.zeros(4)
         if index is not None:
-            x = np.array([self.features(*index.nearest(*v, k, without=e)) for e, v in enumerate(index.vectors)])
+            vectors, n = index.vectors, len(index.ids)
+            own = [f for e in range(0, n, BATCH) for f in index.nearest_all(vectors[e : e + BATCH], k, range(e, min(e + BATCH, n)))]
+            x = np.array([self.features(*f) for f in own])
             y = index.labels
             self.beta = logistic(x, y, np.where(y > 0, class_weights[1], class_weights[0]))
 
@@ -141,14 +182,16 @@ class Model:
         vote = ((w * y).sum() + PRIOR * self.rate) / (w.sum() + PRIOR)
         return [1.0, math.log(vote / (1 - vote)), cosines[0], 1.0]
 
-    def score(self, text: str | None) -> tuple[float, np.ndarray, np.ndarray]:
+    def scores(self, texts: list[str | None]) -> list[tuple[float, np.ndarray, np.ndarray]]:
         if self.index is None:
-            return 0.0, np.zeros(0, np.int64), np.zeros(0)
-        known = self.index.terms
-        counts = Counter([w for w in words(text) if w in known])
-        at, cosines = self.index.nearest(*self.index.vector(counts), self.k)
-        z = float(np.dot(self.beta, self.features(at, cosines)))
-        return 1 / (1 + math.exp(-min(max(z, -30), 30))), at, cosines
+            return [(0.0, np.zeros(0, np.int64), np.zeros(0))] * len(texts)
+        out = []
+        for start in range(0, len(texts), BATCH):
+            queries = [self.index.vector(Counter(words(t))) for t in texts[start : start + BATCH]]
+            for at, cosines in self.index.nearest_all(queries, self.k):
+                z = float(np.dot(self.beta, self.features(at, cosines)))
+                out.append((1 / (1 + math.exp(-min(max(z, -30), 30))), at, cosines))
+        return out
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2, rounds: int = 50) -> np.ndarray:
@@ -176,7 +219,7 @@ def sampled_labels(labels: DataFrame, label_col: str, per_class: int, salt: str)
     return out, n
 
 
-def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", label_col: str = "toxic", per_class: int = PER_CLASS, vocabulary: int = VOCABULARY) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", label_col: str = "toxic", per_class: int = PER_CLASS) -> Model:
     """The model of a bounded sample of the labelled rows that are not held out."""
     chosen, totals = sampled_labels(labels, label_col, per_class, "toxicity")
     if chosen is None or len(totals) < 2:
@@ -204,18 +247,10 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str
     if not n0 or not n1:
         return Model(None, 0.0)
     once = F.broadcast(spark.createDataFrame([(i,) for i in ys], "doc_id long"))
-    tf = read.join(once, "doc_id").select("doc_id", "y", F.explode(F.arrays_zip("terms", "ns")).alias("x")).select("doc_id", "y", F.col("x.terms").alias("term"), F.col("x.ns").alias("n"))
-    tf = tf.groupBy("doc_id", "y", "term").agg(F.max("n").alias("n"))
-    df = tf.groupBy("term").agg(F.sum(1 - F.col("y")).alias("a"), F.sum("y").alias("b")).where(F.col("a") + F.col("b") >= MIN_DF)
-    a, b, n = F.col("a").cast("double"), F.col("b").cast("double"), float(n0 + n1)
-    chi2 = n * F.pow(b * (n0 - a) - a * (n1 - b), 2) / ((a + b) * (n - a - b) * n0 * n1)
-    best = [r["term"] for r in df.withColumn("x", chi2).where(F.col("x") >= MIN_CHI2).orderBy(F.desc("x"), "term").limit(vocabulary).collect()]
-    wanted = spark.createDataFrame([(t,) for t in best], "term string")
-    counts: dict[int, dict[str, int]] = {i: {} for i in ys}
-    for r in tf.join(F.broadcast(wanted), "term").toArrow().to_pylist():
-        counts[r["doc_id"]][r["term"]] = r["n"]
+    own = read.join(once, "doc_id").select("doc_id", "terms", "ns").dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id")
+    counts = (dict(zip(t.as_py(), n.as_py())) for t, n in zip(own.column("terms"), own.column("ns")))
     ids = sorted(ys)
-    index = BlockMaxIndex(np.array(ids, np.int64), np.array([ys[i] for i in ids]), [counts[i] for i in ids])
+    index = BlockMaxIndex(np.array(ids, np.int64), np.array([ys[i] for i in ids]), counts)
     # an example weighs as many labelled rows as it stands for
     return Model(index, totals[1] / (totals[0] + totals[1]), (totals[0] / n0, totals[1] / n1))
 
@@ -233,7 +268,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", keep_text: bool
     def run(batches):
         m = shared.value
         for batch in slices(batches, text_col):
-            found = [m.score(t) for t in column(batch, text_col)]
+            found = m.scores(column(batch, text_col))
             p = np.array([f[0] for f in found])
             why = [[{"doc_id": int(m.index.ids[e]), "cosine": float(c)} for e, c in zip(at[:5], cos[:5])] for _, at, cos in found]
             yield appended(batch.select(kept), {results[0].name: pa.array(p), results[1].name: pa.array((p >= 0.5).astype(np.int32)), results[2].name: pa.array(why, kind)})

@@ -84,6 +84,19 @@ def test_toxicity_learns_and_keeps_clean(spark, odd):
     assert toxicity.score(odd, model).count() == odd.count()
 
 
+def test_toxicity_searches_all_words(spark):
+    rng = random.Random(8)
+    prose = lambda n: " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(n))
+    ids = [k for k in range(400) if zlib.crc32(str(k).encode()) % 5]
+    text = {k: prose(40) + (" zzbad" if k % 2 else "") for k in ids}
+    rare = next(k for k in ids if k % 2)  # the one example of its words
+    text[rare] = prose(40)
+    docs, lab = spark.createDataFrame(list(text.items()), "doc_id long, text string"), spark.createDataFrame([(k, k % 2) for k in ids], "doc_id long, toxic int")
+    query = spark.createDataFrame([(1000, text[rare] + " and more")], "doc_id long, text string")
+    (got,) = toxicity.score(query, toxicity.fit(docs, lab)).collect()
+    assert got.evidence[0].doc_id == rare and got.evidence[0].cosine > 0.9
+
+
 def test_toxicity_without_examples(spark, odd):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {r.score for r in toxicity.score(odd, toxicity.fit(odd, none)).collect()} == {0.0}
