@@ -6,15 +6,15 @@ single precision, and the examples that can be among the nearest by the maxima o
 ones, so the neighbours are exact.  Votes are weighted by similarity, and a logistic fit to the examples' leave-one-out
 votes turns them into probabilities; the neighbours are returned as evidence.
 
-Near copies within a class (by min-hashes of word shingles) are one example: else a much copied text's own words would
-look like signs of its label.
+Near copies within a class (Jaccard similarity of their sets of word shingles 4/5 or more) are one example: else a much
+copied text's own words would look like signs of its label.
 
 Size: at most ``per_class`` examples of each class, so the broadcast index has the size of their texts.
 Everything else is one pass over the documents, without a shuffle.
 
 Rows: a null text is read as empty.  A text without indexed words has no neighbours and gets the calibrated score of
 that case.  Null labels and ids are not learned from; of repeated label rows the largest counts; of repeated documents
-one is learned from; each row is scored.  Without any example the score is 0.  Equal cosines are ordered by example id.
+the one of the least text is learned from; each row is scored.  Without any example the score is 0.  Equal cosines are ordered by example id.
 """
 
 from __future__ import annotations
@@ -52,11 +52,38 @@ def words(text: str | None) -> list[str]:
     return LETTERS.findall((text or "").lower())
 
 
-def minhashes(ws: list[str], size: int = 3) -> list[int]:
-    """Four minimum hashes of a text's word shingles; near copies share one of them almost surely."""
+def shingles(ws: list[str], size: int = 3) -> np.ndarray:
+    """Sorted hashes of a text's different word shingles."""
     parts = {" ".join(ws[k : k + size]) for k in range(max(1, len(ws) - size + 1))}
-    h = np.array([xxhash.xxh64_intdigest(p.encode("utf-8", "surrogatepass")) for p in parts], np.uint64)
-    return [int((h * np.uint64(m) + np.uint64(m >> 7)).min() >> np.uint64(1)) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
+    return np.sort(np.array([xxhash.xxh64_intdigest(p.encode("utf-8", "surrogatepass")) for p in parts], np.uint64).view(np.int64))
+
+
+def without_near_copies(marks: list[np.ndarray]) -> list[int]:
+    """Places of the texts, in order, whose shingle sets have a Jaccard similarity under 4/5 to those of all kept before.
+
+    Sets this similar share one of their rarest fifth of shingles, so only those are looked up, and each pair found is
+    verified."""
+    every, rank, count = np.unique(np.concatenate(marks or [np.zeros(0, np.int64)]), return_inverse=True, return_counts=True)
+    rarity = np.empty(len(every), np.int64)
+    rarity[np.argsort(count, kind="stable")] = np.arange(len(every))
+    once = int((count == 1).sum())
+    sets = [np.sort(x) for x in np.split(rarity[rank], np.cumsum([len(m) for m in marks])[:-1])] if marks else []
+    kept: list[int] = []
+    by_mark: dict[int, list[int]] = {}
+    for e, x in enumerate(sets):
+        rare = [m for m in x[: len(x) - (4 * len(x) + 4) // 5 + 1].tolist() if m >= once]  # others are in one text only
+        for o in {o for m in rare for o in by_mark.get(m, ())}:
+            y = sets[o]
+            if 5 * min(len(x), len(y)) < 4 * max(len(x), len(y)):
+                continue
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            if 5 * both >= 4 * (len(x) + len(y) - both):
+                break
+        else:
+            kept.append(e)
+            for m in rare:
+                by_mark.setdefault(m, []).append(e)
+    return kept
 
 
 class BlockMaxIndex:
@@ -229,25 +256,25 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str
     def terms(batches):
         for batch in slices(batches, "text"):
             found = [(w, Counter(w)) for w in map(words, column(batch, "text"))]
-            marks = pa.array([minhashes(w) for w, _ in found], pa.list_(pa.int64()))
+            marks = pa.array([shingles(w) for w, _ in found], pa.list_(pa.int64()))
             more = {"terms": pa.array([list(c) for _, c in found], pa.list_(pa.string())), "ns": pa.array([list(c.values()) for _, c in found], pa.list_(pa.int32())), "marks": marks}
             yield appended(batch.select(["doc_id", "y"]), more)
 
-    read = cut(rows.select("doc_id", "y", "text").mapInArrow(terms, "doc_id long, y int, terms array<string>, ns array<int>, marks array<long>"))
-    seen: set[tuple] = set()
+    rows = rows.groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    read = cut(rows.mapInArrow(terms, "doc_id long, y int, terms array<string>, ns array<int>, marks array<long>"))
     ys: dict[int, int] = {}
-    for r in sorted(read.select("doc_id", "y", "marks").toArrow().to_pylist(), key=lambda r: r["doc_id"]):
-        marks = {(r["y"], k, m) for k, m in enumerate(r["marks"])}
-        if not marks & seen and r["doc_id"] not in ys:  # the first of a group of near copies
-            ys[r["doc_id"]] = r["y"]
-        seen |= marks
+    for y in (0, 1):
+        own = read.where(F.col("y") == y).select("doc_id", "marks").toArrow().sort_by("doc_id")
+        ids = own.column("doc_id").to_pylist()
+        marks = [m.values.to_numpy() for m in own.column("marks")]
+        ys |= {ids[k]: y for k in without_near_copies(marks)}
     spark = docs.sparkSession
     n1 = sum(ys.values())
     n0 = len(ys) - n1
     if not n0 or not n1:
         return Model(None, 0.0)
     once = F.broadcast(spark.createDataFrame([(i,) for i in ys], "doc_id long"))
-    own = read.join(once, "doc_id").select("doc_id", "terms", "ns").dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id")
+    own = read.join(once, "doc_id").select("doc_id", "terms", "ns").toArrow().sort_by("doc_id")
     counts = (dict(zip(t.as_py(), n.as_py())) for t, n in zip(own.column("terms"), own.column("ns")))
     ids = sorted(ys)
     index = BlockMaxIndex(np.array(ids, np.int64), np.array([ys[i] for i in ids]), counts)

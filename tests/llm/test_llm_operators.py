@@ -97,6 +97,30 @@ def test_toxicity_searches_all_words(spark):
     assert got.evidence[0].doc_id == rare and got.evidence[0].cosine > 0.9
 
 
+def test_toxicity_drops_only_near_copies(spark):
+    rng = random.Random(9)
+    prose = lambda n: " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(n))
+    ids = [k for k in range(150) if zlib.crc32(str(k).encode()) % 5]
+    shared = prose(30)
+    text = {k: f"{shared} {prose(20)}" for k in ids}  # one passage in all, Jaccard under 0.5
+    copies = [k for k in ids if k % 2][10:14]
+    text |= {k: text[copies[0]] + " x" * (k == copies[-1]) for k in copies}
+    docs, lab = spark.createDataFrame(list(text.items()), "doc_id long, text string"), spark.createDataFrame([(k, k % 2) for k in ids], "doc_id long, toxic int")
+    assert toxicity.fit(docs, lab).index.ids.tolist() == [k for k in ids if k not in copies[1:]]
+
+
+def test_toxicity_near_copies_by_brute_force():
+    rng = np.random.default_rng(10)
+    base = [rng.integers(0, 1000, 50) for _ in range(8)]
+    sets = [np.unique(np.concatenate([rng.permutation(base[k % 8])[: rng.integers(35, 50)], rng.integers(0, 1000, rng.integers(0, 6))])) for k in range(200)]
+    sets += [np.array([5]), np.array([5]), np.zeros(0, np.int64)]
+    kept = []
+    for e, x in enumerate(sets):
+        if not any(5 * len(set(x) & set(sets[o])) >= 4 * len(set(x) | set(sets[o])) for o in kept if len(x)):
+            kept.append(e)
+    assert toxicity.without_near_copies(sets) == kept and 8 < len(kept) < 200
+
+
 def test_toxicity_without_examples(spark, odd):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {r.score for r in toxicity.score(odd, toxicity.fit(odd, none)).collect()} == {0.0}
