@@ -1,13 +1,16 @@
 """License scans by sentence rules, with DataFrame functions only.
 
-Texts are cut into sentences, each is normalised (lower case, other than a-z and 0-9 to one space) and looked up among
-known licence sentences; unknown ones are left out.  The identifiers in order form a sequence, and the rules are
+Texts are normalised whole (lower case, other than a-z and 0-9 to one space, so line breaks, comment marks and
+semicolons cut nothing) and searched for known licence sentences, the leftmost longest first; other words are left out.
+The identifiers in order form a sequence, and the rules are
 matched against it in their own order: a rule that finds its identifiers side by side takes them out, so later, more
 general rules do not match them again.
 
 Rows: a null or empty text has no sentences.  Repeated sentences give repeated identifiers; a rule that matches more
 than once is reported once.  Without a match ``licenses`` is "" and ``n_known`` counts the known sentences (0 or more).
 Every row is reported on its own; texts are scanned whole; no shuffle.
+
+The SQL states the older result, of sentences between line breaks and marks; it has tables of its own.
 """
 
 from __future__ import annotations
@@ -15,8 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Sentences of public licences and their usual notices, normalised.
-SENTENCES = {
+#: The tables of the SQL: sentences of public licences and their usual notices, normalised.
+SQL_SENTENCES = {
     "apache-by": "licensed under the apache license version 2 0",
     "apache-the": "licensed under the apache license version 2 0 the license",
     "apache-use": "you may not use this file except in compliance with the license",
@@ -44,7 +47,7 @@ SENTENCES = {
 }
 
 #: Rules in the order in which they are tried: (licence, kind, identifiers side by side).
-RULES = (
+SQL_RULES = (
     ("Apache-2.0", "notice", ("apache-the", "apache-use", "apache-copy")),
     ("Apache-2.0", "notice", ("apache-by", "apache-use", "apache-copy")),
     ("GPL-3.0-or-later", "notice", ("gpl-free", "gpl-hope", "gpl-received")),
@@ -67,18 +70,56 @@ RULES = (
     ("CC0-1.0", "reference", ("cc0-by",)),
 )
 
-SPLIT = r"[.!?;]+[ \t\r]+|[\r\n]+"
+SQL_SPLIT = r"[.!?;]+[ \t\r]+|[\r\n]+"
+SQL_ANCHOR = "licen|permission|redistribut|warrant|copyright|free software|gnu general"
+
+_GPL = "this program is free software you can redistribute it and or modify it under the terms of the gnu {}general public license as published by the free software foundation either version {} of the license or at your option any later version"
+_RECEIVED = "you should have received a copy of the gnu {}general public license along with this program"
+
+#: Whole sentences, normalised.
+SENTENCES = SQL_SENTENCES | {
+    "mit-grant": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions",
+    "as-is": "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement",
+    "gpl2-free": _GPL.format("", "2"),
+    "lgpl3-free": _GPL.format("lesser ", "3"),
+    "lgpl21-free": _GPL.format("lesser ", "2 1"),
+    "agpl3-free": _GPL.format("affero ", "3"),
+    "lgpl-received": _RECEIVED.format("lesser "),
+    "agpl-received": _RECEIVED.format("affero "),
+    "bsd-endorse": "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    "isc-grant": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+}
+
+#: Identifiers of all forms: whole sentences, their known beginnings, and the library's own wording of GNU notices.
+FORMS = {s: i for i, s in [*SQL_SENTENCES.items(), *SENTENCES.items()]}
+FORMS |= {s.replace("this program", "this library"): i for s, i in FORMS.items() if "gpl" in i}
+FORMS |= {s.replace("and or distribute", "and distribute"): i for s, i in FORMS.items() if i == "isc-grant"}
+
+RULES = (
+    ("GPL-2.0-or-later", "notice", ("gpl2-free", "gpl-hope", "gpl-received")),
+    ("LGPL-3.0-or-later", "notice", ("lgpl3-free", "gpl-hope", "lgpl-received")),
+    ("LGPL-2.1-or-later", "notice", ("lgpl21-free", "gpl-hope", "lgpl-received")),
+    ("AGPL-3.0-or-later", "notice", ("agpl3-free", "gpl-hope", "agpl-received")),
+    ("BSD-3-Clause", "text", ("bsd-redist", "bsd-source", "bsd-binary", "bsd-endorse")),
+    *SQL_RULES,
+    ("GPL-2.0-or-later", "reference", ("gpl2-free",)),
+    ("LGPL-3.0-or-later", "reference", ("lgpl3-free",)),
+    ("LGPL-2.1-or-later", "reference", ("lgpl21-free",)),
+    ("AGPL-3.0-or-later", "reference", ("agpl3-free",)),
+    ("ISC", "text", ("isc-grant",)),
+)
+
 #: Every known sentence holds one of these, unchanged by normalisation, so a text without them has none.
-ANCHOR = "licen|permission|redistribut|warrant|copyright|free software|gnu general"
+ANCHOR = SQL_ANCHOR
 
 
 def sentence_ids(text: Column) -> Column:
     """Identifiers of a text's known sentences, in order."""
-    known = F.create_map(*[F.lit(x) for i, s in SENTENCES.items() for x in (s, i)])
+    known = F.create_map(*[F.lit(x) for pair in FORMS.items() for x in pair])
     low = F.lower(text)
-    plain = F.transform(F.split(low, SPLIT), lambda s: F.trim(F.regexp_replace(s, "[^a-z0-9]+", " ")))
-    found = F.filter(F.transform(plain, lambda s: F.try_element_at(known, s)), lambda i: i.isNotNull())
-    return F.when(low.rlike(ANCHOR), found).otherwise(F.array().cast("array<string>"))
+    any_form = r"\b(?:" + "|".join(sorted(FORMS, key=lambda s: (-len(s), s))) + r")\b"
+    found = F.regexp_extract_all(F.regexp_replace(low, "[^a-z0-9]+", " "), F.lit(any_form), F.lit(0))
+    return F.when(low.rlike(ANCHOR), F.transform(found, lambda s: F.element_at(known, s))).otherwise(F.array().cast("array<string>"))
 
 
 def scan(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -98,17 +139,17 @@ def scan(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> Dat
 
 
 def _oracle() -> str:
-    known = " UNION ALL ".join(f"SELECT '{s}' AS s, '{i}' AS i" for i, s in SENTENCES.items())
+    known = " UNION ALL ".join(f"SELECT '{s}' AS s, '{i}' AS i" for i, s in SQL_SENTENCES.items())
     steps, last = [], "seqs"
-    for k, (_, _, ids) in enumerate(RULES):
+    for k, (_, _, ids) in enumerate(SQL_RULES):
         steps.append(f"r{k} AS (SELECT *, replace(rest{k}, ';{';'.join(ids)};', ';|;') AS rest{k + 1} FROM {last})")
         last = f"r{k}"
-    case = lambda mark: ", ".join(f"CASE WHEN rest{k} <> rest{k + 1} THEN '{mark(r)}' END" for k, r in enumerate(RULES))
+    case = lambda mark: ", ".join(f"CASE WHEN rest{k} <> rest{k + 1} THEN '{mark(r)}' END" for k, r in enumerate(SQL_RULES))
     sql = lambda mark: f"coalesce(array_to_string(list_sort(list_distinct(list_filter([{case(mark)}], lambda v: v IS NOT NULL))), ','), '')"
     return f"""
 WITH known AS ({known}),
-parts AS (SELECT rowid_, doc_id, unnest(string_split_regex(lower(text), '{SPLIT}')) AS s, generate_subscripts(string_split_regex(lower(text), '{SPLIT}'), 1) AS pos
-  FROM (SELECT row_number() OVER () AS rowid_, doc_id, text FROM documents) WHERE regexp_matches(lower(text), '{ANCHOR}')),
+parts AS (SELECT rowid_, doc_id, unnest(string_split_regex(lower(text), '{SQL_SPLIT}')) AS s, generate_subscripts(string_split_regex(lower(text), '{SQL_SPLIT}'), 1) AS pos
+  FROM (SELECT row_number() OVER () AS rowid_, doc_id, text FROM documents) WHERE regexp_matches(lower(text), '{SQL_ANCHOR}')),
 found AS (SELECT rowid_, pos, k.i FROM parts JOIN known k ON trim(regexp_replace(parts.s, '[^a-z0-9]+', ' ', 'g')) = k.s),
 per AS (SELECT rowid_, count(*) AS n, string_agg(i, ',' ORDER BY pos) AS ids, ';' || string_agg(i || ';', '' ORDER BY pos) AS rest0 FROM found GROUP BY rowid_),
 seqs AS (SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_known, coalesce(ids, '') AS sentence_ids, coalesce(rest0, ';') AS rest0

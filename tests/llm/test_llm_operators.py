@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -409,6 +410,22 @@ def test_licenses(spark, odd):
     assert licenses.scan(empty(spark)).count() == 0
 
 
+MIT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."
+GPL = "This {0} is free software{1} you can redistribute it and/or modify it under the terms of the GNU {2}General Public License as published by the Free Software Foundation, either version {3} of the License, or (at your option) any later version.\n\nThis {0} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU {2}General Public License for more details.\n\nYou should have received a copy of the GNU {2}General Public License along with this {0}.  If not, see <https://www.gnu.org/licenses/>."
+BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n\n2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+ENDORSE = "\n\n3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+ISC = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."
+
+
+def test_licenses_own_texts(spark):
+    """Wrapped in comments, wrapped and on one line."""
+    want = {"MIT:text": MIT, "GPL-3.0-or-later:notice": GPL.format("program", ":", "", "3"), "GPL-2.0-or-later:notice": GPL.format("program", ";", "", "2"), "LGPL-2.1-or-later:notice": GPL.format("library", ";", "Lesser ", "2.1"), "LGPL-3.0-or-later:notice": GPL.format("program", ":", "Lesser ", "3"), "AGPL-3.0-or-later:notice": GPL.format("program", ":", "Affero ", "3"), "BSD-2-Clause:text": BSD, "BSD-3-Clause:text": BSD + ENDORSE, "ISC:text": ISC}
+    wrap = lambda t, mark: "\n".join(mark + x for p in t.split("\n\n") for x in [*textwrap.wrap(p, 70), ""])
+    rows = [(k, r, t) for k, (r, t) in enumerate((r, t) for r, p in want.items() for t in (wrap(p, " * "), wrap(p, ""), p.replace("\n\n", " ")))]
+    got = {r.doc_id: r.rules for r in licenses.scan(spark.createDataFrame([(k, t) for k, _, t in rows], "doc_id long, text string")).collect()}
+    assert got == {k: r for k, r, _ in rows}
+
+
 def test_every_known_sentence_has_an_anchor():
     assert [i for i, s in licenses.SENTENCES.items() if not re.search(licenses.ANCHOR, s) and not i.startswith("ccby") and not i.startswith("as-is")] == []
 
