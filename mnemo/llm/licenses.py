@@ -87,6 +87,7 @@ SENTENCES = SQL_SENTENCES | {
     "lgpl-received": _RECEIVED.format("lesser "),
     "agpl-received": _RECEIVED.format("affero "),
     "bsd-endorse": "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    "all-rights": "all rights reserved",
     "isc-grant": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
 }
 
@@ -107,10 +108,11 @@ RULES = (
     ("LGPL-2.1-or-later", "reference", ("lgpl21-free",)),
     ("AGPL-3.0-or-later", "reference", ("agpl3-free",)),
     ("ISC", "text", ("isc-grant",)),
+    ("Proprietary", "notice", ("all-rights",)),
 )
 
 #: Every known sentence holds one of these, unchanged by normalisation, so a text without them has none.
-ANCHOR = SQL_ANCHOR
+ANCHOR = SQL_ANCHOR + "|all[^a-z0-9]+rights[^a-z0-9]+reserved"
 
 
 def sentence_ids(text: Column) -> Column:

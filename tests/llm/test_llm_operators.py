@@ -426,6 +426,12 @@ def test_licenses_own_texts(spark):
     assert got == {k: r for k, r, _ in rows}
 
 
+def test_licenses_all_rights_reserved(spark):
+    rows = [(1, "Prose.\nAll rights reserved."), (2, "# All rights\n# reserved."), (3, "All rights are reserved.")]
+    got = {r.doc_id: (r.n_known, r.rules, r.licenses) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (1, "Proprietary:notice", "Proprietary"), 2: (1, "Proprietary:notice", "Proprietary"), 3: (0, "", "")}
+
+
 def test_every_known_sentence_has_an_anchor():
     assert [i for i, s in licenses.SENTENCES.items() if not re.search(licenses.ANCHOR, s) and not i.startswith("ccby") and not i.startswith("as-is")] == []
 
