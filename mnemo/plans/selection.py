@@ -57,8 +57,8 @@ def greedy_strata(spark, d):
 
 
 def sequential_dedupe(spark, d):
-    """Profile: language, source and size class; summary: the first 200 characters' plain text."""
-    x = table(spark, d, "documents").select("doc_id", F.concat_ws("|", "lang", "source", F.floor(F.col("n_chars") / 100).cast("string")).alias("profile"), F.md5(plain_spaces(F.substring("text", 1, 200))).alias("summary"))
+    """Profile: language, source and size class; summary: the plain text."""
+    x = table(spark, d, "documents").select("doc_id", F.concat_ws("|", "lang", "source", F.floor(F.col("n_chars") / 100).cast("string")).alias("profile"), F.md5(plain_spaces(F.col("text"))).alias("summary"))
     x = x.withColumn("rank_key", F.sha2(F.concat_ws(":", F.lit(SEED), F.col("doc_id").cast("string")), 256))
     return resample.sequential_dedupe(x, "rank_key", "profile", "summary", "doc_id")
 

@@ -329,3 +329,12 @@ def test_causes_and_approval(spark):
     for bad in (good.limit(0), good.withColumn("sha256", F.lit("0"))):
         with pytest.raises(PermissionError):
             quality.approved(files, bad)
+
+
+def test_sequential_dedupe_reads_whole_texts(spark, tmp_path):
+    from mnemo.plans import selection
+
+    rows = [(k, "same opening " * 20 + end, f"l{k}", "s", 300) for k, end in enumerate(("one", "two", "TWO "))]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(r.decision for r in selection.sequential_dedupe(spark, str(tmp_path)).collect())
+    assert got == ["repeated_summary", "selected", "selected"]
