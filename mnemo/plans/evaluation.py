@@ -120,7 +120,7 @@ def merit_changes(spark, d):
 
 def value_normalisation(spark, d):
     """Values as answers are compared: composed, trimmed, caseless."""
-    x = table(spark, d, "documents").select("doc_id", F.concat(F.lit(" "), F.substring("text", 1, 40), F.lit("\t")).alias("v"))
+    x = table(spark, d, "documents").select("doc_id", F.concat(F.lit(" "), F.col("text"), F.lit("\t")).alias("v"))
     return x.select("doc_id", F.md5(normalised_value("v")).alias("md5"))
 
 

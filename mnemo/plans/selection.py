@@ -180,8 +180,9 @@ def anonymize_roundtrip(spark, d):
 
 
 def usable_values(spark, d):
-    x = table(spark, d, "documents").withColumn("v", F.split_part("text", F.lit("\n"), F.lit(1)))
-    return x.select("doc_id", usable_value("v").alias("usable"))
+    """Each line of each document, numbered from 0; a null text is one line."""
+    x = table(spark, d, "documents").select("doc_id", F.posexplode_outer(F.split("text", "\n")).alias("line", "v"))
+    return x.select("doc_id", F.coalesce("line", F.lit(0)).cast("long").alias("line"), usable_value("v").alias("usable"))
 
 
 def phase_and_split(spark, d):

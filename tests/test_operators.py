@@ -338,3 +338,17 @@ def test_sequential_dedupe_reads_whole_texts(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     got = sorted(r.decision for r in selection.sequential_dedupe(spark, str(tmp_path)).collect())
     assert got == ["repeated_summary", "selected", "selected"]
+
+
+def test_values_are_whole_texts(spark, tmp_path):
+    import hashlib
+    import unicodedata
+
+    from mnemo.plans import evaluation, selection
+
+    texts = ["a" * 50 + "E\u0301 One", "a" * 50 + "\u00c9 one", "good\nbad\x01\ne\u0301\nfine", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.md5 for r in evaluation.value_normalisation(spark, str(tmp_path)).collect()}
+    assert got == {k: t and hashlib.md5(unicodedata.normalize("NFC", t).strip().casefold().encode()).hexdigest() for k, t in enumerate(texts)}
+    used = {(r.doc_id, r.line): r.usable for r in selection.usable_values(spark, str(tmp_path)).collect()}
+    assert used == {(0, 0): False, (1, 0): True, (2, 0): True, (2, 1): False, (2, 2): False, (2, 3): True, (3, 0): False}
