@@ -30,7 +30,6 @@ from .common import appended, column, held_out, slices, unit_hash
 LETTERS = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 PER_LANGUAGE = 600
-TRIGRAMS = 200_000
 SMOOTH = 0.1
 PENALTY = 4.0
 ROUNDS = 25
@@ -135,7 +134,7 @@ def infer(model: LanguageModel, texts: list[str | None], penalty: float = PENALT
     return out
 
 
-def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", per_language: int = PER_LANGUAGE, limit: int = TRIGRAMS) -> LanguageModel:
+def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", per_language: int = PER_LANGUAGE) -> LanguageModel:
     """Trigram counts of about ``per_language`` documents of each language, none of them held out."""
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(F.col(id_col)))
     n = {r["lang"]: r["count"] for r in rows.groupBy(F.col(lang_col).alias("lang")).count().collect()}
@@ -154,7 +153,7 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in found], pa.string()), pa.array([k[1] for k in found], pa.string()), pa.array(list(found.values()), pa.int64())], ["lang", "gram", "n"])
 
     counts = rows.mapInArrow(grams, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    return LanguageModel({(r["lang"], r["gram"]): r["n"] for r in counts.orderBy(F.desc("n"), "lang", "gram").limit(limit).toArrow().to_pylist()})
+    return LanguageModel({(r["lang"], r["gram"]): r["n"] for r in counts.orderBy(F.desc("n"), "lang", "gram").toArrow().to_pylist()})
 
 
 def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", keep_text: bool = True) -> DataFrame:

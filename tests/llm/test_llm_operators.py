@@ -177,6 +177,14 @@ def test_language_mixture(spark, odd):
     assert {r.lang_pred for r in language_id.identify(odd, nobody).collect()} == {"und"}
 
 
+def test_language_of_few_counts_is_learned(spark):
+    letters = [chr(0x4E00 + k) for k in range(60)]
+    crowd = " ".join(a + b + c for a in letters for b in letters for c in letters)  # more than 200,000 trigrams
+    ids = [k for k in range(20) if zlib.crc32(str(k).encode()) % 5][:2]
+    docs = spark.createDataFrame([(ids[0], f"{crowd} {crowd}", "aa"), (ids[1], "some few words", "zz")], "doc_id long, text string, lang string")
+    assert language_id.infer(language_id.fit(docs), ["few words"])[0][0] == "zz"
+
+
 # --- embeddings ---------------------------------------------------------------
 
 
