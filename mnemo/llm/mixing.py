@@ -6,12 +6,19 @@ That fixed point has a closed form: with sources ordered by (cap / weight), the
 gets ``level * weight``.  A source's repetition rate is target / words; each of its documents is taken floor(rate)
 times plus one more with probability equal to the fraction, decided by a hash of its id.
 
-The Bernoulli draws of a small source can miss its target by chance.  So SEEDS hashes are tried per source and the one
-whose taken words come nearest the target is used: still one draw a document, the same in every rerun.
+Independent draws of a few long documents miss a target by chance (14 % at 50 documents a source).  So the draws are
+tied together, with each document's probability unchanged: a source's documents fall into cells of like size, longest
+first, and the k-th cell takes floor(N_k * fraction + u) - floor(N_(k-1) * fraction + u) further copies, N_k being the
+documents up to it and u a hash of the source; a cell's copies go to the documents of its smallest id hashes.  A cell of
+n documents thus takes n * fraction copies in expectation, each of its documents equally likely, and a source's number
+of copies is off by less than one.
+
+A cell is described by one number, the largest hash that is taken, so rows with texts only meet a table of cells.  That
+number is found by counting hashes per bucket and ranking one bucket a cell, of BUCKET documents in expectation.
 
 Rows: a null or wordless text has size 0 and is taken as often as any other, which adds no words.  Null sources are one
-source.  A source without words has target 0 and rate 0.  Rows with one id (or a null one) get the same draw.  An
-empty table gives an empty result.  Other columns pass through.
+source.  A source without words has target 0 and rate 0.  Rows with one id (or a null one) and like sizes get the same
+draw.  An empty table gives an empty result.  Texts are counted whole.  Other columns pass through.
 """
 
 from __future__ import annotations
@@ -24,9 +31,11 @@ from .common import WORD, cut, private, unit_hash
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
 CAP = 2.0
-SEEDS = 8
 SALTS = 16
-BROADCAST_ROWS = 20_000
+#: Rows of a table of sources or cells that is broadcast; they hold a name and a few numbers each.
+BROADCAST_ROWS = 100_000
+#: Documents of a hash bucket, in expectation.
+BUCKET = 65_536
 
 
 def n_words(text: Column) -> Column:
@@ -49,42 +58,84 @@ def targets(sizes: DataFrame, share: float = SHARE, cap: float = CAP, weights: t
     return t.select("source", "source_size", F.least(F.col("cap"), F.coalesce(F.col("level") * F.col("w"), F.col("cap"))).alias("target"))
 
 
-def with_rates(rows: DataFrame, rates: DataFrame, source: str, key: str) -> DataFrame:
-    """Join per-source rates to rows.  The size of ``rates`` is checked: up to BROADCAST_ROWS sources are broadcast;
-    more are joined with each source in SALTS slices, so that one source's rows never meet in one task."""
-    if rates.count() <= BROADCAST_ROWS:
-        return rows.join(F.broadcast(rates), F.col(f"`{source}`").eqNullSafe(F.col(key)), "inner")
+def size_class(size: Column) -> Column:
+    """A number that grows with the size: its binary length and the two digits after the first."""
+    digits = F.rpad(F.bin(size), 3, "0")
+    return F.length(F.bin(size)) * 4 + F.substring(digits, 2, 1).cast("int") * 2 + F.substring(digits, 3, 1).cast("int")
+
+
+def with_cells(rows: DataFrame, cells: DataFrame, keys: dict[str, str], id_col: str) -> DataFrame:
+    """Join a table with one row a source or cell to rows; keys: columns of rows to those of ``cells``.  The size of
+    ``cells`` is checked: up to BROADCAST_ROWS are broadcast; more are joined with each source in SALTS slices by a
+    hash of the id, so that one source's rows never meet in one task."""
+    same = lambda: [F.col(f"`{a}`").eqNullSafe(F.col(b)) for a, b in keys.items()]
+    if cells.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(cells), same(), "inner")
     p = private(rows, "salt", "slice")
-    cut_ = rows.withColumn(p["salt"], F.floor(F.rand(7) * SALTS).cast("int"))
-    many = rates.withColumn(p["slice"], F.explode(F.array(*[F.lit(k) for k in range(SALTS)])))
-    return cut_.join(many, F.col(f"`{source}`").eqNullSafe(F.col(key)) & (F.col(p["salt"]) == F.col(p["slice"])), "inner").drop(*p.values())
+    cut_ = rows.withColumn(p["salt"], F.pmod(F.xxhash64(F.col(f"`{id_col}`")), F.lit(SALTS)))
+    many = cells.withColumn(p["slice"], F.explode(F.array(*[F.lit(k).cast("long") for k in range(SALTS)])))
+    return cut_.join(many, [*same(), F.col(p["salt"]) == F.col(p["slice"])], "inner").drop(*p.values())
+
 
+def draw(id_: Column) -> Column:
+    return unit_hash("mix", id_)
 
-def plan(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source", seeds: int = SEEDS) -> DataFrame:
+
+def cell_table(light: DataFrame) -> DataFrame:
+    """(source, class, source_size, target, whole, most) of each cell of ``light`` (doc_id, source, size, class): its
+    documents are taken ``whole`` times, and once more if their hash is at most ``most`` (null: none)."""
+    counts = light.groupBy("source", "class").agg(F.count("*").alias("n"), F.sum("size").alias("words"))
+    counts = cut(counts)
+    per_source = targets(counts.groupBy("source").agg(F.sum("words").alias("source_size")))
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    per_source = per_source.select(F.col("source").alias("of"), "source_size", "target", F.floor(rate).alias("whole"), (rate - F.floor(rate)).alias("part"))
+    cells = counts.join(per_source, F.col("source").eqNullSafe(F.col("of"))).drop("of")
+    upto = Window.partitionBy("source").orderBy(F.desc("class"))
+    cells = cells.withColumn("upto", F.sum("n").over(upto)).withColumn("u", unit_hash("cells", F.col("source")))
+    copies = lambda n: F.floor(n * F.col("part") + F.col("u"))
+    cells = cells.withColumn("k", copies(F.col("upto")) - copies(F.col("upto") - F.col("n")))
+    cells = cut(cells.withColumn("buckets", F.ceil(F.col("n") / BUCKET)).select("source", "class", "n", "source_size", "target", "whole", "k", "buckets"))
+    open_ = cells.where("k > 0 AND k < n").select(F.col("source").alias("s"), F.col("class").alias("c"), "k", "buckets")
+    marked = with_cells(light, open_, {"source": "s", "class": "c"}, "doc_id").withColumn("h", draw(F.col("doc_id")))
+    marked = marked.select("source", "class", "k", "h", F.floor(F.col("h") * F.col("buckets")).alias("bucket"))
+    hist = marked.groupBy("source", "class", "bucket").agg(F.count("*").alias("m"), F.first("k").alias("k"))
+    before = Window.partitionBy("source", "class").orderBy("bucket")
+    hist = hist.withColumn("before", F.sum("m").over(before) - F.col("m")).where("before < k AND before + m >= k")
+    hist = cut(hist.select(F.col("source").alias("s"), F.col("class").alias("c"), F.col("bucket").alias("b"), "before"))
+    near = with_cells(marked, hist, {"source": "s", "class": "c", "bucket": "b"}, "h")
+    # ids that repeat are one hash, counted before hashes are ranked
+    near = near.groupBy("source", "class", "h").agg(F.count("*").alias("m"), F.first("k").alias("k"), F.first("before").alias("before"))
+    ranked = near.withColumn("upto", F.sum("m").over(Window.partitionBy("source", "class").orderBy("h")) + F.col("before"))
+    edge = ranked.where("upto >= k").groupBy("source", "class").agg(F.min("h").alias("h")).select(F.col("source").alias("s"), F.col("class").alias("c"), "h")
+    out = cells.join(edge, F.col("source").eqNullSafe(F.col("s")) & (F.col("class") == F.col("c")), "left")
+    return cut(out.select("source", "class", "source_size", "target", "whole", F.when(F.col("k") >= F.col("n"), 1.0).otherwise(F.col("h")).alias("most")))
+
+
+def sizes(docs: DataFrame, text_col: str, id_col: str, source_col: str) -> DataFrame:
+    light = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"))
+    return light.withColumn("class", size_class(F.col("size")))
+
+
+def plan(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
     """(doc_id, source, size, source_size, target, copies, taken) of each row.  Texts are read once; a light table
     of ids and sizes is kept in the checkpoint folder.  Sources are pre-aggregated before any shuffle."""
-    light = cut(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size")))
-    per_source = light.groupBy("source").agg(F.sum("size").alias("source_size"))
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    rates = cut(targets(per_source).withColumn("rate", rate).withColumn("part", F.col("rate") - F.floor("rate")).withColumnRenamed("source", "of"))
-    drawn = with_rates(light, rates, "source", "of").drop("of")
-    missed = [F.sum(F.when(unit_hash(str(k), F.col("doc_id")) < F.col("part"), F.col("size")).otherwise(0)).alias(f"s{k}") for k in range(seeds)]
-    tried = drawn.groupBy("source", "source_size", "target", "rate", "part").agg(*missed)
-    off = lambda k: F.abs(F.floor("rate") * F.col("source_size") + F.col(f"s{k}") - F.col("target"))
-    best = F.array_min(F.array(*[F.struct(off(k).alias("off"), F.lit(k).alias("k")) for k in range(seeds)])).getField("k")
-    chosen = cut(tried.select("source", "source_size", "target", "rate", "part", best.cast("string").alias("seed")))
-    copies = F.floor("rate") + (unit_hash(F.col("seed"), F.col("doc_id")) < F.col("part")).cast("long")
-    out = with_rates(light, chosen.withColumnRenamed("source", "of"), "source", "of")
-    return out.withColumn("copies", copies).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "rate", "part", "seed")
+    light = cut(sizes(docs, text_col, id_col, source_col))
+    cells = cell_table(light).withColumnsRenamed({"source": "s", "class": "c"})
+    copies = F.col("whole") + F.coalesce((draw(F.col("doc_id")) <= F.col("most")).cast("long"), F.lit(0))
+    out = with_cells(light, cells, {"source": "s", "class": "c"}, "doc_id").withColumn("copies", copies.cast("long"))
+    return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def mixed(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
-    """The documents of the mix: each row of ``docs`` as many times as the plan takes it, with its own columns.  Rates
-    per source are joined to the rows; texts are not shuffled while the sources fit a broadcast."""
-    p = private(docs, "source", "rate", "part", "seed", "copies")
-    rates = cut(plan(docs, text_col, id_col, source_col).groupBy("source").agg(*[F.first(c).alias(p[c]) for c in ("rate", "part", "seed")]).withColumnRenamed("source", p["source"]))
-    copies = F.floor(p["rate"]) + (unit_hash(F.col(p["seed"]), F.col(f"`{id_col}`")) < F.col(p["part"])).cast("long")
-    out = with_rates(docs, rates, source_col, p["source"]).withColumn(p["copies"], copies).where(F.col(p["copies"]) > 0)
+    """The documents of the mix: each row of ``docs`` as many times as the plan takes it, with its own columns.  The
+    table of cells is joined to the rows; texts are not shuffled while it fits a broadcast."""
+    p = private(docs, "source", "cell", "class", "whole", "most", "copies")
+    cells = cell_table(cut(sizes(docs, text_col, id_col, source_col)))
+    cells = cells.select(F.col("source").alias(p["source"]), F.col("class").alias(p["cell"]), F.col("whole").alias(p["whole"]), F.col("most").alias(p["most"]))
+    rows = docs.withColumn(p["class"], size_class(n_words(F.col(f"`{text_col}`"))))
+    more = F.coalesce((draw(F.col(f"`{id_col}`")) <= F.col(p["most"])).cast("long"), F.lit(0))
+    out = with_cells(rows, cells, {source_col: p["source"], p["class"]: p["cell"]}, id_col).withColumn(p["copies"], F.col(p["whole"]) + more)
+    out = out.where(F.col(p["copies"]) > 0)
     return out.withColumn(p["copies"], F.explode(F.array_repeat(F.lit(0), F.col(p["copies"]).cast("int")))).select(*[f"`{c}`" for c in docs.columns])
 
 
@@ -103,13 +154,15 @@ fill AS (
       ELSE target + w * sum(greatest(target - {CAP} * source_size, 0)) OVER () / nullif(sum(CASE WHEN target < {CAP} * source_size THEN w ELSE 0 END) OVER (), 0) END
   FROM fill WHERE round < 60),
 t AS (SELECT source, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate FROM fill WHERE round = 60),
-k AS (SELECT unnest(range({SEEDS})) AS seed),
 h AS (
-  SELECT d.doc_id, d.source, d.size, t.source_size, t.target, floor(t.rate) AS whole, k.seed,
-    (('0x' || substr(md5(k.seed || ':' || coalesce(d.doc_id::VARCHAR, 'null')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE) < t.rate - floor(t.rate) AS more
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source CROSS JOIN k),
-o AS (SELECT source, seed, abs(sum(size * (whole + more::INT)) - any_value(target)) AS off FROM h GROUP BY source, seed),
-b AS (SELECT source, seed FROM o QUALIFY row_number() OVER (PARTITION BY source ORDER BY off, seed) = 1)
-SELECT h.doc_id, h.size, h.source_size, round(h.target, 6) AS target, CAST(h.size * (h.whole + h.more::INT) AS BIGINT) AS taken
-FROM h JOIN b ON h.source IS NOT DISTINCT FROM b.source AND h.seed = b.seed
+  SELECT d.doc_id, d.source, d.size, t.source_size, t.target, floor(t.rate) AS whole, t.rate - floor(t.rate) AS part,
+    length(bin(d.size)) * 4 + substr(rpad(bin(d.size), 3, '0'), 2, 1)::INT * 2 + substr(rpad(bin(d.size), 3, '0'), 3, 1)::INT AS class,
+    ('0x' || substr(md5('mix:' || coalesce(d.doc_id::VARCHAR, 'null')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS h,
+    ('0x' || substr(md5('cells:' || coalesce(d.source, 'null')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+r AS (
+  SELECT *, count(*) OVER (PARTITION BY source ORDER BY class DESC) AS upto, count(*) OVER (PARTITION BY source, class) AS n,
+    rank() OVER (PARTITION BY source, class ORDER BY h) AS place FROM h),
+k AS (SELECT *, whole + (place <= floor(upto * part + u) - floor((upto - n) * part + u))::INT AS copies FROM r)
+SELECT doc_id, size, source_size, target, CAST(size * copies AS BIGINT) AS taken FROM k
 """

@@ -40,7 +40,7 @@ def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.plan(table(spark, sf_dir, "documents"))
-    return plan.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
+    return plan.select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
