@@ -1,8 +1,9 @@
 """Connected components of a graph given by its edges, by alternating large-star and small-star steps (Kiveris et al.,
 "Connected Components in MapReduce and Beyond", 2014).
 
-Every step joins edges with each node's smallest neighbour and aggregates with a map-side part, so a hub's edges may be
-split among tasks; nothing but two numbers an iteration reaches the driver.
+Every step joins edges with each node's smallest neighbour and aggregates with a map-side part.  Hubs, the nodes with
+more than HOT of all edge ends (1 / HOT of them at most), meet their edges by a broadcast, so no hub's edges meet in one
+task; nothing but two numbers an iteration reaches the driver.
 """
 
 from __future__ import annotations
@@ -10,20 +11,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import HOT, cut
 
 
-def _large(e: DataFrame) -> DataFrame:
+def _with_least(edges: DataFrame, least: DataFrame, ends: int) -> DataFrame:
+    """Edges (u, v) with the value m of u in ``least`` (u, m, n: edge ends of u, which are ``ends`` in all)."""
+    if ends <= 1000:
+        return edges.join(least.select("u", "m"), "u")
+    hub = F.col("n") > max(1000, HOT * ends)
+    hubs = F.broadcast(least.where(hub).select("u", "m"))
+    rest = edges.join(hubs.select("u"), "u", "left_anti").join(least.where(~hub).select("u", "m"), "u")
+    return rest.union(edges.join(hubs, "u").select(*rest.columns))
+
+
+def _large(e: DataFrame, n: int) -> DataFrame:
     """Link each node's larger neighbours to the smallest node around it.  Edges are (u, v) with u > v."""
     both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
+    return _with_least(both.where("v > u"), least, 2 * n).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
-def _small(e: DataFrame) -> DataFrame:
+def _small(e: DataFrame, n: int) -> DataFrame:
     """Link each node and its smaller neighbours to the smallest of them."""
-    least = e.groupBy("u").agg(F.min("v").alias("m"))
-    moved = e.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = e.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    moved = _with_least(e, least, n).where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -34,7 +45,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     mark = lambda x: tuple(x.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
     now = mark(e)
     while now[0]:
-        e = cut(_small(_large(e)))
+        e = cut(_small(_large(e, now[0]), now[0]))
         was, now = now, mark(e)
         if now == was:
             break

@@ -6,7 +6,8 @@ follows from it such that a pair at the threshold is missed with probability MIS
 first table where it meets, so each link counts once.
 
 Copies of one vector are one class with a multiplicity: they never expand into pairs.  Buckets above ``tile`` vectors
-are cut into slices and compared as tiles (slice pairs), so no task holds a large bucket.  A tile emits each class's
+are cut into slices and compared as tiles (slice pairs), so no task holds a large bucket; the number of slices grows
+with the square root of the bucket, and so do the copies of a vector that are shuffled.  A tile emits each class's
 number of links and a forest of its links, never all pairs.  Counting the links of a crowd of m different near
 copies still takes m * m / 2 cosines, spread over tiles: the contract's counts ask for no less in general.
 
@@ -16,7 +17,9 @@ shuffled in the precision they come in; cosines are taken in double precision.
 
 Rows: a vector that is null, empty, zero or has null or non-finite components, or whose label is null, links with
 nothing.  Vectors of different lengths do not link.  A null id takes part; a component's id is the smallest non-null
-one (null if none) and a row with a null id is not kept.  Repeated rows are copies.
+one (null if none) and a row with a null id is not kept.  Repeated rows are copies; those with the component's smallest
+id are all kept (the contract's rule).  An empty table gives an empty result.  Only the three columns are read, so
+further columns, whatever their names, play no part.
 """
 
 from __future__ import annotations
@@ -30,13 +33,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut
+from .common import cut, join_by_key
 from .components import components
 from .simhash import unite
 
 THRESHOLD = 0.98
 MISS = 1e-6
-TILE = 1024
+#: A crowd of n vectors is cut into sqrt(n / TILE) slices, of MOST vectors at most: each vector then goes to as many
+#: tiles as there are slices, and tiles stay far from a worker's memory.
+TILE = 128
+MOST = 65_536
 SEED = 20240607
 #: Words of 64 sign bits in a sketch, which tells unlike vectors of a bucket apart without their components.
 SKETCH = 2
@@ -195,7 +201,7 @@ def linked(classes: DataFrame, threshold: float = THRESHOLD, tile: int = TILE) -
     spots = classes.select("cid", "label", "m", "v").mapInArrow(sign, "cid long, t int, label long, size int, code long, " + ", ".join(f"{c} long" for c in SKETCHES))
     spots = cut(spots.select("cid", "t", F.xxhash64("label", "size", "t", "code").alias("bucket"), *SKETCHES))
     sizes = spots.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    met = spots.join(sizes, "bucket").select("cid", "t", "bucket", *SKETCHES, F.ceil(F.col("n") / tile).alias("slices"))
+    met = join_by_key(spots, sizes, ["bucket"]).select("cid", "t", "bucket", *SKETCHES, F.ceil(F.greatest(F.sqrt(F.col("n") / tile), F.col("n") / MOST)).alias("slices"))
     met = met.withColumn("slice", F.pmod(F.xxhash64("cid", F.lit(7)), F.col("slices")))
     met = met.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)))
     place = ["cid", "t", "bucket", "slice", "lo", "hi"]
@@ -241,16 +247,18 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
     usable = F.col(label_col).isNotNull() & v.isNotNull() & ~F.exists(v, bad) & F.exists(v, lambda x: x != 0)
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("long").alias("label"), v.alias("v"), F.coalesce(usable, F.lit(False)).alias("ok"))
-    rows = rows.withColumn("sig", F.when(F.col("ok"), F.struct(F.xxhash64("label", "v").alias("a"), F.xxhash64("v", F.lit(1), "label").alias("b"))))
-    classes = rows.where("ok").groupBy("sig").agg(F.min("vec_id").alias("least"), F.count("*").alias("m"), F.first("label").alias("label"), F.first("v").alias("v"))
+    rows = rows.withColumn("sig_a", F.when(F.col("ok"), F.xxhash64("label", "v"))).withColumn("sig_b", F.when(F.col("ok"), F.xxhash64("v", F.lit(1), "label")))
+    light = cut(rows.select("vec_id", "sig_a", "sig_b"))
+    classes = rows.where("ok").groupBy("sig_a", "sig_b").agg(F.min("vec_id").alias("least"), F.count("*").alias("m"), F.first("label").alias("label"), F.first("v").alias("v"))
     classes = cut(classes.withColumn("cid", F.monotonically_increasing_id()))
     found = cut(linked(classes, threshold, tile))
     counts = found.where("b IS NULL").groupBy(F.col("a").alias("cid")).agg(F.sum("n").alias("links"))
     comp = components(found.where("b IS NOT NULL").select("a", "b")).withColumnRenamed("node", "cid")
-    joined = classes.select("cid", "sig", "least", "m").join(comp, "cid", "left").join(counts, "cid", "left")
+    joined = classes.select("cid", "sig_a", "sig_b", "least", "m").join(comp, "cid", "left").join(counts, "cid", "left")
     joined = joined.withColumn("component", F.coalesce("component", "cid")).withColumn("links", F.coalesce("links", F.lit(0)) + F.col("m") - 1)
+    joined = cut(joined.select("sig_a", "sig_b", "least", "component", "links"))
     ids = joined.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_sig = joined.join(ids, "component").select("sig", "links", "component_id")
-    out = rows.select("vec_id", "sig").join(by_sig, "sig", "left")
+    by_sig = cut(join_by_key(joined, ids, ["component"]).select("sig_a", "sig_b", "links", "component_id"))
+    out = join_by_key(light, by_sig, ["sig_a", "sig_b"], "left")
     out = out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("links").isNull(), F.col("vec_id")).otherwise(F.col("component_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

@@ -27,11 +27,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import appended, column, cut, private, slices
+from .common import appended, column, cut, join_by_key, private, slices
 from .components import components
 
 SHINGLE = 4
@@ -41,6 +41,8 @@ HALF = 32
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 #: Node pairs that are expanded at once.
 CHUNK = 1 << 20
+#: Keys of rows to leave out (16 bytes each) that are broadcast.
+BROADCAST_ROWS = 500_000
 
 
 def shingles(text: str | None, size: int = SHINGLE) -> list[bytes]:
@@ -263,10 +265,10 @@ def links(distinct: DataFrame, total: int, budget: int = BUDGET, node_size: int
     return out
 
 
-def classes(prints: DataFrame, budget: int = BUDGET, node_size: int | None = None) -> DataFrame:
-    """(fp, least, rep) of each distinct fingerprint of ``prints`` (doc_id, fp): its smallest doc_id, and one
+def classes(prints: DataFrame, budget: int = BUDGET, node_size: int | None = None, least: Column | str = "doc_id") -> DataFrame:
+    """(fp, least, rep) of each distinct fingerprint of ``prints`` (fp and other columns): its smallest ``least``, and one
     fingerprint of its component."""
-    distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    distinct = cut(prints.groupBy("fp").agg(F.min(least).alias("least")))
     comp = components(links(distinct, distinct.count(), budget, node_size))
     return distinct.join(comp.select(F.col("node").alias("fp"), "component"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("rep"))
 
@@ -274,19 +276,42 @@ def classes(prints: DataFrame, budget: int = BUDGET, node_size: int | None = Non
 def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", budget: int = BUDGET) -> DataFrame:
     """(doc_id, fingerprint, component_id) of each row."""
     prints = cut(fingerprints(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), keep_text=False))
-    found = classes(prints, budget)
+    found = cut(classes(prints, budget))
     ids = found.groupBy("rep").agg(F.min("least").alias("component_id"))
-    found = found.join(ids, "rep").select("fp", "component_id")
-    return prints.join(found, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    found = cut(join_by_key(found, ids, ["rep"]).select("fp", "component_id"))
+    return join_by_key(prints, found, ["fp"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def row_hashes(docs: DataFrame) -> list[Column]:
+    """128 bits that tell different rows apart, from all columns (maps, which have no hash, as JSON)."""
+    cols = [F.to_json(F.struct(F.col(f"`{f.name}`"))) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in docs.schema]
+    marks = [F.isnull(c) for c in cols]  # a null leaves a hash as it is
+    return [F.xxhash64(F.lit(k), *cols, *marks) for k in (0, 1)]
 
 
 def deduplicated(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", budget: int = BUDGET) -> DataFrame:
-    """One row of each group of near-duplicates, with its own columns: the smallest id, of several such rows any.
-    Groups whose ids are all null keep one row too."""
-    p = private(docs, "fp", "rep", "first")
-    prints = cut(fingerprints(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), keep_text=False))
-    first = classes(prints, budget).groupBy("rep").agg(F.min(F.struct(F.col("least").isNull().alias("none"), F.col("least").alias("id"), F.col("fp"))).alias("x"))
-    first = first.select(F.col("x.fp").alias(p["rep"]), F.col("x.id").alias(p["first"]))
-    rows = fingerprints(docs, text_col, p["fp"])
-    kept = rows.join(first, (F.col(p["fp"]) == F.col(p["rep"])) & F.col(f"`{id_col}`").eqNullSafe(F.col(p["first"])), "left_semi")
-    return kept.dropDuplicates([p["fp"], id_col]).select(*[f"`{c}`" for c in docs.columns])
+    """One row of each group of near-duplicates, with its own columns: that of the smallest id, of several rows with this
+    id that with the smallest hash of all columns, of several equal rows one.  Groups whose ids are all null keep one
+    row too.
+
+    Fingerprints are made once, and what goes is decided on ids and hashes.  Rows that go are then left out by their
+    hashes: by a broadcast while they are at most BROADCAST_ROWS, else by a join that moves each text once."""
+    p = private(docs, "h", "i")
+    keys = [p["h"], p["i"]]
+    hashed = docs.select("*", *[c.alias(k) for c, k in zip(row_hashes(docs), keys)])
+    light = hashed.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), *keys)
+    prints = cut(fingerprints(light, keep_text=False))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *keys, "fp")
+    found = classes(prints, budget, least=order)
+    first = found.groupBy("rep").agg(F.min("least").alias("x")).select(*[F.col(f"x.{k}").alias(k) for k in keys], F.lit(True).alias("first"))
+    rows = prints.groupBy(*keys).agg(F.count("*").alias("n")).join(first, keys, "left")
+    rows = cut(rows.select(*keys, F.coalesce("first", F.lit(False)).alias("first"), "n"))
+    gone, again = rows.where("NOT first").select(*keys), rows.where("first AND n > 1").select(*keys)
+    if gone.count() <= BROADCAST_ROWS:
+        kept = hashed.join(F.broadcast(gone), keys, "left_anti")
+    else:
+        kept = hashed.join(rows.where("first").select(*keys), keys, "left_semi")
+    if m := again.count():
+        again = F.broadcast(again) if m <= BROADCAST_ROWS else again
+        kept = kept.join(again, keys, "left_anti").unionByName(kept.join(again, keys, "left_semi").dropDuplicates(keys))
+    return kept.select(*[f"`{c}`" for c in docs.columns])
