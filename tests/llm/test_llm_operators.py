@@ -474,8 +474,82 @@ def test_quality_rules(spark, odd):
     clean, twice = " ".join(f"c{k}" for k in range(2000)), " ".join([passage, *(f"d{k}" for k in range(2000)), passage])
     r = quality_rules.annotate(spark.createDataFrame([(1, clean), (2, twice), (3, "few words")], "doc_id long, text string")).orderBy("doc_id").collect()
     assert [(x.base_failed, x.kept) for x in r] == [(False, True), (False, False), (True, False)] and r[1].longest_repeat == 150
-    assert quality_rules.annotate(odd).count() == odd.count() and quality_rules.filtered(odd.drop("kept")).columns == odd.drop("kept").columns
-    assert quality_rules.annotate(empty(spark)).count() == 0
+    assert quality_rules.annotate(odd).count() == odd.count() and quality_rules.filtered(odd).columns == odd.columns
+    assert {r.kept for r in quality_rules.filtered(odd).collect()} == {"mine"}  # an input column keeps its value
+    clash = odd.withColumn("N_WORDS", F.lit(7)).withColumn("__kept", F.lit("x"))
+    assert quality_rules.filtered(clash).columns == clash.columns
+    assert quality_rules.annotate(empty(spark)).count() == 0 and quality_rules.filtered(empty(spark)).count() == 0
+
+
+def loop_spans(text, least):
+    """Share of word bytes in words that lie in a substring of ``least`` words or more that occurs again: by growing
+    every pair of equal windows."""
+    w, at, cover = words(text), defaultdict(list), set()
+    for k in range(len(w) - least + 1):
+        at[tuple(w[k : k + least])].append(k)
+    for places in at.values():
+        if len(places) > 1:
+            for k in places:
+                cover.update(range(k, k + least))
+    size = [len(x.encode()) for x in w]
+    return sum(size[k] for k in cover) / sum(size) if w else 0.0
+
+
+def longest_by_sorting(text, depth=3000):
+    """The longest repeat of five words or more, from plainly sorted suffixes (repeats beyond ``depth`` words may be
+    found shorter, but not below it)."""
+    w = words(text)
+    order = sorted(range(len(w)), key=lambda k: w[k : k + depth])
+    best = 0
+    for i, j in zip(order, order[1:]):
+        k = 0
+        while i + k < len(w) and j + k < len(w) and w[i + k] == w[j + k]:
+            k += 1
+        best = max(best, k)
+    return best if best >= 5 else 0
+
+
+def repetitive(rng):
+    """Texts on both sides of the limits: a passage that comes back in prose of some length."""
+    prose = lambda n: [f"q{rng.randrange(10**6)}" for _ in range(n)]
+    some = prose(rng.choice([8, 12, 13, 14, 30, 49, 50, 51, 60]))
+    parts = [some, prose(rng.randrange(60, 900)), some, prose(rng.randrange(1, 50))]
+    return " ".join(sum(parts, []) + (some if rng.random() < 0.3 else []))
+
+
+def test_quality_verdict_by_brute_force(spark):
+    rng = random.Random(12)
+    texts = [repetitive(rng) for _ in range(120)] + [None, "", "a b " * 400, "\u00e9t\u00e9 " * 30]
+    base = lambda t: (x := loop_window(t))[0] < 10 or 100 * x[1] > 20 * x[0]
+    got = quality_rules.annotate(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    for r in got:
+        t = texts[r.doc_id]
+        covered, longest = loop_spans(t, 13), longest_by_sorting(t)
+        assert abs(r.covered_fraction - covered) < 1e-12 and r.longest_repeat == longest and r.base_failed == base(t)
+        assert r.kept == (not base(t) and covered <= 0.1 and longest <= 50)
+    more = [r for r in got if not r.base_failed and not r.kept]
+    assert len(more) > 10 and any(r.covered_fraction > 0.1 for r in more) and any(r.covered_fraction <= 0.1 for r in more)  # the array decides
+
+
+def loop_window(text):
+    w, cover = words(text), set()
+    grams = Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4))
+    for k in range(len(w) - 4):
+        if grams[tuple(w[k : k + 5])] > 1:
+            cover.update(range(k, k + 5))
+    return len(w), len(cover)
+
+
+def test_both_forms_of_common_prefixes_are_equal(monkeypatch):
+    rng = np.random.default_rng(13)
+    for n, kinds in ((1, 1), (2, 1), (400, 2), (400, 60), (3000, 1)):
+        ids = rng.integers(0, kinds, n)
+        _, ids = np.unique(ids, return_inverse=True)
+        ends = np.full(n, n)
+        assert (quality_rules.suffix_lcp(ids, ends) == quality_rules.suffix_lcp(ids, ends, linear=0)).all()
+    monkeypatch.setattr(quality_rules, "CHUNK", 50)
+    text = " ".join(f"w{k % 97}" for k in range(500)) + "\t\n  end"
+    assert [w for part in quality_rules.words_of(text.encode()) for w in part] == text.encode().split()
 
 
 # --- chat ---------------------------------------------------------------------
@@ -519,8 +593,8 @@ def test_pipeline_stages(spark, data):
         seen.append(out.collect())
     start, tox, rules, dedup, mix, coded = seen
     assert 0 < len(tox) and {r.doc_id for r in tox} <= {r.doc_id for r in start}  # test_toxicity_* check what goes
-    keep = lambda t: (x := loop_repeats(t))[0] >= 10 and 100 * x[4] <= 20 * x[0] and x[5] <= 100
-    assert {r.doc_id for r in rules} == {r.doc_id for r in tox if len(words(r.text)) < 800 and keep(r.text)} | {r.doc_id for r in rules if len(words(r.text)) >= 800}
+    keep = lambda t: (x := loop_window(t))[0] >= 10 and 100 * x[1] <= 20 * x[0] and loop_spans(t, 13) <= 0.1 and longest_by_sorting(t, 64) <= 50
+    assert {r.doc_id for r in rules} == {r.doc_id for r in tox if keep(r.text)}
     fps = [loop_fingerprint(r.text) for r in rules]
     comp = loop_components(range(len(rules)), [(i, j) for i in range(len(rules)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 4])
     assert sorted(r.doc_id for r in dedup) == sorted(min(rules[i].doc_id for i in comp if comp[i] == c) for c in set(comp.values()))
