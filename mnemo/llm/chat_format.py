@@ -7,13 +7,23 @@ the assistant's text and end mark, not the headers and not other roles' turns.
 The prefix is found turn by turn: rows meet by (pair, position), and a pair's prefix ends before the first position
 where the two sides differ, a minimum with a map-side part.  Turns are gathered into strings only per pair and side.
 
-Rows: turns are ordered by (turn, role, text), nulls last; repeated rows are repeated turns.  Null text is empty, null
-role is "unknown".  Rows without a conversation id are left out.  A conversation without a partner has an empty prompt
-and the other side null.  Two equal conversations have empty completions.
+Headers and end marks are the only "<|" of a rendering: within texts and roles a backslash goes between "<" and "|" (one
+more where there are some already), in roles also between "|" and ">".  So no text can pass for a turn, and the
+rendering can be read back (``plain``).
+
+Rows: turns are ordered by (turn, role, text), nulls last, ties being equal turns; repeated rows are repeated turns.  Null
+text is empty, null role is "unknown".  Rows without a conversation id are left out.  A conversation without a partner
+has an empty prompt and the other side null.  Two equal conversations have empty completions.  An empty table gives an
+empty result.  Texts of any length are rendered whole.  Only the four columns are read, so further columns play no part.
+
+Size: a pair's result is one row, and one string a side, so a conversation has at most the 2 GB of a string.  Its turns are
+numbered and gathered in one task, sorted with spilling; conversations of any size below that share no task by key.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,7 +33,20 @@ TRAINED = "assistant"
 
 def by_parity(conv_id: Column) -> tuple[Column, Column]:
     """The pairing of a table without preferences: conversations 2k (chosen) and 2k + 1 (rejected) are pair k."""
-    return F.floor(conv_id / 2).cast("long"), F.pmod(conv_id, F.lit(2)).cast("int")
+    return F.shiftright(conv_id.cast("long"), 1), F.pmod(conv_id.cast("long"), F.lit(2)).cast("int")
+
+
+def escaped(text: Column) -> Column:
+    return F.regexp_replace(text, r"(<\\*)\|", r"$1\\|")
+
+
+def escaped_role(role: Column) -> Column:
+    return F.regexp_replace(escaped(role), r"(\|\\*)>", r"$1\\>")
+
+
+def plain(text: str) -> str:
+    """The text of a rendered turn without the backslashes that ``escaped`` has put in."""
+    return re.sub(r"(<\\*)\\\|", r"\1|", text)
 
 
 def format_pairs(turns: DataFrame, pairing=by_parity) -> DataFrame:
@@ -31,13 +54,13 @@ def format_pairs(turns: DataFrame, pairing=by_parity) -> DataFrame:
     chosen, chosen_spans, rejected, rejected_spans; spans are "start-end" in characters of the completion, joined with
     commas.  pairing: conv_id to (pair, side), side 0 chosen, 1 rejected."""
     pair, side = pairing(F.col("conv_id"))
-    role, text = F.coalesce("role", F.lit("unknown")), F.coalesce("text", F.lit(""))
+    role, text = F.coalesce("role", F.lit("unknown")), escaped(F.coalesce("text", F.lit("")))
     order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_last(), F.col("role").asc_nulls_last(), F.col("text").asc_nulls_last())
     t = turns.where(F.col("conv_id").isNotNull()).select("conv_id", "role", "text", F.row_number().over(order).alias("pos"))
-    head = F.concat(F.lit(HEAD), role, F.lit(TAIL))
+    head = F.concat(F.lit(HEAD), escaped_role(role), F.lit(TAIL))
     t = t.select(pair.alias("pair_id"), side.alias("side"), "conv_id", "pos", (role == TRAINED).alias("trained"), F.length(head).alias("skip"), F.concat(head, text, F.lit(END)).alias("shown"))
     same = (F.count("*") == 2) & (F.min("shown") == F.max("shown"))
-    # two turns are the same if they render the same: a role cannot hold the header's end unless it is crafted to
+    # escaped, two turns are the same if and only if they render the same
     per = t.groupBy("pair_id", "pos").agg(same.alias("same"))
     ends = per.groupBy("pair_id").agg(F.coalesce(F.min(F.when(~F.col("same"), F.col("pos"))) - 1, F.max("pos")).alias("n"))
     t = t.join(ends, "pair_id").withColumn("after", F.col("pos") > F.col("n"))
@@ -67,10 +90,11 @@ def _side(k: int, name: str) -> str:
 
 ORACLE_SQL = rf"""
 WITH t0 AS (
-  SELECT conv_id, coalesce(role, 'unknown') AS r, coalesce(text, '') AS x,
+  SELECT conv_id, coalesce(role, 'unknown') AS given, regexp_replace(regexp_replace(coalesce(role, 'unknown'), '(<\\*)\|', '\1\\|', 'g'), '(\|\\*)>', '\1\\>', 'g') AS r,
+    regexp_replace(coalesce(text, ''), '(<\\*)\|', '\1\\|', 'g') AS x,
     row_number() OVER (PARTITION BY conv_id ORDER BY turn ASC NULLS LAST, role ASC NULLS LAST, text ASC NULLS LAST) AS pos
   FROM conversations WHERE conv_id IS NOT NULL),
-t AS (SELECT floor(conv_id / 2)::BIGINT AS pair_id, ((conv_id % 2) + 2) % 2 AS side, conv_id, pos, r = '{TRAINED}' AS trained,
+t AS (SELECT ((conv_id - ((conv_id % 2) + 2) % 2) // 2)::BIGINT AS pair_id, ((conv_id % 2) + 2) % 2 AS side, conv_id, pos, given = '{TRAINED}' AS trained,
     length('{HEAD}' || r || '|>' || chr(10)) AS skip, '{HEAD}' || r || '|>' || chr(10) || x || '<|end|>' || chr(10) AS shown FROM t0),
 per AS (SELECT pair_id, pos, count(*) = 2 AND min(shown) = max(shown) AS same FROM t GROUP BY ALL),
 ends AS (SELECT pair_id, coalesce(min(CASE WHEN NOT same THEN pos END) - 1, max(pos)) AS n FROM per GROUP BY pair_id),
