@@ -7,11 +7,12 @@ moments), so sparse sites stay near their parents.  A document's final log odds
 its path makes, with the document itself left out of its sites' sums.
 
 Sites are summed by grouped aggregation with a map-side part; the tables of sites are joined back to light rows
-(id, site, probability), never to texts.
+(id, site, probability), never to texts, and a site of many rows stays spread over tasks.
 
-Rows: a null text is read as empty.  A null host is a host of its own, likewise a null path of each host.  Labels are
-learned from as in the toxicity operator; without both classes every document has probability 0.5.  Repeated rows
-count each; an empty table gives an empty result.
+Rows: a null text is read as empty; texts of any length are read whole.  A null host is a host of its own, likewise a
+null path of each host.  Labels are learned from as in the toxicity operator; without both classes every document has
+probability 0.5.  Repeated rows count each, so there are no ties; an empty table gives an empty result.  Other columns
+play no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ASCII_SPACE, appended, column, cut, slices
+from .common import ASCII_SPACE, appended, column, cut, join_by_key, slices
 from .toxicity import logistic, sampled_labels
 
 PER_CLASS = 4000
@@ -102,7 +103,7 @@ def evidence(docs: DataFrame, model: Classifier, text_col: str = "text", out_col
 
 def site(url: Column) -> tuple[Column, Column]:
     """Host and first path segment of a URL, for use as host and path."""
-    return F.lower(F.parse_url(url, F.lit("HOST"))), F.regexp_extract(F.parse_url(url, F.lit("PATH")), "^/([^/]*)", 1)
+    return F.lower(F.try_parse_url(url, F.lit("HOST"))), F.regexp_extract(F.try_parse_url(url, F.lit("PATH")), "^/([^/]*)", 1)
 
 
 def prior_strength(groups: DataFrame) -> DataFrame:
@@ -117,25 +118,40 @@ def prior_strength(groups: DataFrame) -> DataFrame:
     return one.select("mu", F.least(F.lit(MAX_PRIOR), F.greatest(F.lit(1.0), within / F.greatest(spread, F.lit(1e-12)))).alias("strength"))
 
 
+def page_sites(pages: DataFrame, url_col: str = "url", id_col: str = "page_id") -> DataFrame:
+    """(doc_id, host, path) of documents that pages show: a URL ends with its document's number.  Of several pages of a
+    document the one of the smallest id counts; URLs without a number or host are left out."""
+    host, path = site(F.col(url_col))
+    number = F.try_to_number(F.regexp_extract(F.try_parse_url(F.col(url_col), F.lit("PATH")), r"/(\d+)(?:\.\w+)?/?$", 1), F.lit("9" * 18)).cast("long")
+    found = pages.select(number.alias("doc_id"), F.col(id_col).alias("page"), host.alias("host"), path.alias("path")).where("doc_id IS NOT NULL AND host IS NOT NULL")
+    return found.groupBy("doc_id").agg(F.min(F.struct("page", "host", "path")).alias("x")).select("doc_id", "x.host", "x.path")
+
+
 def posteriors(rows: DataFrame) -> DataFrame:
-    """(host, path, n, s, host_n, host_s, mu, k_host, k_path) for each path of ``rows`` (host, path, p_doc)."""
+    """(host, path, n, s, host_n, host_s, mu, k_host, k_path) for each path of ``rows`` (host, path, p_doc; no nulls)."""
     p = F.col("p_doc")
-    paths = rows.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum(p).alias("s"), F.sum(p * p).alias("q"))
+    paths = cut(rows.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum(p).alias("s"), F.sum(p * p).alias("q")))
     hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"))
     k_host = prior_strength(hosts).select("mu", F.col("strength").alias("k_host"))
     k_path = prior_strength(paths).select(F.col("strength").alias("k_path"))
-    hosts = hosts.select(F.col("host").alias("h"), F.col("n").alias("host_n"), F.col("s").alias("host_s"))
-    out = paths.join(hosts, F.col("host").eqNullSafe(F.col("h"))).drop("h", "q")
+    hosts = hosts.select("host", F.col("n").alias("host_n"), F.col("s").alias("host_s"))
+    out = join_by_key(paths.drop("q"), hosts, ["host"])
     return out.join(F.broadcast(k_host.join(F.broadcast(k_path))))  # one row each
 
 
-def classify(docs: DataFrame, model: Classifier, text_col: str = "text", id_col: str = "doc_id", host: Column | str = "source", path: Column | str = "lang") -> DataFrame:
-    """(doc_id, p_doc, p_host, p_path, score, kept) of each row."""
+def classify(docs: DataFrame, model: Classifier, text_col: str = "text", id_col: str = "doc_id", host: Column | str = "source", path: Column | str = "lang", sites: DataFrame | None = None) -> DataFrame:
+    """(doc_id, p_doc, p_host, p_path, score, kept) of each row.  sites: (doc_id, host, path), one row a document, take
+    the place of ``host`` and ``path`` where there is one."""
     as_col = lambda c: F.col(c) if isinstance(c, str) else c
     light = docs.select(F.col(id_col).alias("doc_id"), as_col(host).alias("host"), as_col(path).alias("path"), F.col(text_col).alias("text"))
-    light = cut(evidence(light, model, keep_text=False))
-    sites = posteriors(light).withColumnsRenamed({"host": "h", "path": "u"})
-    x = light.join(sites, F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("u")))
+    light = evidence(light, model, keep_text=False)
+    if sites is not None:
+        own = sites.select("doc_id", F.col("host").alias("h"), F.col("path").alias("u"))
+        light = join_by_key(cut(light), own, ["doc_id"], "left")
+        light = light.select("doc_id", "p_doc", F.coalesce("h", "host").alias("host"), F.when(F.col("h").isNotNull(), F.col("u")).otherwise(F.col("path")).alias("path"))
+    named = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))  # noqa: E731  null is a name, too
+    light = cut(light.select("doc_id", "p_doc", named("host").alias("host"), named("path").alias("path")))
+    x = join_by_key(light, cut(posteriors(light)), ["host", "path"])
     own = F.col("p_doc")
     x = x.withColumn("p_host", (F.col("host_s") - own + F.col("k_host") * F.col("mu")) / (F.col("host_n") - 1 + F.col("k_host")))
     x = x.withColumn("p_path", (F.col("s") - own + F.col("k_path") * F.col("p_host")) / (F.col("n") - 1 + F.col("k_path")))

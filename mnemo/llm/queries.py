@@ -23,9 +23,11 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The table's sources stand for hosts and its languages for the paths below them."""
+    """Sites are the hosts and paths of the pages that show a document; where no page does, its source and language
+    stand for them."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
-    return quality_classifier.classify(docs, quality_classifier.fit(docs, table(spark, sf_dir, "labels")))
+    sites = quality_classifier.page_sites(table(spark, sf_dir, "pages"))
+    return quality_classifier.classify(docs, quality_classifier.fit(docs, table(spark, sf_dir, "labels")), sites=sites)
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

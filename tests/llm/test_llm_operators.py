@@ -131,11 +131,51 @@ def test_toxicity_without_examples(spark, odd):
 # --- quality classifier -------------------------------------------------------
 
 
-def test_sites_shrink_toward_parents(spark):
-    rows = spark.createDataFrame([("h1", "a", 0.9)] * 30 + [("h1", "b", 0.1)] + [("h2", "a", 0.2)] * 30 + [(None, None, 0.5)], "host string, path string, p_doc double")
-    got = {(r.host, r.path): r for r in quality_classifier.posteriors(rows).collect()}
-    assert len(got) == 4 and abs(got["h1", "a"].mu - (27 + 0.1 + 6 + 0.5) / 62) < 1e-9
-    assert all(r.k_host >= 1 and r.k_path >= 1 for r in got.values()) and got["h1", "b"].host_n == 31
+def loop_strength(groups, mu):
+    """Rows that a prior counts for, from (n, sum, sum of squares) of each group."""
+    all_, k = sum(n for n, _, _ in groups), len(groups)
+    within = sum(n * max(0.0, q / n - (s / n) ** 2) for n, s, q in groups) / all_
+    between = (sum(s * s / n for n, s, _ in groups) - all_ * mu * mu) / max(1, k - 1)
+    size = max(1e-9, (all_ - sum(n * n for n, _, _ in groups) / all_) / max(1, k - 1))
+    return min(quality_classifier.MAX_PRIOR, max(1.0, within / max(1e-12, max(0.0, (between - within) / size))))
+
+
+def test_classification_by_brute_force(spark, monkeypatch):
+    """Strengths, posteriors and scores of many sparse sites and a few large ones, with null hosts and paths."""
+    rng = random.Random(15)
+    mean = {h: rng.random() for h in range(60)}
+    rows = []
+    for k in range(900):
+        h = 0 if k % 3 == 0 else rng.randrange(60)
+        rows.append((k % 880, "en", None if h == 7 else f"h{h}", None if k % 17 == 0 else f"p{rng.randrange(5)}", min(1.0, max(0.0, rng.gauss(mean[h], 0.5)))))
+
+    given = lambda docs, *_, keep_text: docs.select("doc_id", "host", "path", F.col("text").cast("double").alias("p_doc"))
+    monkeypatch.setattr(quality_classifier, "evidence", given)
+    docs = spark.createDataFrame([(i, str(p), h, u) for i, _, h, u, p in rows], "doc_id long, text string, host string, path string")
+    got = quality_classifier.classify(docs, None, host="host", path="path").collect()
+    sums = lambda key: {g: (len(x), sum(x), sum(v * v for v in x)) for g in {key(r) for r in rows} for x in [[r[4] for r in rows if key(r) == g]]}
+    hosts, paths = sums(lambda r: r[2]), sums(lambda r: r[2:4])
+    mu = sum(r[4] for r in rows) / len(rows)
+    k_host, k_path = loop_strength(list(hosts.values()), mu), loop_strength(list(paths.values()), mu)
+    odds = lambda p: math.log(max(1e-6, p) / max(1e-6, 1 - p))
+    want = []
+    for i, _, h, u, p in rows:
+        p_host = (hosts[h][1] - p + k_host * mu) / (hosts[h][0] - 1 + k_host)
+        p_path = (paths[h, u][1] - p + k_path * p_host) / (paths[h, u][0] - 1 + k_path)
+        want.append((i, p, p_host, p_path, 1 / (1 + math.exp(-(odds(p) + odds(p_path) - odds(mu))))))
+    assert 1 < k_host < 100
+    for a, b in zip(sorted(tuple(r)[:5] for r in got), sorted(want)):
+        assert a[0] == b[0] and np.allclose(a[1:], b[1:], rtol=1e-9, atol=1e-12)
+
+
+def test_sites_of_pages(spark):
+    pages = [(1, "http://A.example.org/en/17.html?x=1"), (0, "https://b.example.org/de/17/"), (2, "http://c.example.org/fr/5#top"), (3, "no url"), (4, None), (5, "http://d.example.org/about"), (6, "http://e.example.org/9")]
+    got = {tuple(r) for r in quality_classifier.page_sites(spark.createDataFrame(pages, "page_id long, url string")).collect()}
+    assert got == {(17, "b.example.org", "de"), (5, "c.example.org", "fr"), (9, "e.example.org", "9")}
+    sites = spark.createDataFrame([(17, "b", "de")], "doc_id long, host string, path string")
+    docs = spark.createDataFrame([(17, "some text", "s", "en"), (17, "some text", "s", "en"), (18, "other", "s", None), (None, None, None, None)], "doc_id long, text string, source string, lang string")
+    none = quality_classifier.Classifier(np.zeros((0, 12)), np.zeros(0), (1.0, 1.0))
+    assert sorted(map(str, (r.doc_id for r in quality_classifier.classify(docs, none, sites=sites).collect()))) == ["17", "17", "18", "None"]
 
 
 def test_quality_classifier(spark, odd):
