@@ -11,14 +11,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HOT, cut
+from .common import HOT, LIGHT, cut
 
 
 def _with_least(edges: DataFrame, least: DataFrame, ends: int) -> DataFrame:
     """Edges (u, v) with the value m of u in ``least`` (u, m, n: edge ends of u, which are ``ends`` in all)."""
-    if ends <= 1000:
+    if ends <= LIGHT:
         return edges.join(least.select("u", "m"), "u")
-    hub = F.col("n") > max(1000, HOT * ends)
+    hub = F.col("n") > max(LIGHT, HOT * ends)
     hubs = F.broadcast(least.where(hub).select("u", "m"))
     rest = edges.join(hubs.select("u"), "u", "left_anti").join(least.where(~hub).select("u", "m"), "u")
     return rest.union(edges.join(hubs, "u").select(*rest.columns))
