@@ -2,16 +2,21 @@
 
 Each language has a model of letter trigrams (with word ends), learned from a bounded sample of labelled documents; a
 word's likelihood in a language is the product of its trigrams'.  A document is a mixture of languages: expectation-
-maximisation (EM) over its words estimates the proportions.  Nested sets of the largest languages are fitted again, and the set
-with the best likelihood less PENALTY * ln(words) a further language is selected; its largest language is predicted.
-EM runs on whole Arrow batches of documents at once.
+maximisation (EM) over its words estimates the proportions of all languages.  Then the sets of its k largest languages,
+k = 1, 2 ..., are fitted again, and the set with the best likelihood less PENALTY * ln(words + 1) a further language is
+selected; its largest language is predicted.  No set fits better than all languages together, so the search ends, exactly,
+where even their likelihood would not pay for one more.
 
-Size: about ``per_language`` sampled documents for each language (an expected number, by a hash threshold) and at most
-``trigrams`` counts reach the driver and are broadcast.
+EM runs on whole Arrow batches of documents at once; each document stops on its own, when no share moves by TOLERANCE in a
+round (or after ROUNDS), so its result doesn't hang on the others of its batch.
+
+Size: about ``per_language`` sampled documents for each language (an expected number, by a hash threshold).  A number
+for each language, and the trigram counts of the sample, reach the driver and are broadcast; every count of the sample
+is kept.
 
 Rows: null texts and texts without letters are ``und`` with score 0.  Null languages are not learned from; without any
 language all rows are ``und``.  Repeated rows get equal results; ties go to the language that sorts first.  Texts are
-read whole; other columns pass through.
+read whole; an empty table gives an empty result; other columns pass through, but for those named like a result.
 """
 
 from __future__ import annotations
@@ -32,7 +37,8 @@ UNKNOWN = "und"
 PER_LANGUAGE = 600
 SMOOTH = 0.1
 PENALTY = 4.0
-ROUNDS = 25
+TOLERANCE = 1e-5
+ROUNDS = 1000
 #: Words whose likelihoods a worker remembers; the memory is emptied when full.
 REMEMBERED = 200_000
 
@@ -79,16 +85,24 @@ def mixture(like: np.ndarray, n: np.ndarray, doc: np.ndarray, starts: np.ndarray
     like: log likelihoods of each document's distinct words, which are seen n times; starts: first word of each."""
     top = np.where(allowed[doc], like, -np.inf).max(axis=1, keepdims=True)
     p = np.exp(np.minimum(like - top, 0.0)) * allowed[doc]
-    total = np.add.reduceat(n, starts)[:, None]
     share = allowed / allowed.sum(axis=1, keepdims=True)
+    live = np.arange(len(starts))  # documents that still move, and their words
+    q, m, d, at, now = p, n, doc, starts, share.copy()
+    total = np.add.reduceat(n, starts)[:, None]
     for _ in range(rounds):
-        r = p * share[doc]
-        r *= (n / r.sum(axis=1))[:, None]
-        new = np.add.reduceat(r, starts, axis=0) / total
-        moved = np.abs(new - share).max()
-        share = new
-        if moved < 1e-4:
+        r = q * now[d]
+        r *= (m / r.sum(axis=1))[:, None]
+        new = np.add.reduceat(r, at, axis=0) / total
+        moving = np.abs(new - now).max(axis=1) >= TOLERANCE
+        now = new
+        share[live] = now
+        if not moving.any():
             break
+        if not moving.all():
+            words = moving[d]
+            live, now, total, q, m = live[moving], now[moving], total[moving], q[words], m[words]
+            sizes = np.diff(np.r_[at, len(d)])[moving]
+            d, at = np.repeat(np.arange(len(live)), sizes), np.cumsum(sizes) - sizes
     fit = np.log((p * share[doc]).sum(axis=1)) + top[:, 0]
     return share, np.add.reduceat(fit * n, starts)
 
@@ -110,22 +124,18 @@ def infer(model: LanguageModel, texts: list[str | None], penalty: float = PENALT
         rows = np.concatenate([np.arange(e - s, e) for s, e in zip(sizes[some], np.cumsum(sizes)[some])])
         return mixture(like[rows], n[rows], np.repeat(np.arange(len(some)), sizes[some]), np.cumsum(sizes[some]) - sizes[some], allowed)
 
-    every = np.arange(len(which))
-    share, _ = fitted(every, np.ones((len(which), m)))
+    some = np.arange(len(which))
+    share, every = fitted(some, np.ones((len(which), m)))
     order = np.argsort(-share.round(9), axis=1, kind="stable")
     place = np.argsort(order, axis=1)
-    best, value = (place < 1).astype(float), np.full(len(which), -np.inf)
-    log_n = np.log(np.add.reduceat(n, np.cumsum(sizes) - sizes) + 1)
-    final = best.copy()
-    # sets of one language more while the next one has a share worth asking about
+    cost = penalty * np.log(np.add.reduceat(n, np.cumsum(sizes) - sizes) + 1)
+    final, value = np.zeros_like(share), np.full(len(which), -np.inf)
     for k in range(1, m + 1):
-        some = every if k == 1 else every[np.take_along_axis(share, order[:, k - 1 : k], 1)[:, 0] > 0.01]
-        if k == 1:
-            some = every[np.take_along_axis(share, order[:, min(1, m - 1) : min(1, m - 1) + 1], 1)[:, 0] > 0.01]
+        some = some[every[some] - (k - 1) * cost[some] > value[some]]
         if not len(some):
             break
         s, fit = fitted(some, (place[some] < k).astype(float))
-        worth = fit - penalty * (k - 1) * log_n[some]
+        worth = fit - (k - 1) * cost[some]
         up = worth > value[some]
         value[some[up]], final[some[up]] = worth[up], s[up]
     for k, row in zip(which, final):

@@ -217,6 +217,57 @@ def test_language_mixture(spark, odd):
     assert {r.lang_pred for r in language_id.identify(odd, nobody).collect()} == {"und"}
 
 
+def loop_mixture(like, n, langs):
+    """EM for one document: like[w][l], n[w]; shares of langs and the log likelihood."""
+    share = {x: 1 / len(langs) for x in langs}
+    for _ in range(1000):
+        new = dict.fromkeys(langs, 0.0)
+        for row, k in zip(like, n):
+            top = max(row[x] for x in langs)
+            part = {x: share[x] * math.exp(row[x] - top) for x in langs}
+            for x in langs:
+                new[x] += k * part[x] / sum(part.values()) / sum(n)
+        done = max(abs(new[x] - share[x]) for x in langs) < language_id.TOLERANCE
+        share = new
+        if done:
+            break
+    fit = sum(k * (math.log(sum(share[x] * math.exp(row[x] - max(row[y] for y in langs)) for x in langs)) + max(row[y] for y in langs)) for row, k in zip(like, n))
+    return share, fit
+
+
+def test_language_inference_by_brute_force():
+    """Shares, fits and sets of mixed texts against loops over every set of languages."""
+    from itertools import combinations
+
+    rng = random.Random(16)
+    syl = {"a": ["the", "ing", "sh", "wo"], "b": ["sch", "ung", "keit", "the"], "c": ["eau", "que", "ung", "ou"], "d": ["ing", "cion", "ou", "ar"]}
+    word = lambda x: "".join(rng.choices(syl[x], k=rng.randint(1, 4)))
+    counts = Counter()
+    for x in syl:
+        for _ in range(800):
+            for g in language_id.trigrams(word(x)):
+                counts[x, g] += 1
+    model = language_id.LanguageModel(dict(counts))
+    texts = [" ".join(word(x) for x in rng.choices(rng.sample("abcd", rng.randint(1, 3)), k=rng.choice([2, 8, 40, 120]))) for _ in range(60)]
+    batch = language_id.infer(model, texts)
+    alone = [language_id.infer(model, [t])[0] for t in texts]
+    best_sets = 0
+    for t, (lang, score, chosen), one in zip(texts, batch, alone):
+        assert (lang, [c[0] for c in chosen]) == (one[0], [c[0] for c in one[2]]) and abs(score - one[1]) < 1e-9  # whatever its batch
+        bag = Counter(t.split())
+        like, n = [list(r) for r in model.rows(list(bag))], list(bag.values())
+        cost = language_id.PENALTY * math.log(sum(n) + 1)
+        every = {s: loop_mixture(like, n, s) for k in range(1, 5) for s in combinations(range(4), k)}
+        worth = {s: fit - (len(s) - 1) * cost for s, (_, fit) in every.items()}
+        own = tuple(sorted(model.languages.index(c[0]) for c in chosen))
+        shares = every[tuple(range(4))][0]
+        nested = [tuple(sorted(sorted(range(4), key=lambda x: (-round(shares[x], 9), x))[:k])) for k in range(1, 5)]
+        assert worth[own] >= max(worth[s] for s in nested) - 1e-3
+        assert all(abs(x - every[own][0][model.languages.index(name)]) < 1e-6 for name, x in chosen)
+        best_sets += worth[own] >= max(worth.values()) - 1e-3
+    assert best_sets >= 58  # the sets of the largest languages nearly always hold the best of all sets
+
+
 def test_language_of_few_counts_is_learned(spark):
     letters = [chr(0x4E00 + k) for k in range(60)]
     crowd = " ".join(a + b + c for a in letters for b in letters for c in letters)  # more than 200,000 trigrams
