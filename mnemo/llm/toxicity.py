@@ -1,9 +1,10 @@
 """Toxicity from the nearest labelled examples.
 
 A bounded sample of labelled documents is indexed: unit vectors (1 + ln tf, smoothed idf, and more weight the better a
-word tells the classes apart by chi-square) over all words of the sample.  Cosines of a batch of queries are summed to
-single precision, and the examples that can be among the nearest by the maxima of blocks of BLOCK examples get exact
-ones, so the neighbours are exact.  Votes are weighted by similarity, and a logistic fit to the examples' leave-one-out
+word tells the classes apart by chi-square) over all words of the sample.  The index is inverted and block-max: rare
+words have posting lists, common words a maximum for each block of BLOCK examples.  Blocks whose bound stays below the
+k-th cosine are not opened; in the others single-precision sums, then exact cosines, decide, so the neighbours are
+those of an exhaustive search.  Votes are weighted by similarity, and a logistic fit to the examples' leave-one-out
 votes turns them into probabilities; the neighbours are returned as evidence.
 
 Near copies within a class (Jaccard similarity of their sets of word shingles 4/5 or more) are one example: else a much
@@ -14,7 +15,9 @@ Everything else is one pass over the documents, without a shuffle.
 
 Rows: a null text is read as empty.  A text without indexed words has no neighbours and gets the calibrated score of
 that case.  Null labels and ids are not learned from; of repeated label rows the largest counts; of repeated documents
-the one of the least text is learned from; each row is scored.  Without any example the score is 0.  Equal cosines are ordered by example id.
+the one of the least text is learned from; each row is scored, texts of any length whole.  Without any example the score
+is 0.  Equal cosines are ordered by example id.  An empty table gives an empty result.  Other columns pass through; in
+``score`` a result replaces an input column of its name.
 """
 
 from __future__ import annotations
@@ -63,16 +66,31 @@ def without_near_copies(marks: list[np.ndarray]) -> list[int]:
 
     Sets this similar share one of their rarest fifth of shingles, so only those are looked up, and each pair found is
     verified."""
-    every, rank, count = np.unique(np.concatenate(marks or [np.zeros(0, np.int64)]), return_inverse=True, return_counts=True)
-    rarity = np.empty(len(every), np.int64)
-    rarity[np.argsort(count, kind="stable")] = np.arange(len(every))
+    flat = np.concatenate(marks or [np.zeros(0, np.int64)])
+    order = np.argsort(flat, kind="stable")
+    group = np.cumsum(np.diff(flat[order], prepend=flat[order[:1]]) != 0, dtype=np.int32)
+    count = np.bincount(group)
+    rarity = np.empty(len(count), np.int32)
+    rarity[np.argsort(count, kind="stable")] = np.arange(len(count), dtype=np.int32)
     once = int((count == 1).sum())
-    sets = [np.sort(x) for x in np.split(rarity[rank], np.cumsum([len(m) for m in marks])[:-1])] if marks else []
-    kept: list[int] = []
-    by_mark: dict[int, list[int]] = {}
+    flat = np.empty(len(order), np.int32)
+    flat[order] = rarity[group]
+    del order, group, count, rarity
+    ends = np.cumsum([len(m) for m in marks])
+    for a, b in zip(np.r_[0, ends[:-1]], ends):
+        flat[a:b].sort()
+    sets = np.split(flat, ends[:-1]) if marks else []
+    few = lambda x: x[: len(x) - (4 * len(x) + 4) // 5 + 1]
+    rare = [r[r >= once] for r in map(few, sets)]  # the others are in one text only
+    mark = np.concatenate(rare) if rare else np.zeros(0, np.int32)
+    text = np.repeat(np.arange(len(rare), dtype=np.int32), [len(r) for r in rare])
+    order = np.argsort(mark, kind="stable")
+    mark, text = mark[order], text[order]
+    kept = np.zeros(len(sets), bool)
     for e, x in enumerate(sets):
-        rare = [m for m in x[: len(x) - (4 * len(x) + 4) // 5 + 1].tolist() if m >= once]  # others are in one text only
-        for o in {o for m in rare for o in by_mark.get(m, ())}:
+        spans = zip(np.searchsorted(mark, rare[e], "left"), np.searchsorted(mark, rare[e], "right"))
+        met = np.unique(np.concatenate([text[a:b] for a, b in spans] or [np.zeros(0, np.int32)]))
+        for o in met[(met < e) & kept[met]]:
             y = sets[o]
             if 5 * min(len(x), len(y)) < 4 * max(len(x), len(y)):
                 continue
@@ -80,56 +98,69 @@ def without_near_copies(marks: list[np.ndarray]) -> list[int]:
             if 5 * both >= 4 * (len(x) + len(y) - both):
                 break
         else:
-            kept.append(e)
-            for m in rare:
-                by_mark.setdefault(m, []).append(e)
-    return kept
+            kept[e] = True
+    return np.flatnonzero(kept).tolist()
 
 
 class BlockMaxIndex:
     """Unit vectors of examples over all their words.  A word's weight is its idf times FLOOR + x / (x + CHI2), where x
     is its chi-square with the label: telling words count most, and all words count.
 
-    Words of many examples are rows of a dense matrix, the others have posting lists.  Both are summed for a batch of
-    queries in single precision; the k-th largest of the maxima of blocks of ``block`` examples bounds the k-th cosine
-    from below, and all examples within MARGIN of that bound get their exact cosines."""
+    Words of many examples have their weights by block, and the blocks' maxima; the others have posting lists."""
 
     def __init__(self, ids: np.ndarray, labels: np.ndarray, counts: Iterable[dict[str, int]], block: int = BLOCK):
-        self.ids, self.labels, self.block, n = ids, labels.astype(float), block, len(ids)
+        self.block, n, labels = block, len(ids), labels.astype(float)
+        self.closed = [0, 0]  # blocks that were not opened, of all
         known: dict[str, int] = {}
         term, tf, size = array("i"), array("i"), array("q", [0])
         for c in counts:
             term.extend([known.setdefault(t, len(known)) for t in c])
             tf.extend(c.values())
             size.append(len(term))
-        term, tf, self.starts = np.array(term, np.int64), np.array(tf, float), np.array(size)
-        at = np.repeat(np.arange(n), np.diff(self.starts))
         names = list(known)
+        del known  # this runs on the driver: what is not needed goes at once
+        term, tf, at = np.array(term), np.array(tf), np.repeat(np.arange(n, dtype=np.int32), np.diff(np.array(size)))
         df = np.bincount(term, minlength=len(names))
-        with_1 = np.bincount(term, self.labels[at], minlength=len(names))
+        with_1 = np.bincount(term, labels[at], minlength=len(names))
         # term numbers: words of many examples first
         order = sorted(range(len(names)), key=lambda k: (-df[k], names[k]))
-        number = np.empty(len(names), np.int64)
-        number[order] = np.arange(len(names))
+        number = np.empty(len(names), np.int32)
+        number[order] = np.arange(len(names), dtype=np.int32)
         term, df, with_1 = number[term], df[order], with_1[order]
         self.terms = {names[k]: e for e, k in enumerate(order)}
-        self.idf = (np.log((1 + n) / (1 + df)) + 1) * (FLOOR + telling(df, with_1, n, self.labels.sum()))
-        order = np.lexsort((term, at))
-        self.term, weight = term[order].astype(np.int32), ((1 + np.log(tf)) * self.idf[term])[order]
-        norm = np.sqrt(np.bincount(at, weight * weight, minlength=n))
-        self.weight = weight / norm[at]
-        self.dense = np.zeros(len(names))  # the query at hand
+        self.idf = (np.log((1 + n) / (1 + df)) + 1) * (FLOOR + telling(df, with_1, n, labels.sum()))
         self.heads = int((df > n / 16).sum())
+        weight = (1 + np.log(tf)) * self.idf[term]
+        del names, order, number, tf
+        weight /= np.sqrt(np.bincount(at, weight * weight, minlength=n))[at]
+        # examples of one kind, by the common word that weighs most in them, make blocks with low maxima for others
+        kind = np.full(n, self.heads)
+        by_weight = np.flatnonzero(term < self.heads)
+        by_weight = by_weight[np.lexsort((-term[by_weight], weight[by_weight]))]
+        kind[at[by_weight]] = term[by_weight]
+        place = np.empty(n, np.int64)
+        place[np.lexsort((ids, kind))] = np.arange(n)
+        self.ids, self.labels = np.empty_like(ids), np.empty_like(labels)
+        self.ids[place], self.labels[place] = ids, labels
+        at = place[at].astype(np.int32)
+        order = np.argsort(at.astype(np.int64) * len(self.terms) + term)
+        at, self.term, self.weight = at[order], term[order], weight[order]
+        del order, term, weight
+        self.starts = np.searchsorted(at, np.arange(n + 1))
+        self.dense = np.zeros(len(self.terms))  # the query at hand
         head = self.term < self.heads
-        self.head = np.zeros((self.heads, n), np.float32)
-        self.head[self.term[head], at[head]] = self.weight[head]
+        self.first = np.arange(0, n, block)
+        self.head = np.zeros((len(self.first), self.heads, block), np.float32)
+        self.head[at[head] // block, self.term[head], at[head] % block] = self.weight[head]
+        self.head_max = np.ascontiguousarray(self.head.max(axis=2).T)
         tail = np.flatnonzero(~head)[np.argsort(self.term[~head], kind="stable")]
-        self.at, self.part = at[tail].astype(np.int32), self.weight[tail].astype(np.float32)
-        self.edges = np.searchsorted(self.term[tail], np.arange(self.heads, len(names) + 1))
+        self.at, self.part = at[tail], self.weight[tail].astype(np.float32)
+        self.edges = np.searchsorted(self.term[tail], np.arange(self.heads, len(self.terms) + 1))
 
-    @property
-    def vectors(self) -> list[tuple[np.ndarray, np.ndarray]]:
-        return [(self.term[a:b].astype(np.int64), self.weight[a:b]) for a, b in zip(self.starts[:-1], self.starts[1:])]
+    def vectors(self, first: int = 0, last: int | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The examples' own vectors."""
+        some = self.starts[first : len(self.ids) + 1 if last is None else last + 1]
+        return [(self.term[a:b].astype(np.int64), self.weight[a:b]) for a, b in zip(some[:-1], some[1:])]
 
     def vector(self, counts: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
         t = np.fromiter(map(self.terms.get, counts, repeat(-1)), np.int64, len(counts))
@@ -138,14 +169,10 @@ class BlockMaxIndex:
         w = (1 + np.log(np.fromiter(counts.values(), float, len(counts))[order])) * self.idf[t]
         return t, w / np.sqrt((w * w).sum()) if len(t) else w
 
-    def sums(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        """Cosines of queries and all examples to single precision."""
-        first = [np.searchsorted(t, self.heads) for t, _ in queries]
-        q = np.zeros((len(queries), self.heads), np.float32)
-        for row, (t, w), h in zip(q, queries, first):
-            row[t[:h]] = w[:h]
-        out = q @ self.head
-        for row, (t, w), h in zip(out, queries, first):
+    def rare_parts(self, queries: list[tuple[np.ndarray, np.ndarray]], out: np.ndarray) -> np.ndarray:
+        """Adds the parts of the queries' cosines that words with posting lists have, to single precision."""
+        for row, (t, w) in zip(out, queries):
+            h = np.searchsorted(t, self.heads)
             a = self.edges[t[h:] - self.heads]
             size = self.edges[t[h:] - self.heads + 1] - a
             take = np.repeat(a - np.cumsum(size) + size, size) + np.arange(size.sum())
@@ -161,17 +188,45 @@ class BlockMaxIndex:
         self.dense[t] = 0
         return out
 
+    def opened(self, sums: np.ndarray, q: np.ndarray, which: np.ndarray) -> None:
+        """Adds the common words' part to the sums of the (query, block) pairs in ``which``, a block at a time."""
+        for block in np.flatnonzero(which.any(axis=0)):
+            rows, first = np.flatnonzero(which[:, block]), self.first[block]
+            size = min(self.block, len(self.ids) - first)
+            sums[rows, first : first + size] += (q[rows] @ self.head[block])[:, :size]
+
     def nearest_all(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, without: Iterable[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each query the k examples of largest positive cosine (ties: smaller id first), leaving one out if wanted."""
-        sums, found = self.sums(queries), []
-        if without is not None:
-            sums[np.arange(len(queries)), list(without)] = 0
-        most = np.maximum.reduceat(sums, np.arange(0, len(self.ids), self.block), axis=1)
-        for row, m, (t, w) in zip(sums, most, queries):
-            least = np.partition(m, -k)[-k] - MARGIN if len(m) >= k else 0
-            at = np.flatnonzero(row > max(least, 0))
+        """For each query the k examples of largest positive cosine (ties: smaller id first), leaving one out if wanted.
+
+        A block's bound is the largest part that rare words have in it, plus the product with its maxima of common
+        words.  The block of the largest bound is opened first; its k-th cosine is one that the others' bounds must
+        reach, or they stay closed.  Sums are in single precision; examples within MARGIN of the k-th get exact cosines."""
+        q = np.zeros((len(queries), self.heads), np.float32)
+        for row, (t, w) in zip(q, queries):
+            h = np.searchsorted(t, self.heads)
+            row[t[:h]] = w[:h]
+        sums = self.rare_parts(queries, np.zeros((len(queries), len(self.ids)), np.float32))
+        bounds = np.maximum.reduceat(sums, self.first, axis=1) + q @ self.head_max
+        every, skip = np.arange(len(queries)), np.arange(len(queries)) if without is not None else np.zeros(0, np.int64)
+        out = list(without) if without is not None else []
+        best = np.zeros(bounds.shape, bool)
+        best[every, bounds.argmax(axis=1)] = True
+        self.opened(sums, q, best)
+        sums[skip, out] = -1
+        full = self.block * bounds.argmax(axis=1)
+        k_th = lambda row: np.partition(row, -k)[-k] if len(row) >= k else -1.0
+        least = np.array([k_th(row[f : f + self.block]) for row, f in zip(sums, full)])
+        more = (bounds >= least[:, None] - MARGIN) & (bounds >= MARGIN) & ~best
+        self.opened(sums, q, more)
+        sums[skip, out] = -1
+        self.closed = [self.closed[0] + int((~(more | best)).sum()), self.closed[1] + more.size]
+        open_, found = np.repeat(more | best, np.diff(np.r_[self.first, len(self.ids)]), axis=1), []
+        for row, o, (t, w), lower in zip(sums, open_, queries, least):
+            at = np.flatnonzero(o & (row > max(0, lower - 2 * MARGIN)))
+            at = at[row[at] > k_th(row[at]) - 2 * MARGIN] if len(at) > k else at
             s = self.cosines(t, w, at)
             rank = np.lexsort((self.ids[at], -s.round(12)))[:k]
+            rank = rank[s[rank] > 0]
             found.append((at[rank], s[rank]))
         return found
 
@@ -194,8 +249,8 @@ class Model:
         self.class_weights = class_weights
         self.beta = np.zeros(4)
         if index is not None:
-            vectors, n = index.vectors, len(index.ids)
-            own = [f for e in range(0, n, BATCH) for f in index.nearest_all(vectors[e : e + BATCH], k, range(e, min(e + BATCH, n)))]
+            n = len(index.ids)
+            own = [f for e in range(0, n, BATCH) for f in index.nearest_all(index.vectors(e, min(e + BATCH, n)), k, range(e, min(e + BATCH, n)))]
             x = np.array([self.features(*f) for f in own])
             y = index.labels
             self.beta = logistic(x, y, np.where(y > 0, class_weights[1], class_weights[0]))
