@@ -14,7 +14,8 @@ n documents thus takes n * fraction copies in expectation, each of its documents
 of copies is off by less than one.
 
 A cell is described by one number, the largest hash that is taken, so rows with texts only meet a table of cells.  That
-number is found by counting hashes per bucket and ranking one bucket a cell, of BUCKET documents in expectation.
+number is found by counting hashes in buckets and ranking one bucket a cell: a cell of n documents has sqrt(n) buckets of
+sqrt(n) documents in expectation, so no task ranks a hot source.
 
 Rows: a null or wordless text has size 0 and is taken as often as any other, which adds no words.  Null sources are one
 source.  A source without words has target 0 and rate 0.  Rows with one id (or a null one) and like sizes get the same
@@ -34,8 +35,6 @@ CAP = 2.0
 SALTS = 16
 #: Rows of a table of sources or cells that is broadcast; they hold a name and a few numbers each.
 BROADCAST_ROWS = 100_000
-#: Documents of a hash bucket, in expectation.
-BUCKET = 65_536
 
 
 def n_words(text: Column) -> Column:
@@ -94,7 +93,7 @@ def cell_table(light: DataFrame) -> DataFrame:
     cells = cells.withColumn("upto", F.sum("n").over(upto)).withColumn("u", unit_hash("cells", F.col("source")))
     copies = lambda n: F.floor(n * F.col("part") + F.col("u"))
     cells = cells.withColumn("k", copies(F.col("upto")) - copies(F.col("upto") - F.col("n")))
-    cells = cut(cells.withColumn("buckets", F.ceil(F.col("n") / BUCKET)).select("source", "class", "n", "source_size", "target", "whole", "k", "buckets"))
+    cells = cut(cells.withColumn("buckets", F.ceil(F.sqrt("n"))).select("source", "class", "n", "source_size", "target", "whole", "k", "buckets"))
     open_ = cells.where("k > 0 AND k < n").select(F.col("source").alias("s"), F.col("class").alias("c"), "k", "buckets")
     marked = with_cells(light, open_, {"source": "s", "class": "c"}, "doc_id").withColumn("h", draw(F.col("doc_id")))
     marked = marked.select("source", "class", "k", "h", F.floor(F.col("h") * F.col("buckets")).alias("bucket"))

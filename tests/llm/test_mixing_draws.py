@@ -27,8 +27,7 @@ def test_documents_are_drawn_with_their_fraction(spark):
             assert abs(r.got - r.want) < 4 * math.sqrt(0.25 / r.n * (1 if per == 1 else 2)), (per, r)
 
 
-def test_draws_equal_a_loop(spark, monkeypatch):
-    monkeypatch.setattr(mixing, "BUCKET", 16)  # several hash buckets a cell
+def test_draws_equal_a_loop(spark):
     rows = [(k, " ".join("w" * (1 + k * k % 37 if k % 10 else 300)), "abcd"[min(3, k % 9)]) for k in range(700)]
     rows += [(3, rows[3][1], rows[3][2])] * 20 + [(None, "a b c", "b")] * 15  # ids that repeat
     df = spark.createDataFrame(rows, SCHEMA)
