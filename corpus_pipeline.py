@@ -3,6 +3,8 @@ columns of ``documents``."""
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import uuid
 
 import public_tokenizers
@@ -58,11 +60,20 @@ STAGES = [
 ORACLE_SQL = None
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written as Parquet in the shared folder and read again."""
+    """All stages over ``documents``, each written as Parquet in the shared folder and read again.  A stage's table goes
+    when the next one is written; the last one, which the result reads, when the driver ends."""
     docs = table(spark, sf_dir, "documents")
     folder = f"{checkpoint_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    atexit.register(contextlib.suppress(Exception)(remove), spark, folder)
     for k, (name, stage) in enumerate(STAGES[:-1]):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
         docs = spark.read.parquet(f"{folder}/{k}-{name}")
+        if k:
+            remove(spark, f"{folder}/{k - 1}-{STAGES[k - 1][0]}")
     return STAGES[-1][1](spark, docs, sf_dir)
