@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import rank_tokens
+from .positions import numbered
 
 
 def adjacency(edges: DataFrame) -> DataFrame:
@@ -42,8 +43,7 @@ def path_edges(paths: DataFrame) -> DataFrame:
     with score 1 + 1 / position."""
     x = paths.select("source", "target", F.posexplode(F.split("edge_ids", ",")).alias("hop", "edge_id"))
     first = x.groupBy("edge_id").agg(F.min(F.struct("source", "target", "hop")).alias("k"))
-    pos = F.row_number().over(Window.orderBy("k"))
-    return first.select("edge_id", pos.cast("long").alias("pos")).withColumn("score", F.round(1 + 1 / F.col("pos"), 6))
+    return numbered(first, ["k"]).select("edge_id", "pos").withColumn("score", F.round(1 + 1 / F.col("pos"), 6))
 
 
 def incident_edges(edges: DataFrame, nodes: DataFrame, used: DataFrame) -> DataFrame:
@@ -51,14 +51,13 @@ def incident_edges(edges: DataFrame, nodes: DataFrame, used: DataFrame) -> DataF
     n = nodes.select("node").distinct()
     touch = edges.join(n, edges["subject"] == n["node"], "left_semi").union(edges.join(n, edges["object"] == n["node"], "left_semi")).select("edge_id").distinct()
     rest = touch.join(used.select("edge_id"), "edge_id", "left_anti")
-    pos = F.row_number().over(Window.orderBy("edge_id"))
-    return rest.select("edge_id", pos.cast("long").alias("pos")).withColumn("score", F.round(0.5 / F.col("pos"), 6))
+    return numbered(rest, ["edge_id"]).withColumn("score", F.round(0.5 / F.col("pos"), 6))
 
 
 def composite(parts: list[tuple[str, DataFrame]]) -> DataFrame:
     """One ranking from (group, edges with pos and score), group by group."""
     rows = [df.select("edge_id", "pos", "score", F.lit(name).alias("part"), F.lit(k).alias("k")) for k, (name, df) in enumerate(parts)]
-    return reduce(DataFrame.union, rows).withColumn("rank", F.row_number().over(Window.orderBy("k", "pos")).cast("long")).drop("k")
+    return numbered(reduce(DataFrame.union, rows), ["k", "pos"], "rank").drop("k")
 
 
 def mentioned(text: Column, name: Column) -> Column:
@@ -67,6 +66,17 @@ def mentioned(text: Column, name: Column) -> Column:
     return (F.size(rank_tokens(name)) > 0) & padded(text).contains(padded(name))
 
 
+def mentions(texts: DataFrame, key: list[str], names: DataFrame) -> DataFrame:
+    """(key, name) for each name whose tokens stand side by side in a text.  A text's different tokens meet names by their
+    first token: an equi join instead of every text with every name."""
+    t = texts.select(*key, rank_tokens(F.col("text")).alias("tokens"))
+    n = names.select("name").distinct().withColumn("_want", rank_tokens(F.col("name"))).where(F.size("_want") > 0)
+    n = n.select("name", F.col("_want")[0].alias("_first"), F.concat(F.lit(" "), F.array_join("_want", " "), F.lit(" ")).alias("_want"))
+    padded = F.concat(F.lit(" "), F.array_join("tokens", " "), F.lit(" "))
+    met = t.withColumn("_text", padded).withColumn("_first", F.explode(F.array_distinct("tokens"))).join(n, "_first")
+    return met.where(F.contains("_text", F.col("_want"))).select(*key, "name")
+
+
 def seed_nodes(items: DataFrame, nodes: DataFrame, limit: int = 3) -> DataFrame:
     """The first nodes that ranked items (rank, text, source_fact_ids) name in their raw text or share a source fact
     with; nodes: node, node_order, names, source_fact_ids."""

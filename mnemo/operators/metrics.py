@@ -7,7 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import at_fraction, ratio
+from ..functions.text import ratio
+from .positions import middle, order_statistics
 
 
 @dataclass(frozen=True)
@@ -47,11 +48,14 @@ def ratio_of_sums(rows: DataFrame, by: list[str], num: str, den: str) -> DataFra
 
 
 def latency(rows: DataFrame, by: list[str], value: str, units: str | None = None) -> DataFrame:
-    """Count, interpolated median, the value at floor(0.95 (n - 1)), and units per unit of time."""
-    out = [F.count(value).alias("n"), F.round(F.percentile(value, 0.5), 6).alias("median"), F.round(at_fraction(F.collect_list(value), 0.95), 6).alias("p95")]
+    """Count, interpolated median, the value at floor(0.95 (n - 1)), and units per unit of time.  No group's values are
+    gathered."""
+    places, median = middle()
+    x = order_statistics(rows, by, value, places | {"_p95": F.floor(0.95 * (F.col("n") - 1))})
+    out = x.select(*by, "n", F.round(median, 6).alias("median"), F.round("_p95", 6).alias("p95"))
     if units:
-        out.append(ratio(F.sum(units), F.sum(value)).alias("per_unit"))
-    return rows.groupBy(*by).agg(*out)
+        out = out.join(rows.groupBy(*by).agg(ratio(F.sum(units), F.sum(value)).alias("per_unit")), by)
+    return out
 
 
 def paired_table(rows: DataFrame, key: str, condition: str, a: str, b: str, hit: Column) -> DataFrame:

@@ -9,13 +9,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import at_fraction, md5_int, sha_text
+from ..functions.text import at_fraction, md5_int, sha_int, sha_text
+from ..session import cut
+from .positions import numbered
 
 
 def cluster_table(rows: DataFrame, cluster: str, measures: dict[str, Column]) -> DataFrame:
     """Sums of measures per cluster, clusters numbered from 0 in order: all that a bootstrap needs of the rows."""
     x = rows.groupBy(F.col(cluster).alias("cluster")).agg(*[F.sum(c).cast("double").alias(n) for n, c in measures.items()])
-    return x.withColumn("slot", F.row_number().over(Window.orderBy("cluster")) - 1)
+    return numbered(x, ["cluster"], "slot").withColumn("slot", F.col("slot") - 1)
 
 
 def hash_draws(clusters: DataFrame, reps: int, seed: str) -> DataFrame:
@@ -27,19 +29,24 @@ def hash_draws(clusters: DataFrame, reps: int, seed: str) -> DataFrame:
 
 
 def twister_draws(clusters: DataFrame, reps: int, seed: int) -> DataFrame:
-    """(rep, slot) from one Mersenne Twister stream, as a sequential program with this seed draws them; the stream is
-    replayed on the driver, reps x clusters small integers."""
-    n = clusters.count()
-    rng = random.Random(seed)
-    rows = [(r, rng.randrange(n)) for r in range(reps) for _ in range(n)]
-    return clusters.sparkSession.createDataFrame(pd.DataFrame(rows, columns=["rep", "slot"]), "rep long, slot long")
+    """(rep, slot) from one Mersenne Twister stream, as a sequential program with this seed draws them.  One task replays
+    the stream, a repetition's draws at a time; nothing of it is on the driver."""
+    spark, n = clusters.sparkSession, clusters.count()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rng = random.Random(seed)
+            for r in range(reps if len(batch) and n else 0):
+                yield pd.DataFrame({"rep": r, "slot": [rng.randrange(n) for _ in range(n)]})
+
+    return spark.range(0, 1, 1, 1).mapInPandas(run, "rep long, slot long").repartition("rep")
 
 
 def paired_effect(clusters: DataFrame, draws: DataFrame) -> DataFrame:
     """(effect, low, high, reps): the difference of two rates in percentage points, and its 95 % interval from resampled
     clusters.  clusters: slot, num_a, den_a, num_b, den_b.  Repetitions with an empty denominator are skipped."""
     points = lambda p: 100 * (F.sum(f"{p}num_a") / F.nullif(F.sum(f"{p}den_a"), F.lit(0.0)) - F.sum(f"{p}num_b") / F.nullif(F.sum(f"{p}den_b"), F.lit(0.0)))
-    each = draws.join(F.broadcast(clusters), "slot").groupBy("rep").agg(points("").alias("d")).where(F.col("d").isNotNull())
+    each = draws.join(clusters, "slot").groupBy("rep").agg(points("").alias("d")).where(F.col("d").isNotNull())
     ci = each.agg(F.collect_list(F.round("d", 6)).alias("all"))
     ci = ci.select(at_fraction(F.col("all"), 0.025).alias("low"), at_fraction(F.col("all"), 0.975).alias("high"), F.size("all").cast("long").alias("reps"))
     return clusters.agg(F.round(points(""), 6).alias("effect")).join(F.broadcast(ci))
@@ -51,14 +58,15 @@ def hash_rank(rows: DataFrame, by: list[str], seed: str, parts: list[str]) -> Da
     return rows.withColumn("rank_key", sha_text(seed, *[F.col(p) for p in parts])).withColumn("place", F.row_number().over(w))
 
 
-def greedy_strata(pool: DataFrame, stratum: str, item: str, unlike: str, per_block: int, blocks: int) -> DataFrame:
+def greedy_strata(pool: DataFrame, stratum: str, item: str, unlike: str, per_block: int, blocks: int, strict: bool = True) -> DataFrame:
     """(stratum, block, position, item): blocks of ``per_block`` items in pool order (rank_key), no two of a block with
-    the same ``unlike``; an item is used once.  A stratum that runs out stops at its last full block.
+    the same ``unlike``; an item is used once.  A stratum that runs out is an error, or (not ``strict``) stops at its
+    last full block.
 
     Sequential within a stratum.  A block takes one item of an ``unlike`` value at most, so only each value's first
     ``blocks`` items can be picked: the pool is cut to those before a stratum is gathered."""
     w = Window.partitionBy(stratum, unlike).orderBy("rank_key", item)
-    cut = pool.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= blocks).select(stratum, item, unlike, "rank_key")
+    firsts = pool.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= blocks).select(stratum, item, unlike, "rank_key")
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
         rows = p.sort_values(["rank_key", item]).to_dict("records")
@@ -73,62 +81,74 @@ def greedy_strata(pool: DataFrame, stratum: str, item: str, unlike: str, per_blo
                     seen.add(r[unlike])
                     used.add(r[item])
             if len(chosen) < per_block:
+                if strict:
+                    raise ValueError(f"stratum {rows[0][stratum]!r} has no block {block} of {per_block}")
                 break
             out += [(r[stratum], block, k, r[item]) for k, r in enumerate(chosen, 1)]
         return pd.DataFrame(out, columns=["stratum", "block", "position", "item"])
 
-    return cut.groupBy(stratum).applyInPandas(run, "stratum string, block long, position long, item long")
+    return firsts.groupBy(stratum).applyInPandas(run, "stratum string, block long, position long, item long")
 
 
 def sequential_dedupe(rows: DataFrame, order: str, profile: str, summary: str, item: str) -> DataFrame:
     """(item, decision): in order, a row is selected unless a *selected* earlier row has its profile, or its (non-empty)
     summary.
 
-    Only the first row of a (profile, summary) pair can be selected, and pairs that share neither profile nor summary do
-    not affect each other.  So firsts are found by aggregation, groups of linked pairs by spreading the least profile
-    over shared summaries until nothing changes, and each group's firsts are scanned in order.  All other rows compare
-    themselves with the selected rows of their profile and summary."""
+    Only the first row of a (profile, summary) pair can be selected.  Of those that are undecided, a row that is first in
+    its profile and in its summary is selected, and all that share either with it are out; this repeats until none is
+    undecided.  Each round is two aggregations and joins; no group is gathered.  All other rows compare themselves with
+    the selected rows of their profile and summary."""
     first = rows.groupBy(F.col(profile).alias("p"), F.col(summary).alias("s")).agg(F.min(F.struct(F.col(order).alias("o"), F.col(item).alias("i"))).alias("k"))
-    keep = lambda df: df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.cache()
-    nodes = keep(first.withColumn("g", F.col("p")))
-    moved = 1
-    while moved:
-        by_s = nodes.where("s <> ''").groupBy("s").agg(F.min("g").alias("gs"))
-        by_p = nodes.join(by_s, "s", "left").groupBy("p").agg(F.min(F.least(F.coalesce("gs", "g"), "g")).alias("gp"))
-        nodes = keep(nodes.join(by_p, "p").select("p", "s", "k", F.col("gp").alias("g"), (F.col("gp") < F.col("g")).alias("moved")))
-        moved = nodes.where("moved").limit(1).count()
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        group, profiles, summaries = None, set(), set()
-        for batch in batches:
-            out = []
-            for g, p, s, o, i in batch.itertuples(index=False):
-                if g != group:
-                    group, profiles, summaries = g, set(), set()
-                if p not in profiles and not (s and s in summaries):
-                    profiles.add(p)
-                    summaries.add(s)
-                    out.append((p, s, o, i))
-            yield pd.DataFrame(out, columns=["p", "s", "o", "i"])
-
-    firsts = nodes.select("g", "p", "s", "k.o", "k.i").repartition("g").sortWithinPartitions("g", "o", "i")
-    taken = firsts.mapInPandas(scan, "p string, s string, o string, i long")
-    by_profile = taken.select(F.col("p").alias("pp"), F.struct("o", "i").alias("at_p"))
-    by_summary = taken.where("s <> ''").select(F.col("s").alias("ss"), F.struct("o", "i").alias("at_s"))
+    open_, taken = cut(first), None
+    while open_.limit(1).count():
+        of_p = open_.groupBy("p").agg(F.min("k").alias("kp"))
+        of_s = open_.where("s <> ''").groupBy("s").agg(F.min("k").alias("ks"))
+        chosen = cut(open_.join(of_p, "p").where("k = kp").join(of_s, "s", "left").where("ks IS NULL OR k = ks").select("p", "s", "k"))
+        rest = open_.join(chosen.select("p"), "p", "left_anti").join(chosen.where("s <> ''").select("s"), "s", "left_anti")
+        taken, open_ = chosen if taken is None else taken.union(chosen), cut(rest.select("p", "s", "k"))
+    if taken is None:
+        taken = open_
+    by_profile = taken.select(F.col("p").alias("pp"), F.col("k").alias("at_p"))
+    by_summary = taken.where("s <> ''").select(F.col("s").alias("ss"), F.col("k").alias("at_s"))
     x = rows.join(by_profile, F.col(profile) == F.col("pp"), "left").join(by_summary, F.col(summary) == F.col("ss"), "left")
     me = F.struct(F.col(order).alias("o"), F.col(item).alias("i"))
     why = F.when(me == F.col("at_p"), F.lit("selected")).when(F.col("at_p") < me, F.lit("repeated_profile")).otherwise(F.lit("repeated_summary"))
     return x.select(F.col(item).alias("item"), why.alias("decision"))
 
 
-def blocks_of(rows: DataFrame, order: list[str], size: int = 3) -> DataFrame:
-    """Consecutive rows in blocks: block (from 1) and place (from 0)."""
-    n = F.row_number().over(Window.orderBy(*order)) - 1
-    return rows.withColumn("n", n).withColumn("block", (F.floor(F.col("n") / size) + 1).cast("long")).withColumn("place", (F.col("n") % size).cast("long")).drop("n")
+def full_blocks(rows: DataFrame, size: int = 3) -> None:
+    """Rows must fill their blocks."""
+    if n := rows.count() % size:
+        raise ValueError(f"{n} rows are left over from blocks of {size}")
+
+
+def blocks_of(rows: DataFrame, order: list[str], size: int = 3, strict: bool = True) -> DataFrame:
+    """Consecutive rows in blocks: block (from 1) and place (from 0).  Rows that leave a block unfilled are an error, unless
+    not ``strict``."""
+    if strict:
+        full_blocks(rows, size)
+    n = F.col("_n") - 1
+    return numbered(rows, order, "_n").withColumn("block", (F.floor(n / size) + 1).cast("long")).withColumn("place", (n % size).cast("long")).drop("_n")
+
+
+def rotation(seed: str, key: Column, n: int) -> Column:
+    """A number below n from the key's hash: which family a block leaves out, which field a question asks."""
+    return sha_int(seed, key) % n
+
+
+def distractor(fields: Column, asked: Column) -> tuple[Column, Column]:
+    """(name, value) that a distractor shows: the asked field if it has it, else its first field by name."""
+    name = F.when(F.map_contains_key(fields, asked), asked).otherwise(F.array_min(F.map_keys(fields)))
+    return name, F.try_element_at(fields, name)
 
 
-def reuse_plan(cells: DataFrame, key: list[str], position: list[str], cell: str) -> DataFrame:
-    """The first cell of each key is a real call; the others reuse it."""
+def reuse_plan(cells: DataFrame, key: list[str], position: list[str], cell: str, content: str | None = None) -> DataFrame:
+    """The first cell of each key is a real call; the others reuse it.  content: what the key is a hash of; a key with two
+    contents is an error, found where the plan runs."""
+    if content is not None:
+        apart = F.raise_error(F.concat_ws(" ", F.lit("one hash, two contents:"), *[F.col(k).cast("string") for k in key])).cast("boolean")
+        one = cells.groupBy(*key).agg(F.min(content).alias("_a"), F.max(content).alias("_z")).where(F.when(F.col("_a").eqNullSafe(F.col("_z")), True).otherwise(apart))
+        cells = cells.join(one.select(*key), key)
     first = cells.groupBy(*key).agg(F.min(F.struct(*position, cell)).alias("_first")).select(*key, F.col(f"_first.{cell}").alias("first_cell"))
     x = cells.join(first, key)
     same = F.col(cell) == F.col("first_cell")
@@ -137,4 +157,4 @@ def reuse_plan(cells: DataFrame, key: list[str], position: list[str], cell: str)
 
 def interleave(rows: DataFrame, order: DataFrame, on: list[str]) -> DataFrame:
     """Rows in a fixed order of their keys; order: the keys and position."""
-    return rows.join(F.broadcast(order), on).withColumn("message_order", F.row_number().over(Window.partitionBy("episode").orderBy("position")))
+    return rows.join(order, on).withColumn("message_order", F.row_number().over(Window.partitionBy("episode").orderBy("position")))

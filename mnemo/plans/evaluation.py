@@ -10,6 +10,8 @@ from ..operators import evaluate, metrics, resample
 from ..operators.metrics import Metric
 from .common import table
 
+REPETITIONS = 10_000
+
 
 def _outcomes(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "lang", "source", "n_chars")
@@ -69,19 +71,37 @@ def _clusters(spark, d):
 
 def bootstrap_ci_hash(spark, d):
     c = _clusters(spark, d)
-    return resample.paired_effect(c, resample.hash_draws(c, 200, "20260922"))
+    return resample.paired_effect(c, resample.hash_draws(c, REPETITIONS, "20260922"))
 
 
 def bootstrap_ci_mt(spark, d):
     c = _clusters(spark, d)
-    return resample.paired_effect(c, resample.twister_draws(c, 1000, 20260922))
+    return resample.paired_effect(c, resample.twister_draws(c, REPETITIONS, 20260922))
+
+
+#: Answers as models give them, good and bad, for each of the strict parsers.
+ANSWERS = (
+    '{"value": "x"}', '{"value": null}', '{"value": 3}', '{"value": "x", "more": 1}', "{}", "no json", "[1]", "",
+    '{"values": ["a", "b"]}', '{"values": []}', '{"values": "a"}', '{"values": [1]}', '{"values": ["a"], "z": 0}',
+    '{"status": "answered", "answer": "a"}', '{"status": "other", "answer": "a"}', '{"status": "abstained"}', '{"status": "answered", "answer": 1}',
+    '```json\n[{"a": 1}, 2]\n```', 'text [1, 2] text', '{"value": "x"} tail',
+)
+#: What the parsers say of them: (one value, many values, status and answer, number of embedded elements or -1).
+SAID = (
+    ("x", "missing_values_key", "missing_keys:answer,status", -1), ("null", "missing_values_key", "missing_keys:answer,status", -1), ("value_type:int", "missing_values_key", "missing_keys:answer,status", -1), ("extra_keys:more", "missing_values_key", "missing_keys:answer,status", -1),
+    ("missing_value_key", "missing_values_key", "missing_keys:answer,status", -1), ("not_json", "not_json", "not_json", -1), ("not_json_object", "not_json_object", "not_json_object", 1), ("empty_text", "empty_content", "empty_text", -1),
+    ("missing_value_key", "a+b", "missing_keys:answer,status", 2), ("missing_value_key", "", "missing_keys:answer,status", 0), ("missing_value_key", "values_not_list", "missing_keys:answer,status", -1), ("missing_value_key", "values_not_list_of_strings", "missing_keys:answer,status", 1), ("missing_value_key", "extra_keys:z", "missing_keys:answer,status", 1),
+    ("missing_value_key", "missing_values_key", "answered=a", -1), ("missing_value_key", "missing_values_key", "status_not_allowed:'other'", -1), ("missing_value_key", "missing_values_key", "missing_keys:answer", -1), ("missing_value_key", "missing_values_key", "answer_type:int", -1),
+    ("not_json", "not_json", "not_json", 2), ("not_json", "not_json", "not_json", 2), ("not_json", "not_json", "not_json", -1),
+)
 
 
 def strict_json_parse(spark, d):
-    """Event properties as model answers of all three kinds: none of them fits, for a stated reason."""
-    e = table(spark, d, "events").select("event_id", "props")
-    x = e.select("event_id", parse_one_value("props").alias("a"), parse_many_values("props").alias("b"), parse_status_answer(F.col("props"), ("answered", "abstained")).alias("c"), parse_embedded_array("props").alias("r"))
-    return x.groupBy(F.col("a.error").alias("one_error"), F.col("b.error").alias("many_error"), F.col("c.error").alias("answer_error"), F.col("r").isNull().alias("no_array")).agg(F.count("*").alias("n"))
+    """Each document's id picks one of the answers; all parsers read it.  Errors in their words, values otherwise."""
+    x = table(spark, d, "documents").select("doc_id", F.element_at(F.array(*map(F.lit, ANSWERS)), (F.pmod("doc_id", F.lit(len(ANSWERS))) + 1).cast("int")).alias("t"))
+    x = x.select("doc_id", parse_one_value("t").alias("a"), parse_many_values("t").alias("b"), parse_status_answer(F.col("t"), ("answered", "abstained")).alias("c"), parse_embedded_array("t").alias("r"))
+    one = F.coalesce("a.error", "a.value", F.lit("null"))
+    return x.select("doc_id", one.alias("one"), F.coalesce("b.error", F.array_join("b.values", "+")).alias("many"), F.coalesce("c.error", F.concat_ws("=", "c.status", "c.answer")).alias("answer"), F.coalesce(F.size("r"), F.lit(-1)).cast("long").alias("embedded"))
 
 
 def answers_exact_match(spark, d):
@@ -149,10 +169,14 @@ def _rates_sql(group: str, select: str) -> str:
 
 
 _CLU = f"""{_OUT}, c AS (SELECT source, sum((good AND lang = 'en')::INT)::DOUBLE AS na, sum((lang = 'en')::INT)::DOUBLE AS da, sum((good AND lang <> 'en')::INT)::DOUBLE AS nb, sum((lang <> 'en')::INT)::DOUBLE AS db, row_number() OVER (ORDER BY source) - 1 AS slot FROM o GROUP BY source),
-  g AS (SELECT rep, k, (('0x' || substr(md5('20260922:' || rep || ':' || k), 1, 8))::BIGINT % n) AS slot FROM (SELECT count(*) AS n FROM c), range(200) r(rep), LATERAL (SELECT unnest(range(n)) AS k)),
+  g AS (SELECT rep, k, (('0x' || substr(md5('20260922:' || rep || ':' || k), 1, 8))::BIGINT % n) AS slot FROM (SELECT count(*) AS n FROM c), range(10000) r(rep), LATERAL (SELECT unnest(range(n)) AS k)),
   e AS (SELECT rep, round(100 * (sum(na) / nullif(sum(da), 0) - sum(nb) / nullif(sum(db), 0)), 6) AS d FROM g JOIN c USING (slot) GROUP BY rep),
   l AS (SELECT list_sort(list(d)) AS v FROM e WHERE d IS NOT NULL)"""
 
+_q = lambda v: "'" + v.replace("'", "''") + "'"
+_SAID_SQL = f"""WITH said(k, one, many, answer, embedded) AS (VALUES {', '.join(f"({k}, {_q(a)}, {_q(b)}, {_q(c)}, {n}::BIGINT)" for k, (a, b, c, n) in enumerate(SAID))})
+SELECT doc_id, one, many, answer, embedded FROM documents JOIN said ON k = doc_id % {len(ANSWERS)}"""
+
 QUERIES = {
     "metrics_by_condition": (metrics_by_condition, _rates_sql("source", "source")),
     "rate_table_grouping_sets": (rate_table_grouping_sets, _rates_sql("GROUPING SETS ((source), (lang, source), ())", "CASE WHEN grouping(lang) = 1 THEN 'all' ELSE coalesce(lang, 'null') END AS lang, CASE WHEN grouping(source) = 1 THEN 'all' ELSE coalesce(source, 'null') END AS source")),
@@ -163,7 +187,7 @@ QUERIES = {
     "answer_rates_4dp": (answer_rates_4dp, f"WITH {_OUT} SELECT lang, count(*) FILTER (WHERE good) AS num, count(*) AS den, round(count(*) FILTER (WHERE good) / count(*)::DOUBLE, 4) AS rate, round(100 * count(*) FILTER (WHERE good) / count(*)::DOUBLE, 1) AS percent FROM o GROUP BY lang"),
     "bootstrap_ci_hash": (bootstrap_ci_hash, f"WITH {_CLU} SELECT round(100 * ((SELECT sum(na) / nullif(sum(da), 0) FROM c) - (SELECT sum(nb) / nullif(sum(db), 0) FROM c)), 6) AS effect, v[floor(0.025 * (len(v) - 1))::BIGINT + 1] AS low, v[floor(0.975 * (len(v) - 1))::BIGINT + 1] AS high, len(v)::BIGINT AS reps FROM l"),
     "bootstrap_ci_mt": (bootstrap_ci_mt, None),
-    "strict_json_parse": (strict_json_parse, None),
+    "strict_json_parse": (strict_json_parse, _SAID_SQL),
     "answers_exact_match": (answers_exact_match, """WITH x AS (SELECT doc_id, lang, doc_id % 7 AS m, doc_id % 7 <> 5 AS reachable, CASE WHEN doc_id % 7 <> 5 THEN doc_id % 2 = 0 END AS success FROM documents),
   y AS (SELECT *, m IN (3, 4, 5) AND lang IS NOT NULL AS exact FROM x),
   z AS (SELECT *, CASE WHEN exact THEN 'none' WHEN m = 6 THEN 'missing_response' WHEN NOT reachable THEN 'evidence_unreachable' WHEN NOT success THEN 'retrieval' WHEN m = 1 THEN 'format' ELSE 'generation' END AS cause FROM y)

@@ -87,7 +87,7 @@ def _parts(spark, d):
     on_path = graph.path_edges(paths).persist()
     ends = e.join(on_path.select("edge_id"), "edge_id", "left_semi")
     nodes = a.union(ends.select("subject")).union(ends.select("object"))
-    return paths, on_path, graph.incident_edges(e, nodes.where(~F.col("node").startswith("N")), on_path)
+    return paths, on_path, graph.incident_edges(e, nodes, on_path)
 
 
 def graph_incident_edges(spark, d):
@@ -107,11 +107,13 @@ def graph_path_complete(spark, d):
 
 
 def mentioned_nodes(spark, d):
-    """Names of nations and regions, and frequent words as names, in user turns: a name's tokens side by side."""
-    t = turns(spark, d).select("conv_id", "turn", "text")
+    """Names of nations and regions, and frequent words as names, in user turns and documents: a name's tokens side by
+    side.  Names are joined on their first token, so a text meets only names that begin with one of its words."""
+    t = turns(spark, d).select(F.lit("turn").alias("kind"), F.concat_ws("-", "conv_id", "turn").alias("id"), "text")
+    t = t.union(table(spark, d, "documents").select(F.lit("document").alias("kind"), F.col("doc_id").cast("string").alias("id"), "text"))
     extra = spark.createDataFrame([("of the",), ("de la",), ("in the",), ("der und",), ("que",)], "name string")
     names = table(spark, d, "nation").select(F.col("n_name").alias("name")).union(table(spark, d, "region").select("r_name")).union(extra)
-    return t.join(F.broadcast(names), graph.mentioned(F.col("text"), F.col("name"))).select("conv_id", "turn", "name")
+    return graph.mentions(t, ["kind", "id"], names)
 
 
 _OPS = """ops AS (SELECT user_id::VARCHAR AS scenario, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS op_order,
@@ -150,7 +152,7 @@ _RANKS = f"""{_EDGES},
   pe1 AS (SELECT edge_id, min((source, target, hop)) AS k FROM pe0 GROUP BY edge_id),
   pe AS (SELECT edge_id, row_number() OVER (ORDER BY k) AS pos FROM pe1),
   nd AS (SELECT node FROM an UNION SELECT subject FROM ed WHERE edge_id IN (SELECT edge_id FROM pe) UNION SELECT object FROM ed WHERE edge_id IN (SELECT edge_id FROM pe)),
-  ie AS (SELECT edge_id, row_number() OVER (ORDER BY edge_id) AS pos FROM ed WHERE edge_id NOT IN (SELECT edge_id FROM pe) AND (subject IN (SELECT node FROM nd WHERE node NOT LIKE 'N%') OR object IN (SELECT node FROM nd WHERE node NOT LIKE 'N%'))),
+  ie AS (SELECT edge_id, row_number() OVER (ORDER BY edge_id) AS pos FROM ed WHERE edge_id NOT IN (SELECT edge_id FROM pe) AND (subject IN (SELECT node FROM nd) OR object IN (SELECT node FROM nd))),
   rk AS (SELECT edge_id, part, row_number() OVER (ORDER BY k, pos) AS rank, CASE WHEN k = 0 THEN round(1 + 1 / pos, 6) ELSE round(0.5 / pos, 6) END AS score
     FROM (SELECT edge_id, 'path' AS part, 0 AS k, pos::DOUBLE AS pos FROM pe UNION ALL SELECT edge_id, 'incident', 1, pos FROM ie))"""
 _TOK = "' ' || array_to_string(regexp_extract_all(lower({}), '[a-z0-9_-]+'), ' ') || ' '"
@@ -168,5 +170,6 @@ QUERIES = {
     "graph_path_complete": (graph_path_complete, f"""WITH {_RANKS} SELECT source, target, bool_and(rank IS NOT NULL) AS complete, coalesce(string_agg(pe0.edge_id, ',' ORDER BY pe0.edge_id) FILTER (WHERE rank IS NULL), '') AS missing
 FROM pe0 LEFT JOIN (SELECT edge_id, rank FROM rk WHERE rank <= 10) x USING (edge_id) GROUP BY source, target"""),
     "mentioned_nodes": (mentioned_nodes, f"""WITH names AS (SELECT n_name AS name FROM nation UNION ALL SELECT r_name FROM region UNION ALL VALUES ('of the'), ('de la'), ('in the'), ('der und'), ('que'))
-SELECT conv_id, turn, name FROM conversations JOIN names ON contains({_TOK.format('text')}, {_TOK.format('name')}) WHERE role = 'user'"""),
+SELECT kind, id, name FROM (SELECT 'turn' AS kind, conv_id || '-' || turn AS id, text FROM conversations WHERE role = 'user' UNION ALL SELECT 'document', doc_id::VARCHAR, text FROM documents)
+JOIN names ON contains({_TOK.format('text')}, {_TOK.format('name')})"""),
 }

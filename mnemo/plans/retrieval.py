@@ -186,7 +186,7 @@ SELECT conv_id, count(*) AS examined, count(*) FILTER (WHERE selected) AS n_sele
 FROM p GROUP BY conv_id"""
 
 
-_TIERS = f"""WITH {R_SQL},
+TIERS_SQL = f"""WITH {R_SQL},
   a AS (SELECT *, CASE WHEN session_order >= n_user - 1 - 1 THEN 'recent' ELSE 'archive' END AS level, score > 0 AS ok FROM r),
   b AS (SELECT *, CASE WHEN level = 'recent' THEN {BUDGET // 2} ELSE {BUDGET - BUDGET // 2} END AS quota,
     sum(CASE WHEN ok THEN tokens ELSE 0 END) OVER (PARTITION BY conv_id, level ORDER BY rank) AS c1 FROM a),
@@ -240,9 +240,9 @@ FROM q CROSS JOIN (VALUES ('C0'), ('C1'), ('C2')) c(condition) LEFT JOIN h ON h.
     "budget_unlimited": (budget_unlimited, _summary_sql("NULL")),
     "full_history": (full_history, f"""WITH {T_SQL}, x AS (SELECT *, '[' || conv_id || '-' || turn || '] ' || text AS render FROM h)
 SELECT conv_id, count(*) AS n_items, sum({count_sql('render')})::BIGINT AS context_tokens, sum({count_sql('text')})::BIGINT AS content_tokens, sha256(string_agg(render, chr(10) ORDER BY session_order)) AS context_sha256 FROM x GROUP BY conv_id"""),
-    "ger_two_phase": (ger_two_phase, f"""{_TIERS} SELECT conv_id, turn, level, rank, tokens, CASE WHEN one THEN 1 WHEN two THEN 2 ELSE 0 END::BIGINT AS phase, one OR two AS selected,
+    "ger_two_phase": (ger_two_phase, f"""{TIERS_SQL} SELECT conv_id, turn, level, rank, tokens, CASE WHEN one THEN 1 WHEN two THEN 2 ELSE 0 END::BIGINT AS phase, one OR two AS selected,
   CASE WHEN NOT ok THEN 'zero score' WHEN one THEN 'quota' WHEN two THEN 'reuse' WHEN rank = closes AND tokens > {BUDGET} THEN 'above the budget' WHEN rank = closes THEN 'no room left' ELSE 'closed' END AS outcome FROM g"""),
-    "ger_tiers": (ger_tiers, f"""{_TIERS} SELECT conv_id, level, count(*) FILTER (WHERE ok) AS candidates, any_value(quota)::BIGINT AS quota, coalesce(sum(tokens) FILTER (WHERE one), 0)::BIGINT AS used,
+    "ger_tiers": (ger_tiers, f"""{TIERS_SQL} SELECT conv_id, level, count(*) FILTER (WHERE ok) AS candidates, any_value(quota)::BIGINT AS quota, coalesce(sum(tokens) FILTER (WHERE one), 0)::BIGINT AS used,
   any_value(quota)::BIGINT - coalesce(sum(tokens) FILTER (WHERE one), 0)::BIGINT AS unused, coalesce(sum(tokens) FILTER (WHERE two), 0)::BIGINT AS reused FROM g GROUP BY conv_id, level"""),
     "reading_scope": (reading_scope, f"WITH {T_SQL} SELECT conv_id, turn, CASE WHEN {_LIKES} THEN 'history' ELSE 'current' END AS scope FROM u"),
     "retrieval_success": (retrieval_success, f"{_TRIALS} SELECT * FROM tr"),

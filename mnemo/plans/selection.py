@@ -11,6 +11,7 @@ from ..functions.text import plain_spaces, sha_int, usable_value
 from ..operators import budget, evaluate, metrics, perimeter, quality, resample
 from ..operators.quality import LEAKS
 from .common import BUDGET, ranked, table
+from .retrieval import TIERS_SQL
 
 SEED = "20260923"
 CRITERIA = ("no_text", "too_short", "too_long", "language_not_in_scope", "unlabelled", "low_quality", "leaks_address")
@@ -53,7 +54,7 @@ def hash_order_selection(spark, d):
 
 def greedy_strata(spark, d):
     x = resample.hash_rank(table(spark, d, "documents").select("lang", "doc_id", "source"), ["lang"], SEED, ["lang", "doc_id"])
-    return resample.greedy_strata(x, "lang", "doc_id", "source", 3, 10)
+    return resample.greedy_strata(x, "lang", "doc_id", "source", 3, 10, strict=False)
 
 
 def sequential_dedupe(spark, d):
@@ -101,11 +102,14 @@ def block_of_three(spark, d):
 
 
 def context_builder(spark, d):
-    """Contexts for each document of a triple: with the target and two distractors, or the distractors alone."""
+    """Two contexts for each document: with the target and the others of its triple, or the others alone (the last triple of
+    a language may lack some)."""
     x = _blocks(spark, d)
     other = x.select("lang", "block", F.col("doc_id").alias("member"), F.sha2(F.concat_ws(":", F.lit("order"), F.col("doc_id").cast("string")), 256).alias("o"))
-    y = x.select("lang", "block", "doc_id").join(other, ["lang", "block"]).withColumn("condition", F.explode(F.when(F.col("member") == F.col("doc_id"), F.array(F.lit("sufficient"))).otherwise(F.array(F.lit("sufficient"), F.lit("insufficient")))))
-    return y.groupBy("doc_id", "condition").agg(F.count("*").alias("members"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", "member"))), lambda s: s["member"].cast("string")), ",").alias("context"))
+    cells = x.select("lang", "block", "doc_id").withColumn("condition", F.explode(F.array(F.lit("sufficient"), F.lit("insufficient"))))
+    seen = F.when((F.col("condition") == "sufficient") | (F.col("member") != F.col("doc_id")), F.struct("o", "member"))
+    y = cells.join(other, ["lang", "block"]).groupBy("doc_id", "condition").agg(F.array_sort(F.collect_list(seen)).alias("m"))  # two cells for each of three members
+    return y.select("doc_id", "condition", F.size("m").cast("long").alias("members"), F.array_join(F.transform("m", lambda s: s["member"].cast("string")), ",").alias("context"))
 
 
 def leak_detector(spark, d):
@@ -150,9 +154,12 @@ def quality_fields(spark, d):
 
 
 def tier_properties(spark, d):
-    """What a strict selection must satisfy; no rows when it does."""
+    """A selection made for one budget, held against a smaller one, with every fifth conversation's first item twice: the
+    properties of a strict selection that it breaks."""
     x = ranked(spark, d).withColumn("level", budget.level(F.col("session_order"), F.col("n_user") - 1)).withColumn("item_id", F.col("turn"))
-    return quality.tier_properties(budget.two_phase(x, ["conv_id"], F.lit(BUDGET)), ["conv_id"], BUDGET)
+    x = budget.two_phase(x, ["conv_id"], F.lit(BUDGET))
+    again = x.where((F.col("conv_id") % 5 == 0) & (F.col("rank") == 1))
+    return quality.tier_properties(x.union(again), ["conv_id"], BUDGET * 3 // 4)
 
 
 def freq_tables(spark, d):
@@ -234,7 +241,8 @@ SELECT pos, value AS criterion, excluded, ((SELECT count(*) FROM c) - sum(exclud
     "resume_pending": (resume_pending, f"WITH {_LAST} SELECT u.user_id, t.event_type FROM (SELECT DISTINCT user_id FROM events) u CROSS JOIN (SELECT DISTINCT event_type FROM events) t WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.user_id = u.user_id AND l.event_type = t.event_type AND value > 50)"),
     "block_of_three": (block_of_three, f"WITH {_BLOCKS} SELECT lang, doc_id, block, place, ('0x' || substr(sha256('{SEED}:questions:' || doc_id), 1, 8))::BIGINT % 3 AS rotation, (place + block) % 3 AS message_place FROM b"),
     "context_builder": (context_builder, f"""WITH {_BLOCKS}, x AS (SELECT a.doc_id, o.doc_id AS member, sha256('order:' || o.doc_id) AS k FROM b a JOIN b o ON a.lang = o.lang AND a.block = o.block)
-SELECT doc_id, condition, count(*) AS members, string_agg(member::VARCHAR, ',' ORDER BY k) AS context FROM x CROSS JOIN (VALUES ('sufficient'), ('insufficient')) c(condition) WHERE condition = 'sufficient' OR member <> doc_id GROUP BY doc_id, condition"""),
+SELECT doc_id, condition, count(*) FILTER (WHERE condition = 'sufficient' OR member <> doc_id) AS members, coalesce(string_agg(member::VARCHAR, ',' ORDER BY k) FILTER (WHERE condition = 'sufficient' OR member <> doc_id), '') AS context
+FROM x CROSS JOIN (VALUES ('sufficient'), ('insufficient')) c(condition) GROUP BY doc_id, condition"""),
     "leak_detector": (leak_detector, _leak_sql("documents", "doc_id", "text") + " UNION ALL " + _leak_sql("pages", "page_id", "html")),
     "quality_duplicates": (quality_duplicates, "SELECT 'E-DUP' AS code, l_orderkey || '|' || l_linenumber AS key, count(*)::VARCHAR AS detail FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1 UNION ALL SELECT 'E-TEXT', sha256(text), count(*)::VARCHAR FROM documents GROUP BY text HAVING count(*) > 1"),
     "quality_fk": (quality_fk, """SELECT 'E-REF' AS code, o_orderkey::VARCHAR AS key, o_custkey::VARCHAR AS detail FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)
@@ -243,7 +251,11 @@ UNION ALL SELECT 'E-REF', doc_id::VARCHAR, doc_id::VARCHAR FROM labels WHERE doc
     "quality_order": (quality_order, _gap_sql("lineitem", "l_orderkey", "l_linenumber", 1) + " UNION ALL " + _gap_sql("(SELECT * FROM conversations WHERE role <> 'system')", "conv_id", "turn", 0)),
     "quality_match": (quality_match, "SELECT 'E-MATCH' AS code, doc_id::VARCHAR AS key, n_chars || ' <> ' || length(text) AS detail FROM documents WHERE n_chars <> length(text) UNION ALL SELECT 'E-COUNT', l_orderkey::VARCHAR, count(*)::VARCHAR FROM lineitem GROUP BY l_orderkey HAVING count(*) <> 4"),
     "quality_fields": (quality_fields, " UNION ALL ".join(f"SELECT '{c}' AS code, doc_id::VARCHAR AS key, '' AS detail FROM documents WHERE ({p}) IS NOT TRUE" for c, p in (("E-FIELD", "length(trim(text)) > 0"), ("E-LANG", "lang IN ('en', 'fr', 'de')"), ("E-SIZE", "n_chars BETWEEN 100 AND 10000")))),
-    "tier_properties": (tier_properties, "SELECT '' AS code, '' AS key, '' AS detail WHERE false"),
+    "tier_properties": (tier_properties, f"""{TIERS_SQL},
+  sp AS (SELECT conv_id, turn, level, tokens, one, one OR two AS sel FROM g UNION ALL SELECT conv_id, turn, level, tokens, one, one OR two FROM g WHERE conv_id % 5 = 0 AND rank = 1)
+SELECT 'E-BUDGET' AS code, conv_id::VARCHAR AS key, sum(tokens)::BIGINT::VARCHAR AS detail FROM sp WHERE sel GROUP BY conv_id HAVING sum(tokens) > {BUDGET * 3 // 4}
+UNION ALL SELECT 'E-QUOTA', conv_id || '|' || level, sum(tokens)::BIGINT::VARCHAR FROM sp WHERE one GROUP BY conv_id, level HAVING sum(tokens) > CASE level WHEN 'recent' THEN {BUDGET * 3 // 4 // 2} ELSE {BUDGET * 3 // 4 - BUDGET * 3 // 4 // 2} END
+UNION ALL SELECT 'E-DUP', conv_id || '|' || turn, count(*)::VARCHAR FROM sp GROUP BY conv_id, turn HAVING count(*) > 1"""),
     "freq_tables": (freq_tables, "SELECT 'lang' AS field, lang AS value, count(*) AS n FROM documents GROUP BY lang UNION ALL SELECT 'source', source, count(*) FROM documents GROUP BY source UNION ALL SELECT 'type_word', w, count(*) FROM (SELECT unnest(string_split(lower(p_type), ' ')) AS w FROM part) GROUP BY w"),
     "shared_groups": (shared_groups, r"SELECT md5(trim(regexp_replace(lower(text), '\s+', ' ', 'g'))) AS text_md5, count(*) AS n, min(doc_id) AS first_doc FROM documents GROUP BY 1 HAVING count(*) > 1 ORDER BY n DESC, first_doc LIMIT 5"),
     "anonymize_roundtrip": (anonymize_roundtrip, f"SELECT doc_id, md5({_HIDE}) AS hidden_md5, {_HIDE} <> text AS changed, {_BACK} = text AS restored FROM documents"),
