@@ -11,7 +11,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import rank_tokens
+from ..functions.text import ordered_join, rank_tokens
+from ..session import cut
+from . import items
+from .budget import prefix_within_budget
+from .perimeter import readable
 from .positions import numbered
 
 
@@ -118,6 +122,91 @@ def relation_trace(relations: DataFrame, items: DataFrame, key: list[str]) -> Da
     return x.select(*key, "relation_id", F.coalesce("item_ids", F.lit("")).alias("item_ids"), F.col("item_ids").isNotNull().alias("present"))
 
 
-def unselected_reason(readable: Column, on_topic: Column, selected: Column) -> Column:
+def unselected_reason(can_read: Column, on_topic: Column, selected: Column) -> Column:
     """Why an edge is not in the context; null for a selected one."""
-    return F.when(selected, None).when(~readable, "state not readable").when(~on_topic, "off topic").otherwise("outside the budget")
+    return F.when(selected, None).when(~can_read, "state not readable").when(~on_topic, "off topic").otherwise("outside the budget")
+
+
+def anchors(question_nodes: DataFrame, entry_nodes: DataFrame, key: list[str]) -> DataFrame:
+    """(key, node, a): the nodes that a question names (key, node, node_order), then those of its seed items (key, node,
+    pos) that are not among them, numbered."""
+    late = entry_nodes.join(question_nodes.select(*key, "node"), [*key, "node"], "left_anti")
+    both = question_nodes.select(*key, "node", F.lit(0).alias("part"), F.col("node_order").alias("o")).union(late.select(*key, "node", F.lit(1), "pos"))
+    return both.select(*key, "node", F.row_number().over(Window.partitionBy(*key).orderBy("part", "o")).alias("a"))
+
+
+def question_paths(edges: DataFrame, ends: DataFrame, key: list[str], hops: int = 3) -> DataFrame:
+    """Every pair of anchors (source before target) of each key with its shortest path: source, target, i, j, ids (null: none
+    within ``hops`` edges), path number k and path_id in the order of pairs.  edges: key, edge_id, subject, object; ends:
+    key, node, a."""
+    adj = edges.select(*key, "edge_id", F.col("subject").alias("_a"), F.col("object").alias("_b")).union(edges.where("subject <> object").select(*key, "edge_id", "object", "subject"))
+    least = lambda x: x.groupBy(*key, "source", "at").agg(F.min(F.struct("ids", "nodes")).alias("x")).select(*key, "source", "at", "x.ids", "x.nodes")
+    start = ends.select(*key, F.col("node").alias("_a")).join(adj, [*key, "_a"])
+    step = least(start.select(*key, F.col("_a").alias("source"), F.col("_b").alias("at"), F.array("edge_id").alias("ids"), F.array("_a", "_b").alias("nodes")).where("source <> at"))
+    found = [step]
+    for _ in range(hops - 1):
+        nxt = step.withColumnRenamed("at", "_a").join(adj, [*key, "_a"]).where(~F.array_contains("nodes", F.col("_b")))
+        step = least(nxt.select(*key, "source", F.col("_b").alias("at"), F.concat("ids", F.array("edge_id")).alias("ids"), F.concat("nodes", F.array("_b")).alias("nodes")))
+        found.append(step)
+    best = reduce(DataFrame.union, found).groupBy(*key, "source", F.col("at").alias("target")).agg(F.min(F.struct(F.size("ids").alias("h"), "ids")).alias("x")).select(*key, "source", "target", "x.ids")
+    pairs = ends.select(*key, F.col("node").alias("source"), F.col("a").alias("i")).join(ends.select(*key, F.col("node").alias("target"), F.col("a").alias("j")), key).where("i < j")
+    x = pairs.join(best, [*key, "source", "target"], "left")
+    k = F.when(F.col("ids").isNotNull(), F.row_number().over(Window.partitionBy(*key, F.col("ids").isNull()).orderBy("i", "j")))
+    return x.withColumn("k", k).withColumn("path_id", F.format_string("P%02d", "k")).withColumn("path_id", F.when(F.col("k").isNotNull(), F.col("path_id")))
+
+
+def context(questions: DataFrame, edges: DataFrame, nodes: DataFrame, ranked: DataFrame, key: list[str], budget: int, seeds: int = 3, seed_limit: int = 3, hops: int = 3) -> dict[str, DataFrame]:
+    """Relational retrieval of each question, within a budget: path edges, seed items, edges at anchors and paths, and the
+    remaining items, in this order.
+
+    questions: key, text, scope; edges and their states: key, edge_id, subject, relation, object, state, order and sources;
+    nodes: key, node, node_order, source_fact_ids (a node's name is its id); ranked: state items with score and rank.
+    Returns anchors, paths, ordered (items with part, pos, rank, selected) and edges (with ``readable``)."""
+    edges = cut(edges.join(questions.select(*key, "scope"), key).withColumn("readable", readable(F.col("state"), F.col("scope"))))
+    usable, ranked = edges.where("readable"), cut(ranked)
+    positive = ranked.where("score > 0")
+    asked = questions.select(*key, F.explode(F.array_distinct(rank_tokens(F.col("text")))).alias("node"))
+    named = asked.join(nodes.select(*key, "node", "node_order"), [*key, "node"])
+    seed = positive.where(F.col("rank") <= seeds).select(*key, "rank", F.lower("text").alias("_low"), F.col("source_fact_ids").alias("_facts"))
+    hit = nodes.join(seed, key).where(F.contains("_low", F.col("node")) | F.arrays_overlap("source_fact_ids", "_facts"))
+    hit = hit.groupBy(*key, "node").agg(F.min(F.struct("rank", "node_order")).alias("_k"))
+    hit = hit.withColumn("pos", F.row_number().over(Window.partitionBy(*key).orderBy("_k"))).where(F.col("pos") <= seed_limit)
+    ends = cut(anchors(named, hit.select(*key, "node", "pos"), key))
+    paths = cut(question_paths(usable, ends, key, hops))
+    own = Window.partitionBy(*key)
+    on_path = paths.where("ids IS NOT NULL").select(*key, "k", F.posexplode("ids").alias("hop", "edge_id")).groupBy(*key, "edge_id").agg(F.min(F.struct("k", "hop")).alias("_k"))
+    on_path = cut(on_path.select(*key, "edge_id", F.row_number().over(own.orderBy("_k")).alias("pos")))
+    ours = usable.join(on_path.select(*key, "edge_id"), [*key, "edge_id"], "left_semi")
+    touched = ends.select(*key, "node").union(ours.select(*key, "subject")).union(ours.select(*key, "object")).distinct()
+    at = lambda end: usable.join(touched.withColumnRenamed("node", end), [*key, end], "left_semi").select(*key, "edge_id")
+    other = at("subject").union(at("object")).distinct().join(on_path.select(*key, "edge_id"), [*key, "edge_id"], "left_anti")
+    other = other.select(*key, "edge_id", F.row_number().over(own.orderBy("edge_id")).alias("pos"))
+    shown = lambda part, places, score: items.edge_items(usable.join(places, [*key, "edge_id"]), key).join(places.withColumnRenamed("edge_id", "item_id"), [*key, "item_id"]).select(*key, "item_id", "render", "tokens", F.lit(part).alias("part"), "pos", score.alias("score"))
+    rest = positive.select(*key, "item_id", "render", "tokens", F.when(F.col("rank") <= seeds, 1).otherwise(3).alias("part"), F.col("rank").alias("pos"), "score")
+    every = shown(0, on_path, F.round(1 + 1 / F.col("pos"), 6)).union(rest).union(shown(2, other, F.round(0.5 / F.col("pos"), 6)))
+    every = every.withColumn("rank", F.row_number().over(own.orderBy("part", "pos")))
+    return {"questions": questions, "anchors": ends, "paths": paths, "ordered": cut(prefix_within_budget(every, key, F.lit(budget))), "edges": edges}
+
+
+def context_report(found: dict[str, DataFrame], key: list[str]) -> DataFrame:
+    """One row a question: anchors, pairs searched, paths found and not, whether all found paths are in the context (false
+    without any), and the context."""
+    chosen = F.when(F.col("selected"), F.col("item_id"))
+    c = found["ordered"].groupBy(*key).agg(ordered_join(F.col("rank"), chosen, ",").alias("item_ids"), ordered_join(F.col("rank"), F.when(F.col("selected"), F.col("render"))).alias("context"), F.coalesce(F.sum(F.when(F.col("selected"), F.col("tokens"))), F.lit(0)).alias("context_tokens"))
+    a = found["anchors"].groupBy(*key).agg(ordered_join(F.col("a"), F.col("node"), ",").alias("anchors"))
+    p = found["paths"].groupBy(*key).agg(F.count("*").alias("pairs"), F.count("ids").alias("paths"))
+    inside = found["ordered"].where("selected").select(*key, F.col("item_id").alias("edge_id"), F.lit(True).alias("_in"))
+    whole = found["paths"].where("ids IS NOT NULL").select(*key, F.explode("ids").alias("edge_id")).join(inside, [*key, "edge_id"], "left").groupBy(*key).agg(F.bool_and(F.col("_in").isNotNull()).alias("complete"))
+    x = found["questions"].select(*key)
+    for part in (a, p, whole, c):
+        x = x.join(part, key, "left")
+    zero = lambda n: F.coalesce(n, F.lit(0)).cast("long").alias(n)
+    return x.select(*key, F.coalesce("anchors", F.lit("")).alias("anchors"), zero("pairs"), zero("paths"), F.coalesce(F.col("pairs") - F.col("paths"), F.lit(0)).alias("discarded"), F.coalesce("complete", F.lit(False)).alias("complete"), F.coalesce("item_ids", F.lit("")).alias("item_ids"), F.coalesce("context", F.lit("")).alias("context"), zero("context_tokens"))
+
+
+def unselected(found: dict[str, DataFrame], key: list[str]) -> DataFrame:
+    """(key, edge_id, reason) of edges that are not in the context."""
+    ranked = found["ordered"].select(*key, F.col("item_id").alias("edge_id"), F.lit(True).alias("_topic"), "selected")
+    x = found["edges"].join(ranked, [*key, "edge_id"], "left")
+    why = unselected_reason(F.col("readable"), F.coalesce("_topic", F.lit(False)), F.coalesce("selected", F.lit(False)))
+    return x.select(*key, "edge_id", why.alias("reason")).where("reason IS NOT NULL")

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from ..session import query
-from . import evaluation, intake, memory_graph, retrieval, selection
+from . import evaluation, intake, memory_graph, modes, retrieval, selection
 
-ALL = retrieval.QUERIES | memory_graph.QUERIES | evaluation.QUERIES | selection.QUERIES | intake.QUERIES
+ALL = retrieval.QUERIES | memory_graph.QUERIES | evaluation.QUERIES | selection.QUERIES | intake.QUERIES | modes.QUERIES
 
 
 def queries() -> dict:

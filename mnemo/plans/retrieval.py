@@ -219,7 +219,7 @@ _BENCH = """WITH items AS (SELECT item_id, text, 'src' || (item_id % 20) AS sour
   r AS (SELECT item_id, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 12) DESC, doc_id) AS rank FROM s)
 SELECT * FROM r WHERE rank <= 5"""
 
-_LIKES = " OR ".join("contains(lower(text), '{}')".format(m.replace("'", "''")) for m in MARKERS)
+LIKES_SQL = " OR ".join("contains(lower(text), '{}')".format(m.replace("'", "''")) for m in MARKERS)
 _DELTA = f"""WITH {R_SQL}, c AS (SELECT *, sum(tokens) OVER (PARTITION BY conv_id ORDER BY rank) AS cum FROM r),
   p AS (SELECT conv_id, turn, tokens, score > 0 AND (cum <= 100 OR rank = 1) AS a, score > 0 AND (cum <= 200 OR rank = 1) AS b FROM c)
 SELECT conv_id, coalesce(string_agg(turn::VARCHAR, ',' ORDER BY turn) FILTER (WHERE b AND NOT a), '') AS added,
@@ -244,7 +244,7 @@ SELECT conv_id, count(*) AS n_items, sum({count_sql('render')})::BIGINT AS conte
   CASE WHEN NOT ok THEN 'zero score' WHEN one THEN 'quota' WHEN two THEN 'reuse' WHEN rank = closes AND tokens > {BUDGET} THEN 'above the budget' WHEN rank = closes THEN 'no room left' ELSE 'closed' END AS outcome FROM g"""),
     "ger_tiers": (ger_tiers, f"""{TIERS_SQL} SELECT conv_id, level, count(*) FILTER (WHERE ok) AS candidates, any_value(quota)::BIGINT AS quota, coalesce(sum(tokens) FILTER (WHERE one), 0)::BIGINT AS used,
   any_value(quota)::BIGINT - coalesce(sum(tokens) FILTER (WHERE one), 0)::BIGINT AS unused, coalesce(sum(tokens) FILTER (WHERE two), 0)::BIGINT AS reused FROM g GROUP BY conv_id, level"""),
-    "reading_scope": (reading_scope, f"WITH {T_SQL} SELECT conv_id, turn, CASE WHEN {_LIKES} THEN 'history' ELSE 'current' END AS scope FROM u"),
+    "reading_scope": (reading_scope, f"WITH {T_SQL} SELECT conv_id, turn, CASE WHEN {LIKES_SQL} THEN 'history' ELSE 'current' END AS scope FROM u"),
     "retrieval_success": (retrieval_success, f"{_TRIALS} SELECT * FROM tr"),
     "evidence_loss": (evidence_loss, f"{_TRIALS} SELECT condition, count(*) AS trials, count(*) FILTER (WHERE NOT reachable) AS unreachable, count(*) FILTER (WHERE reachable AND NOT success) AS not_retrieved, count(*) FILTER (WHERE success) AS success FROM tr GROUP BY condition"),
     "fact_coverage": (fact_coverage, f"""{_prefix_sql(str(BUDGET))},
