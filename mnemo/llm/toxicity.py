@@ -23,6 +23,7 @@ is 0.  Equal cosines are ordered by example id.  An empty table gives an empty r
 from __future__ import annotations
 
 import math
+import pickle
 import re
 from array import array
 from collections import Counter
@@ -31,6 +32,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -118,7 +120,7 @@ class BlockMaxIndex:
             tf.extend(c.values())
             size.append(len(term))
         names = list(known)
-        del known  # this runs on the driver: what is not needed goes at once
+        del known  # what is not needed goes at once
         term, tf, at = np.array(term), np.array(tf), np.repeat(np.arange(n, dtype=np.int32), np.diff(np.array(size)))
         df = np.bincount(term, minlength=len(names))
         with_1 = np.bincount(term, labels[at], minlength=len(names))
@@ -131,7 +133,7 @@ class BlockMaxIndex:
         self.idf = (np.log((1 + n) / (1 + df)) + 1) * (FLOOR + telling(df, with_1, n, labels.sum()))
         self.heads = int((df > n / 16).sum())
         weight = (1 + np.log(tf)) * self.idf[term]
-        del names, order, number, tf
+        del names, order, number
         weight /= np.sqrt(np.bincount(at, weight * weight, minlength=n))[at]
         # examples of one kind, by the common word that weighs most in them, make blocks with low maxima for others
         kind = np.full(n, self.heads)
@@ -144,18 +146,38 @@ class BlockMaxIndex:
         self.ids[place], self.labels[place] = ids, labels
         at = place[at].astype(np.int32)
         order = np.argsort(at.astype(np.int64) * len(self.terms) + term)
-        at, self.term, self.weight = at[order], term[order], weight[order]
-        del order, term, weight
-        self.starts = np.searchsorted(at, np.arange(n + 1))
-        self.dense = np.zeros(len(self.terms))  # the query at hand
+        self.term, self.tf = term[order], tf[order].astype(np.int32)
+        self.starts = np.searchsorted(at[order], np.arange(n + 1))
+        del order, term, weight, tf, at
+        self.derive()
+
+    def __getstate__(self) -> dict:
+        """What is sent to workers: words, counts and idf; they derive weights and lists."""
+        kept = ("block", "heads", "closed", "ids", "labels", "idf", "term", "tf", "starts")
+        return {k: getattr(self, k) for k in kept} | {"words": "\n".join(self.terms)}
+
+    def __setstate__(self, state: dict) -> None:
+        words = state.pop("words")
+        self.__dict__.update(state)
+        self.terms = dict(zip(words.split("\n"), range(len(self.idf))))
+        self.derive()
+
+    def derive(self) -> None:
+        """Weights, posting lists of rare words, and block-wise weights and maxima of common words."""
+        n = len(self.ids)
+        at = np.repeat(np.arange(n, dtype=np.int32), np.diff(self.starts))
+        weight = (1 + np.log(self.tf)) * self.idf[self.term]
+        weight /= np.sqrt(np.bincount(at, weight * weight, minlength=n))[at]
+        self.weight = weight
+        self.dense = np.zeros(len(self.idf))  # the query at hand
         head = self.term < self.heads
-        self.first = np.arange(0, n, block)
-        self.head = np.zeros((len(self.first), self.heads, block), np.float32)
-        self.head[at[head] // block, self.term[head], at[head] % block] = self.weight[head]
+        self.first = np.arange(0, n, self.block)
+        self.head = np.zeros((len(self.first), self.heads, self.block), np.float32)
+        self.head[at[head] // self.block, self.term[head], at[head] % self.block] = weight[head]
         self.head_max = np.ascontiguousarray(self.head.max(axis=2).T)
         tail = np.flatnonzero(~head)[np.argsort(self.term[~head], kind="stable")]
-        self.at, self.part = at[tail], self.weight[tail].astype(np.float32)
-        self.edges = np.searchsorted(self.term[tail], np.arange(self.heads, len(self.terms) + 1))
+        self.at, self.part = at[tail], weight[tail].astype(np.float32)
+        self.edges = np.searchsorted(self.term[tail], np.arange(self.heads, len(self.idf) + 1))
 
     def vectors(self, first: int = 0, last: int | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
         """The examples' own vectors."""
@@ -301,11 +323,53 @@ def sampled_labels(labels: DataFrame, label_col: str, per_class: int, salt: str)
     return out, n
 
 
-def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", label_col: str = "toxic", per_class: int = PER_CLASS) -> Model:
-    """The model of a bounded sample of the labelled rows that are not held out."""
+class Packed:
+    """A fitted model as bytes; its attributes load it.  A driver that only passes it on never does."""
+
+    def __init__(self, raw: bytes):
+        self.raw, self._model = raw, None
+
+    def __getstate__(self) -> dict:
+        return {"raw": self.raw, "_model": None}
+
+    def load(self) -> Model:
+        if self._model is None:
+            self._model = pickle.loads(self.raw)
+        return self._model
+
+    def __getattr__(self, name: str):
+        if name.startswith("_"):
+            raise AttributeError(name)
+        return getattr(self.load(), name)
+
+
+def learned(rows: pa.Table, totals: dict[int, int]) -> Model:
+    """The model of sampled documents (doc_id, y, terms, ns, marks; ids differ); totals: labelled rows of each class."""
+    rows, ys = rows.sort_by("doc_id"), {}
+    for y in (0, 1):
+        own = rows.filter(pc.equal(rows.column("y"), y)).select(["doc_id", "marks"])
+        ids = own.column("doc_id").to_pylist()
+        ys |= {ids[k]: y for k in without_near_copies([m.values.to_numpy() for m in own.column("marks")])}
+    n1 = sum(ys.values())
+    n0 = len(ys) - n1
+    if not n0 or not n1:
+        return Model(None, 0.0)
+    rows = rows.select(["doc_id", "terms", "ns"])
+    rows = rows.filter(pc.is_in(rows.column("doc_id"), pa.array(list(ys), pa.int64())))
+    counts = (dict(zip(t.as_py(), n.as_py())) for t, n in zip(rows.column("terms"), rows.column("ns")))
+    ids = sorted(ys)
+    index = BlockMaxIndex(np.array(ids, np.int64), np.array([ys[i] for i in ids]), counts)
+    # an example weighs as many labelled rows as it stands for
+    return Model(index, totals[1] / (totals[0] + totals[1]), (totals[0] / n0, totals[1] / n1))
+
+
+def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", label_col: str = "toxic", per_class: int = PER_CLASS) -> Packed:
+    """The model of a bounded sample of the labelled rows that are not held out.  One task learns it, of ``per_class``
+    documents a class at most; the driver sees its bytes."""
+    none = Packed(pickle.dumps(Model(None, 0.0)))
     chosen, totals = sampled_labels(labels, label_col, per_class, "toxicity")
     if chosen is None or len(totals) < 2:
-        return Model(None, 0.0)
+        return none
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "doc_id")
 
     def terms(batches):
@@ -315,29 +379,17 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str
             more = {"terms": pa.array([list(c) for _, c in found], pa.list_(pa.string())), "ns": pa.array([list(c.values()) for _, c in found], pa.list_(pa.int32())), "marks": marks}
             yield appended(batch.select(["doc_id", "y"]), more)
 
+    def learn(batches):
+        if some := list(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(learned(pa.Table.from_batches(some), totals))], pa.binary())], ["model"])
+
     rows = rows.groupBy("doc_id", "y").agg(F.min("text").alias("text"))
     read = cut(rows.mapInArrow(terms, "doc_id long, y int, terms array<string>, ns array<int>, marks array<long>"))
-    ys: dict[int, int] = {}
-    for y in (0, 1):
-        own = read.where(F.col("y") == y).select("doc_id", "marks").toArrow().sort_by("doc_id")
-        ids = own.column("doc_id").to_pylist()
-        marks = [m.values.to_numpy() for m in own.column("marks")]
-        ys |= {ids[k]: y for k in without_near_copies(marks)}
-    spark = docs.sparkSession
-    n1 = sum(ys.values())
-    n0 = len(ys) - n1
-    if not n0 or not n1:
-        return Model(None, 0.0)
-    once = F.broadcast(spark.createDataFrame([(i,) for i in ys], "doc_id long"))
-    own = read.join(once, "doc_id").select("doc_id", "terms", "ns").toArrow().sort_by("doc_id")
-    counts = (dict(zip(t.as_py(), n.as_py())) for t, n in zip(own.column("terms"), own.column("ns")))
-    ids = sorted(ys)
-    index = BlockMaxIndex(np.array(ids, np.int64), np.array([ys[i] for i in ids]), counts)
-    # an example weighs as many labelled rows as it stands for
-    return Model(index, totals[1] / (totals[0] + totals[1]), (totals[0] / n0, totals[1] / n1))
+    made = read.coalesce(1).mapInArrow(learn, "model binary").collect()
+    return Packed(bytes(made[0]["model"])) if made else none
 
 
-def score(docs: DataFrame, model: Model, text_col: str = "text", keep_text: bool = True, prefix: str = "") -> DataFrame:
+def score(docs: DataFrame, model: Model | Packed, text_col: str = "text", keep_text: bool = True, prefix: str = "") -> DataFrame:
     """``docs`` with columns score, predicted and evidence (named with ``prefix``); a result replaces an input column
     of its name."""
     results = [T.StructField(prefix + "score", T.DoubleType()), T.StructField(prefix + "predicted", T.IntegerType()), T.StructField(prefix + "evidence", EVIDENCE)]
@@ -349,6 +401,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", keep_text: bool
 
     def run(batches):
         m = shared.value
+        m = m.load() if isinstance(m, Packed) else m
         for batch in slices(batches, text_col):
             found = m.scores(column(batch, text_col))
             p = np.array([f[0] for f in found])
