@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from ..session import query
-from . import evaluation, intake, memory_graph, modes, retrieval, selection, validation
+from . import evaluation, intake, memory_graph, modes, retrieval, selection, summaries, validation
 
-ALL = retrieval.QUERIES | memory_graph.QUERIES | evaluation.QUERIES | selection.QUERIES | intake.QUERIES | modes.QUERIES | validation.QUERIES
+ALL = retrieval.QUERIES | memory_graph.QUERIES | evaluation.QUERIES | selection.QUERIES | intake.QUERIES | modes.QUERIES | validation.QUERIES | summaries.QUERIES
 
 
 def queries() -> dict:
