@@ -52,6 +52,15 @@ def memory_fingerprints(spark, d):
     return memory.fold_with_fingerprints(_ops(spark, d)).select("scenario", "op_order", "applied", "rejection", "before", "after", "active")
 
 
+def memory_foreign_targets(spark, d):
+    """The same log with targets of other keys: every seventh change names the newest entry of its user, whatever its key."""
+    ops = _ops(spark, d)
+    w = Window.partitionBy("scenario").orderBy("op_order").rowsBetween(Window.unboundedPreceding, -1)
+    any_ = F.last(F.when(F.col("kind").isin("ADD", "UPDATE"), F.format_string("%s-M%03d", "scenario", "op_order")), ignorenulls=True).over(w)
+    ops = ops.withColumn("target", F.when((F.col("op_order") % 7 == 0) & F.col("kind").isin("UPDATE", "DELETE"), any_).otherwise(F.col("target")))
+    return memory.told_apart(memory.fold_operations(ops), ops, memory.fold_state(ops)).select("scenario", "op_order", "applied", "rejection")
+
+
 def readable_entries(spark, d):
     """Entries that a current and a historical question may read."""
     s = memory.fold_state(_ops(spark, d)).withColumn("scope", F.explode(F.array(F.lit("current"), F.lit("history"))))
@@ -163,6 +172,7 @@ QUERIES = {
     "memory_current_archive": (memory_current_archive, f"WITH {_FOLD} SELECT scenario, CASE WHEN status = 'attivo' THEN 'current' ELSE 'archive' END AS part, count(*) AS entries, count(DISTINCT claim_key) AS keys FROM st GROUP BY ALL"),
     "memory_log_counters": (memory_log_counters, f"WITH {_FOLD} SELECT scenario, count(*) AS proposed, count(*) FILTER (WHERE applied) AS applied, count(*) FILTER (WHERE NOT applied) AS rejected, " + ", ".join(f"count(*) FILTER (WHERE applied AND kind = '{k}') AS n_{k.lower()}" for k in memory.KINDS) + " FROM f GROUP BY scenario"),
     "memory_fingerprints": (memory_fingerprints, None),
+    "memory_foreign_targets": (memory_foreign_targets, None),
     "readable_entries": (readable_entries, f"WITH {_FOLD} SELECT scenario, scope, count(*) AS entries FROM st CROSS JOIN (VALUES ('current'), ('history')) s(scope) WHERE scope = 'history' OR status = 'attivo' GROUP BY ALL"),
     "graph_paths_3hop": (graph_paths_3hop, f"WITH {_EDGES} SELECT source, target, hops, array_to_string(ids, ',') AS edge_ids FROM paths"),
     "graph_incident_edges": (graph_incident_edges, f"WITH {_RANKS} SELECT edge_id, pos, round(0.5 / pos, 6) AS score FROM ie"),

@@ -6,6 +6,7 @@ import gzip
 import hashlib
 import io
 import json
+import os
 import tarfile
 from collections.abc import Iterator
 
@@ -20,13 +21,15 @@ def json_documents(spark: SparkSession, path: str, schema: T.StructType | str) -
     return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
 
 
-def json_lines(spark: SparkSession, path: str, schema: T.StructType | str, strict: bool = True) -> DataFrame:
-    """One row per non-blank line.  Strict: a bad line is an error; else it is left out."""
-    return spark.read.schema(schema).option("mode", "FAILFAST" if strict else "DROPMALFORMED").json(path)
+def json_lines(spark: SparkSession, path: str, schema: T.StructType | str, drop_bad: bool = False) -> DataFrame:
+    """One row per line, blank lines left out.  A line that does not parse is an error, unless bad lines are to be dropped;
+    ``bad_lines`` names them."""
+    return spark.read.schema(schema).option("mode", "DROPMALFORMED" if drop_bad else "FAILFAST").json(path)
 
 
 def bad_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line, text) of lines that are no JSON object: what a strict read would stop at."""
+    """(file, line, text) of lines that are no JSON object: what a read stops at.  Line numbers need a file in one task, so
+    this is for single files of up to some hundred MB each."""
     lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("line", "text"))
     is_object = F.try_parse_json("text").isNotNull() & F.trim("text").startswith("{")
     return lines.where(F.trim("text") != "").where(~is_object).select("file", (F.col("line") + 1).alias("line"), "text")
@@ -67,6 +70,27 @@ def append(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
 
+class DurableLog:
+    """A local log of JSON lines in which each row is on disk before ``add`` returns, and from which a run resumes."""
+
+    def __init__(self, path: str, key: str = "cell_id"):
+        self.path, self.key = path, key
+
+    def add(self, row: dict) -> None:
+        with open(self.path, "a", encoding="utf-8") as f:
+            f.write(canonical_line(row) + "\n")
+            f.flush()
+            os.fsync(f.fileno())
+
+    def finished(self) -> set:
+        """Keys whose last row is a finished one: status ok, with content."""
+        if not os.path.exists(self.path):
+            return set()
+        with open(self.path, encoding="utf-8") as f:
+            last = {r[self.key]: r for r in map(json.loads, filter(str.strip, f))}
+        return {k for k, r in last.items() if r.get("status") == "ok" and r.get("content")}
+
+
 def tar_members(spark: SparkSession, path: str, under: str = "", suffix: str = ".json") -> DataFrame:
     """(archive, member, content) of a tar archive's files below ``under``, the archive's root folder stripped.  An archive
     is read by one task, member by member; several archives run in parallel."""
@@ -152,3 +176,16 @@ def replay(answers_by_prompt: dict[str, str]):
         return answers_by_prompt[prompt]
 
     return model
+
+
+def replay_in_order(canned: list[str]):
+    """A model for one process that returns canned answers one after the other, whatever the prompt; asked too often, it
+    fails."""
+    left = iter(canned)
+
+    def model(prompt: str) -> str:
+        for answer in left:
+            return answer
+        raise IndexError("no canned answer is left")
+
+    return model

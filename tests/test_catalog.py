@@ -6,6 +6,8 @@ from conftest import norm
 from mnemo.plans import catalog
 
 NAMES = sorted(catalog.queries())
+#: Queries that may find nothing on the smallest tables.
+EMPTY = {"quality_fk", "sequential_dedupe", "leak_detector"}
 
 
 @pytest.mark.parametrize("name", NAMES)
@@ -13,11 +15,11 @@ def test_query(spark, data, duck, name):
     got = catalog.queries()[name](spark, data).toPandas()
     sql = catalog.oracle_sql().get(name)
     if sql is None:
-        assert len(got.columns)
+        assert len(got)  # other tests recompute these
         return
     want = duck.sql(sql).df()
     assert sorted(got.columns) == sorted(want.columns)
-    assert norm(got) == norm(want)
+    assert norm(got) == norm(want) and (len(got) or name in EMPTY)
 
 
 def test_entry(spark, data):

@@ -15,7 +15,7 @@ from mnemo.streaming import memory_stream
 def test_json_lines(spark, tmp_path):
     p = tmp_path / "a.jsonl"
     p.write_text('{"id": 1, "t": "x"}\n\n{"id": 2, "t": "é"}\nbroken\n', encoding="utf-8")
-    assert files.json_lines(spark, str(p), "id int, t string", strict=False).count() == 2
+    assert files.json_lines(spark, str(p), "id int, t string", drop_bad=True).count() == 2
     assert [(r.line, r.text) for r in files.bad_lines(spark, str(p)).collect()] == [(4, "broken")]
     with pytest.raises(Exception):
         files.json_lines(spark, str(p), "id int, t string").collect()
