@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import rank_tokens
+from ..session import cut
 
 
 def term_counts(rows: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
@@ -35,6 +36,36 @@ def cosine_scores(queries: DataFrame, docs: DataFrame, corpus: list[str], doc_ke
     return docs.select(*corpus, *doc_key).join(scored, corpus + doc_key, "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
 
 
+def top_scores(queries: DataFrame, docs: DataFrame, query: str, corpus: str, doc: str, k: int, light: int = 10_000) -> DataFrame:
+    """(query, doc, score) of candidates that hold each query's k best documents of its corpus, with exact scores; the rest of
+    the corpus is not scored.  queries: query, corpus, text; docs: corpus, doc, text.
+
+    A term adds at most its weight in the query times its largest unit weight in the corpus.  Sums over a query's rarest
+    terms (``light`` postings in all, one term at least) give a k-th score that the result must reach.  The terms of least
+    bound whose sum stays below it cannot lift a document into the result by themselves, so only documents with one of the
+    other terms are scored.  Frequent words are seldom among those."""
+    key = [corpus, doc]
+    tf = term_counts(docs, key)
+    size = docs.groupBy(corpus).agg(F.count("*").alias("n"))
+    idf = tf.groupBy(corpus, "term").agg(F.count("*").alias("df")).join(size, corpus).select(corpus, "term", "df", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+    dw = tf.join(idf, [corpus, "term"]).select(*key, "term", (F.col("tf") * F.col("idf")).alias("w"))
+    norm = dw.groupBy(*key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    units = cut(dw.join(norm, key).select(*key, "term", (F.col("w") / F.col("norm")).alias("u")))
+    qw = term_counts(queries, [query, corpus]).join(idf, [corpus, "term"]).withColumn("q", F.col("tf") * F.col("idf"))
+    qn = qw.groupBy(query).agg(F.sqrt(F.sum(F.col("q") * F.col("q"))).alias("qnorm"))
+    most = units.groupBy(corpus, "term").agg(F.max("u").alias("most"))
+    qw = qw.join(qn, query).join(most, [corpus, "term"]).select(query, corpus, "term", "df", (F.col("q") / F.col("qnorm")).alias("q"), (F.col("q") / F.col("qnorm") * F.col("most")).alias("bound"))
+    own = Window.partitionBy(query)
+    qw = cut(qw.withColumn("_df", F.sum("df").over(own.orderBy("df", "term"))).withColumn("_n", F.row_number().over(own.orderBy("df", "term"))))
+    partial = units.join(qw.where((F.col("_df") <= light) | (F.col("_n") == 1)), [corpus, "term"]).groupBy(query, doc).agg(F.sum(F.col("u") * F.col("q")).alias("s"))
+    kth = partial.withColumn("_r", F.row_number().over(own.orderBy(F.desc("s"), doc))).where(F.col("_r") == k).select(query, F.col("s").alias("least"))
+    weak = F.sum("bound").over(own.orderBy("bound", "term"))
+    must = qw.join(kth, query, "left").withColumn("_weak", weak).where(F.col("_weak") >= F.coalesce("least", F.lit(0.0)) * (1 - 1e-9))
+    some = units.join(must.select(query, corpus, "term"), [corpus, "term"]).select(query, *key).distinct()
+    asked = some.join(qw.select(query, corpus, "term", "q"), [query, corpus])
+    return asked.join(units, [*key, "term"]).groupBy(query, doc).agg(F.sum(F.col("u") * F.col("q")).alias("score"))
+
+
 def rank_exact(scored: DataFrame, corpus: list[str], ties: list[Column]) -> DataFrame:
     """Rank by the score before rounding (equal up to 12 digits, which sums in any order keep), then round it."""
     w = Window.partitionBy(*corpus).orderBy(F.round("score", 12).desc(), *ties)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import at_fraction, md5_int, sha_int, sha_text
 from ..session import cut
+from .keys import join_by_key
 from .positions import numbered
 
 
@@ -149,8 +150,9 @@ def reuse_plan(cells: DataFrame, key: list[str], position: list[str], cell: str,
         apart = F.raise_error(F.concat_ws(" ", F.lit("one hash, two contents:"), *[F.col(k).cast("string") for k in key])).cast("boolean")
         one = cells.groupBy(*key).agg(F.min(content).alias("_a"), F.max(content).alias("_z")).where(F.when(F.col("_a").eqNullSafe(F.col("_z")), True).otherwise(apart))
         cells = cells.join(one.select(*key), key)
+    cells = cut(cells)
     first = cells.groupBy(*key).agg(F.min(F.struct(*position, cell)).alias("_first")).select(*key, F.col(f"_first.{cell}").alias("first_cell"))
-    x = cells.join(first, key)
+    x = join_by_key(cells, first, key)  # an empty prompt may be every third cell's
     same = F.col(cell) == F.col("first_cell")
     return x.withColumn("kind", F.when(same, F.lit("call")).otherwise(F.lit("reuse"))).withColumn("reused_from", F.when(~same, F.col("first_cell")))
 

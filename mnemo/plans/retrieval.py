@@ -48,21 +48,14 @@ def tfidf_rank_rounded(spark, d):
     return ranked(spark, d).select("conv_id", F.col("session_order").cast("long").alias("session_order"), "score", F.col("rank").cast("long").alias("rank"))
 
 
+LANGUAGES = ("de", "en", "es", "fr")
+
+
 def tfidf_topk_documents_benchmark(spark, d):
-    """Each benchmark item asks the documents of one source.  A source's documents are a corpus of their own: terms are
-    counted once per source and meet the items through the terms that they ask for."""
-    n = 20
-    items = table(spark, d, "benchmark").select("item_id", "text", F.concat(F.lit("src"), (F.col("item_id") % n).cast("string")).alias("source"))
-    docs = table(spark, d, "documents").select("source", "doc_id", "text")
-    tf = ranking.term_counts(docs, ["source", "doc_id"])
-    size = docs.groupBy("source").agg(F.count("*").alias("n"))
-    idf = tf.groupBy("source", "term").agg(F.count("*").alias("df")).join(F.broadcast(size), "source").select("source", "term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
-    dw = tf.join(idf, ["source", "term"]).withColumn("w", F.col("tf") * F.col("idf"))
-    norm = dw.groupBy("source", "doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    qw = ranking.term_counts(items, ["item_id", "source"]).join(idf, ["source", "term"]).select("item_id", "source", "term", (F.col("tf") * F.col("idf")).alias("qw"))
-    qn = qw.groupBy("item_id").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qnorm"))
-    dot = dw.join(qw, ["source", "term"]).groupBy("item_id", "source", "doc_id").agg(F.sum(F.col("w") * F.col("qw")).alias("dot"))
-    s = dot.join(norm, ["source", "doc_id"]).join(qn, "item_id").select("item_id", "doc_id", (F.col("dot") / (F.col("norm") * F.col("qnorm"))).alias("score"))
+    """Each benchmark item asks the documents of one language, which are a corpus of their own."""
+    lang = F.element_at(F.array(*map(F.lit, LANGUAGES)), (F.pmod("item_id", F.lit(len(LANGUAGES))) + 1).cast("int"))
+    q = table(spark, d, "benchmark").select("item_id", "text", lang.alias("lang"))
+    s = ranking.top_scores(q, table(spark, d, "documents").where("lang IS NOT NULL").select("lang", "doc_id", "text"), "item_id", "lang", "doc_id", 5)
     return ranking.top_k(ranking.rank_exact(s, ["item_id"], [F.col("doc_id")]), 5).select("item_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
@@ -206,16 +199,16 @@ _TRIALS = f"""WITH {T_SQL},
     CASE WHEN bool_or(session_order = evidence) THEN bool_or(session_order = evidence AND rank <= 2) END AS success
     FROM r JOIN ev USING (conv_id) GROUP BY r.conv_id, condition)"""
 
-_BENCH = """WITH items AS (SELECT item_id, text, 'src' || (item_id % 20) AS source FROM benchmark),
-  tf AS (SELECT source, doc_id, term, count(*)::DOUBLE AS tf FROM (SELECT source, doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_-]+')) AS term FROM documents) GROUP BY ALL),
-  n AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
-  idf AS (SELECT source, term, ln((1 + any_value(n)) / (1 + count(*))) + 1 AS idf FROM tf JOIN n USING (source) GROUP BY source, term),
-  dw AS (SELECT source, doc_id, term, tf * idf AS w FROM tf JOIN idf USING (source, term)),
-  norm AS (SELECT source, doc_id, sqrt(sum(w * w)) AS norm FROM dw GROUP BY ALL),
-  qt AS (SELECT item_id, source, term, count(*)::DOUBLE AS tf FROM (SELECT item_id, source, unnest(regexp_extract_all(lower(text), '[a-z0-9_-]+')) AS term FROM items) GROUP BY ALL),
-  qw AS (SELECT item_id, source, term, tf * idf AS qw FROM qt JOIN idf USING (source, term)),
+_BENCH = """WITH items AS (SELECT item_id, text, ['de', 'en', 'es', 'fr'][item_id % 4 + 1] AS lang FROM benchmark),
+  tf AS (SELECT lang, doc_id, term, count(*)::DOUBLE AS tf FROM (SELECT lang, doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_-]+')) AS term FROM documents WHERE lang IS NOT NULL) GROUP BY ALL),
+  n AS (SELECT lang, count(*) AS n FROM documents WHERE lang IS NOT NULL GROUP BY lang),
+  idf AS (SELECT lang, term, ln((1 + any_value(n)) / (1 + count(*))) + 1 AS idf FROM tf JOIN n USING (lang) GROUP BY lang, term),
+  dw AS (SELECT lang, doc_id, term, tf * idf AS w FROM tf JOIN idf USING (lang, term)),
+  norm AS (SELECT lang, doc_id, sqrt(sum(w * w)) AS norm FROM dw GROUP BY ALL),
+  qt AS (SELECT item_id, lang, term, count(*)::DOUBLE AS tf FROM (SELECT item_id, lang, unnest(regexp_extract_all(lower(text), '[a-z0-9_-]+')) AS term FROM items) GROUP BY ALL),
+  qw AS (SELECT item_id, lang, term, tf * idf AS qw FROM qt JOIN idf USING (lang, term)),
   qn AS (SELECT item_id, sqrt(sum(qw * qw)) AS qnorm FROM qw GROUP BY item_id),
-  s AS (SELECT item_id, doc_id, sum(w * qw) / any_value(norm) / any_value(qnorm) AS score FROM dw JOIN qw USING (source, term) JOIN norm USING (source, doc_id) JOIN qn USING (item_id) GROUP BY item_id, doc_id),
+  s AS (SELECT item_id, doc_id, sum(w * qw) / any_value(norm) / any_value(qnorm) AS score FROM dw JOIN qw USING (lang, term) JOIN norm USING (lang, doc_id) JOIN qn USING (item_id) GROUP BY item_id, doc_id),
   r AS (SELECT item_id, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 12) DESC, doc_id) AS rank FROM s)
 SELECT * FROM r WHERE rank <= 5"""
 
