@@ -5,7 +5,8 @@ A word's symbols form a doubly linked list; every adjacent pair with a merge rul
 they surface.  Ids decode by joining their vocabulary strings (the file names no decoder, so with one space between).
 
 Rows: a null text is read as empty; an empty text has no tokens, the digest of the empty string, and decodes to "".
-Repeated rows are encoded each on its own.  Texts of any length are encoded whole.  Other columns pass through.
+Repeated rows are encoded each on its own, so there are no ties.  Texts of any length are encoded whole.  An empty table
+gives an empty result.  Other columns pass through, but for those named like an output.
 """
 
 from __future__ import annotations
@@ -63,6 +64,7 @@ class WordBpe:
         self.ranks = {vocab[a] << 32 | vocab[b]: rank for rank, (a, b) in enumerate(pairs)}
         self.made = [vocab[a + b] for a, b in pairs]
         self.specials = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        self.marks = tuple({s[:2] for s in self.special})  # every special string begins with one of these
         self.young: dict[str, tuple[int, str, str]] = {}
         self.old: dict[str, tuple[int, str, str]] = {}
 
@@ -110,7 +112,7 @@ class WordBpe:
     def parts(self, text: str) -> list[tuple[int, str, str]]:
         """What ``word`` gives for each piece of a text, in order."""
         found: list[tuple[int, str, str]] = []
-        for piece in self.specials.split(text) if self.specials and "<|" in text else (text,):
+        for piece in self.specials.split(text) if any(m in text for m in self.marks) else (text,):
             if piece in self.special:
                 found.append((1, str(self.special[piece]), piece))
             elif piece:

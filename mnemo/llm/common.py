@@ -2,66 +2,20 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.keys import HOT, LIGHT, join_by_key  # noqa: F401
+from ..session import checkpoint_folder, cut  # noqa: F401
+
 #: A word is a run of characters other than ASCII white space.  ``bytes.split()`` yields the same words.
 WORD = r"[^\x20\x09-\x0D]+"
 ASCII_SPACE = b" \t\n\x0b\x0c\r"
 
 
-def checkpoint_folder(spark: SparkSession) -> str:
-    """Make ``checkpoint()`` usable and return its folder: the cluster's ``spark.checkpoint.dir`` if set, else (local master only) a
-    folder of this machine.  On a cluster without that setting this raises: a machine-local folder would be
-    lost with its executor."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is not None:
-        return sc.getCheckpointDir()
-    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        if not (sc.master == "local" or sc.master.startswith("local[")):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = os.path.join(tempfile.gettempdir(), "mnemo-checkpoints")
-    sc.setCheckpointDir(folder)
-    return sc.getCheckpointDir()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and continue from there: later plans neither recompute it
-    nor depend on executors that held its shuffle files."""
-    checkpoint_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-#: A key is hot if it holds more than this share of the rows; so there are at most 1 / HOT hot keys.
-HOT = 1e-3
-#: Rows of a key that are no load for a task.
-LIGHT = 250
-
-
-def join_by_key(rows: DataFrame, table: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """``rows`` joined ("inner" or "left") with ``table``, which has one row for each value of ``keys``.  Rows of hot keys
-    meet their few table rows by a broadcast (1 / HOT rows at most) where they are, and rows with a null key, which match
-    nothing, aren't moved either; so no key meets in one task.  Both are read more than once: give tables that are cut."""
-    n = rows.count()
-    left = rows.dropna(subset=keys)
-    out = left.join(table, keys, how)
-    heavy = cut(left.groupBy(*keys).agg(F.count("*").alias("__n")).where(F.col("__n") > max(LIGHT, HOT * n)).select(*keys)) if n > LIGHT else None
-    if heavy is not None and heavy.count():
-        some = F.broadcast(heavy)
-        hot = F.broadcast(table.join(some, keys, "left_semi"))
-        out = left.join(some, keys, "left_anti").join(table, keys, how).unionByName(left.join(some, keys, "left_semi").join(hot, keys, how))
-    if how == "left":
-        lone = rows.where(" OR ".join(f"`{k}` IS NULL" for k in keys))
-        out = out.unionByName(lone, allowMissingColumns=True)
-    return out
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
