@@ -443,6 +443,15 @@ def test_components(spark):
         assert all(got.get(k, k) == want[k] for k in range(n))
 
 
+def test_components_with_hubs(spark, monkeypatch):
+    monkeypatch.setattr(components, "LIGHT", 5)
+    rng = random.Random(21)
+    links = [(900, k) for k in range(0, 300, 3)] + [(0, k) for k in range(1, 200, 4)] + [(rng.randrange(400), rng.randrange(400)) for _ in range(60)]
+    got = {r.node: r.component for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    want = loop_components(range(901), links)
+    assert all(got.get(k, k) == want[k] for k in range(901))
+
+
 @pytest.mark.parametrize("low_first", [False, True])
 def test_tries_find_all_links_within_their_budget(low_first):
     rng = np.random.default_rng(8)
