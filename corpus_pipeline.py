@@ -1,17 +1,21 @@
 """A corpus pipeline of five operators.  Each stage works on all that the one before kept; all but the last return the
-columns of ``documents``."""
+columns of ``documents``.
+
+Rows: an empty table of documents gives an empty result.  A null or empty text has no words, so the quality rules let it go.
+Repeated rows share their fingerprint, so one of them stays; how often it comes then is the mix's choice.  A null source is a
+source of its own.  Further columns pass through all stages but the last; those named like an operator's results keep
+their values.
+"""
 
 from __future__ import annotations
 
-import atexit
-import contextlib
 import uuid
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from mnemo.llm import bpe, mixing, quality_rules, simhash, toxicity
-from mnemo.llm.common import checkpoint_folder, table
+from mnemo.llm.common import checkpoint_folder, cut, table
 from mnemo.session import ready
 
 TOKENIZER = "word_bpe_49k.json"
@@ -66,14 +70,17 @@ def remove(spark: SparkSession, folder: str) -> None:
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written as Parquet in the shared folder and read again.  A stage's table goes
-    when the next one is written; the last one, which the result reads, when the driver ends."""
+    """All stages over ``documents``, each written as Parquet in the shared folder and read again.  A stage's table goes when
+    the next one is written, and all of them before this returns, also when a stage fails: the result reads a checkpoint,
+    which Spark keeps as long as something refers to it."""
     docs = table(spark, sf_dir, "documents")
     folder = f"{checkpoint_folder(spark)}/pipeline-{uuid.uuid4().hex}"
-    atexit.register(contextlib.suppress(Exception)(remove), spark, folder)
-    for k, (name, stage) in enumerate(STAGES[:-1]):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
-        docs = spark.read.parquet(f"{folder}/{k}-{name}")
-        if k:
-            remove(spark, f"{folder}/{k - 1}-{STAGES[k - 1][0]}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+    try:
+        for k, (name, stage) in enumerate(STAGES[:-1]):
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
+            docs = spark.read.parquet(f"{folder}/{k}-{name}")
+            if k:
+                remove(spark, f"{folder}/{k - 1}-{STAGES[k - 1][0]}")
+        return cut(STAGES[-1][1](spark, docs, sf_dir))
+    finally:
+        remove(spark, folder)
