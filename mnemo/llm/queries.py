@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import query
-from . import bpe, chat_format, embedding_dedup, language_id, licenses, mixing, quality_classifier, quality_rules, simhash, toxicity
+from . import bpe, chat_format, elkan, embedding_dedup, language_id, licenses, mixing, periodic_runs, quality_classifier, quality_rules, simhash, topk_search, toxicity
 from .common import held_out, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -66,11 +66,24 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.format_pairs(table(spark, sf_dir, "conversations"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = periodic_runs.planted(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return periodic_runs.digests(periodic_runs.periodic_runs(docs, keep_text=False))
+
+
+def op12_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % topk_search.EVERY == 0)
+
+
+def op13_elkan_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return elkan.summary(*elkan.clustered(table(spark, sf_dir, "embeddings")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = (op1_toxicity, op2_quality_classifier, op3_language_id, op4_embedding_dedup, op5_mixing, op6_simhash, op7_bpe, op8_license_scan, op9_quality_rules, op10_chat_format, pipeline)
+QUERIES = (op1_toxicity, op2_quality_classifier, op3_language_id, op4_embedding_dedup, op5_mixing, op6_simhash, op7_bpe, op8_license_scan, op9_quality_rules, op10_chat_format, op11_periodic_runs, op12_exact_topk, op13_elkan_clusters, pipeline)
 
 
 def queries() -> dict:
@@ -78,5 +91,5 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    found = {"op5_mixing": mixing.ORACLE_SQL, "op8_license_scan": licenses.ORACLE_SQL, "op10_chat_format": chat_format.ORACLE_SQL, "pipeline": corpus_pipeline.ORACLE_SQL}
+    found = {"op5_mixing": mixing.ORACLE_SQL, "op8_license_scan": licenses.ORACLE_SQL, "op10_chat_format": chat_format.ORACLE_SQL, "op12_exact_topk": topk_search.ORACLE_SQL, "op13_elkan_clusters": elkan.ORACLE_SQL, "pipeline": corpus_pipeline.ORACLE_SQL}
     return {k: v for k, v in found.items() if v}
