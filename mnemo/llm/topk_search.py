@@ -13,8 +13,9 @@ pairs on the bound stay, so no tie is lost.
 
 A query's first threshold is its k-th best score among at most ``seeds`` rows, spread evenly over the table, which only
 saves work: any k rows' scores are a lower bound of the k-th best.  Then queries meet all rows in tiles of a bounded number of
-queries and rows; every row is numbered, and tiles take rows by number, so no key and no group of copies makes a large one.  A
-tile returns at most k rows a query, none below its threshold; the best k of those are the answer.
+queries and rows; every row is numbered, and tiles take rows by number, so no key and no group of copies makes a large one.
+A tile holds its queries and the best k rows of each so far, which raise the thresholds while the tile's rows go by; it
+returns at most k rows a query.  The best k of those are the answer.
 
 Rows: a vector that is null or holds null or non-finite components takes no part, nor does one whose quantised squared
 norm is 2^62 or more (scores would leave the long range).  Vectors of different lengths do not meet; empty ones score 0 with
@@ -41,11 +42,12 @@ EVERY = 20
 #: Numbers of segments, coarse to fine; a vector of fewer components uses those that are below their number.
 SEGMENTS = (1, 4, 16, 32)
 SEEDS = 2048
-#: Rows and queries of a tile at most.
-TILE_ROWS = 8192
+#: Rows and queries of a tile at most; a tile's rows are looked at BLOCK at a time.
+TILE_ROWS = 1 << 20
 TILE_QUERIES = 8192
-#: Tiles that a table is cut into at least, so that small tables are shared too.
-TILES = 48
+BLOCK = 4096
+#: A tile of fewer rows is not cut further to share the work.
+LEAST_ROWS = 256
 #: Pairs whose bounds are looked at together.
 PAIRS = 1 << 20
 LAST = np.iinfo(np.int64).max
@@ -148,14 +150,13 @@ def quantised(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> D
     return cut(rows.select("id", F.transform("x", lambda x: F.floor(x * scale).cast("int")).alias("v"), F.monotonically_increasing_id().alias("number")))
 
 
-def sides(batch: pa.RecordBatch, ids: str, vectors: str, which: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, Side]]:
+def sides(batch: pa.RecordBatch, ids: str, vectors: str) -> Iterator[tuple[np.ndarray, Side]]:
     """The rows of a batch by vector length: their places and the side that they make."""
     v = batch.column(batch.schema.get_field_index(vectors))
     own = batch.column(batch.schema.get_field_index(ids)).fill_null(LAST).to_numpy(zero_copy_only=False)
     sizes = np.asarray(v.value_lengths())
-    rows = np.arange(len(own)) if which is None else which
-    for size in np.unique(sizes[rows]):
-        at = rows[sizes[rows] == size]
+    for size in np.unique(sizes):
+        at = np.flatnonzero(sizes == size)
         x = np.asarray(v.take(pa.array(at)).flatten(), np.int64).reshape(len(at), size)
         yield at, Side(own[at], x)
 
@@ -187,10 +188,58 @@ def thresholds(queries: DataFrame, rows: DataFrame, k: int, seeds: int) -> DataF
     return queries.mapInArrow(run, "id long, v array<int>, number long, least long")
 
 
-def tiles(rows: int, queries: int) -> tuple[int, int]:
-    """Slices of the rows and of the queries."""
+def tiles(rows: int, queries: int, cores: int) -> tuple[int, int]:
+    """Slices of the rows and of the queries: two tiles a core at least, if there are rows for them."""
     across = max(1, math.ceil(queries / TILE_QUERIES))
-    return max(math.ceil(rows / TILE_ROWS), min(math.ceil(TILES / across), math.ceil(rows / 64)), 1), across
+    return max(1, math.ceil(rows / TILE_ROWS), min(math.ceil(2 * cores / across), math.ceil(rows / LEAST_ROWS))), across
+
+
+class Tile:
+    """The queries of a tile, with the best rows of each so far."""
+
+    def __init__(self, number: int, k: int):
+        self.number, self.k = number, k
+        self.asking: dict[int, dict] = {}
+        self.waiting: list[pa.RecordBatch] = []
+        self.held = 0
+
+    def ask(self, batch: pa.RecordBatch) -> None:
+        number, least = (batch.column(c).to_numpy(zero_copy_only=False) for c in (2, 3))
+        for at, side in sides(batch, "id", "v"):
+            part = self.asking.setdefault(side.x.shape[1], {"ids": [], "x": [], "number": [], "least": []})
+            for key, value in (("ids", side.ids), ("x", side.x), ("number", number[at]), ("least", least[at])):
+                part[key].append(value)
+
+    def meet(self, batch: pa.RecordBatch | None) -> None:
+        """Take rows in, and compare them once there are BLOCK of them, or none come any more."""
+        if batch is not None:
+            self.waiting.append(batch)
+            self.held += batch.num_rows
+        if self.held >= BLOCK or (batch is None and self.held):
+            rows = pa.Table.from_batches(self.waiting).combine_chunks().to_batches()[0]
+            self.waiting, self.held = [], 0
+            for _, side in sides(rows, "id", "v"):
+                q = self.asking.get(side.x.shape[1])
+                if q is None:
+                    continue
+                if isinstance(q["x"], list):
+                    q |= {key: np.concatenate(value) for key, value in q.items()}
+                    q |= {"side": Side(q["ids"], q["x"]), "i": np.zeros(0, np.int64), "c": np.zeros(0, np.int64), "score": np.zeros(0, np.int64)}
+                i, j, score = search(q["side"], side, q["least"], self.k)
+                i, c, score = np.concatenate([q["i"], i]), np.concatenate([q["c"], side.ids[j]]), np.concatenate([q["score"], score])
+                at = best(i, c, score, self.k)
+                q |= {"i": i[at], "c": c[at], "score": score[at]}
+                full = np.bincount(q["i"], minlength=len(q["least"])) == self.k
+                low = np.full(len(full), np.iinfo(np.int64).max)
+                np.minimum.at(low, q["i"], q["score"])
+                q["least"] = np.where(full, np.maximum(q["least"], low), q["least"])
+
+    def result(self) -> Iterator[pa.RecordBatch]:
+        self.meet(None)
+        for q in self.asking.values():
+            if "side" in q and len(q["i"]):
+                cols = [pa.array(q["number"][q["i"]]), pa.array(q["ids"][q["i"]]), pa.array(q["c"], mask=q["c"] == LAST), pa.array(q["score"])]
+                yield pa.RecordBatch.from_arrays(cols, names=["number", "query_id", "vec_id", "score"])
 
 
 def top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, scale: int = SCALE, seeds: int = SEEDS) -> DataFrame:
@@ -198,31 +247,34 @@ def top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_c
     condition on the column ``id``, holds, with all rows of other ids."""
     rows = quantised(vectors, id_col, vector_col, scale)
     asked = cut(thresholds(rows.where(F.coalesce(is_query, F.lit(False))), rows, k, seeds))
-    down, across = tiles(rows.count(), asked.count())
+    down, across = tiles(rows.count(), asked.count(), vectors.sparkSession.sparkContext.defaultParallelism)
     # places of a row in its table: numbers are dealt anew, evenly
     slot = lambda m: F.pmod(F.xxhash64("number"), F.lit(m)).cast("int")
     every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    c = rows.select("id", "v", "number", F.lit(None).cast("long").alias("least"), slot(down).alias("row_slice")).withColumn("query_slice", every(across))
-    q = asked.select("id", "v", "number", "least", slot(across).alias("query_slice")).withColumn("row_slice", every(down))
-    both = c.unionByName(q)
-
-    def run(table: pa.Table) -> pa.Table:
-        batch = table.combine_chunks().to_batches()[0]
-        column = lambda n: batch.column(batch.schema.get_field_index(n))
-        is_row = np.asarray(column("least").is_null())
-        by_size = {s.x.shape[1]: s for _, s in sides(batch, "id", "v", np.flatnonzero(is_row))}
-        least, number = (column(n).fill_null(0).to_numpy(zero_copy_only=False) for n in ("least", "number"))
-        out = []
-        for at, asking in sides(batch, "id", "v", np.flatnonzero(~is_row)):
-            if asking.x.shape[1] in by_size:
-                against = by_size[asking.x.shape[1]]
-                i, j, score = search(asking, against, least[at], k)
-                out.append((number[at][i], asking.ids[i], against.ids[j], score))
-        cols = [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0, np.int64)] * 4
-        cols[2] = pa.array(cols[2], mask=cols[2] == LAST)
-        return pa.table(cols, names=["number", "query_id", "vec_id", "score"])
-
-    found = both.groupBy("row_slice", "query_slice").applyInArrow(run, "number long, query_id long, vec_id long, score long")
+    c = rows.select("id", "v", "number", F.lit(None).cast("long").alias("least"), slot(down).alias("down")).withColumn("across", every(across))
+    q = asked.select("id", "v", "number", "least", slot(across).alias("across")).withColumn("down", every(down))
+    tile = (F.col("down") * across + F.col("across")).alias("tile")
+    both = c.unionByName(q).select("id", "v", "number", "least", tile)
+    # more parts than tiles, so that few tiles share a part; a tile's queries come before its rows
+    both = both.repartition(4 * down * across, "tile").sortWithinPartitions("tile", F.col("least").isNull())
+
+    def run(batches):
+        now = None
+        for batch in batches:
+            number, is_row = np.asarray(batch.column(4)), np.asarray(batch.column(3).is_null())
+            edges = np.r_[0, np.flatnonzero((number[1:] != number[:-1]) | (is_row[1:] != is_row[:-1])) + 1, len(number)].tolist()
+            for lo, hi in zip(edges[:-1], edges[1:]):
+                if hi == lo:
+                    continue
+                if now is None or now.number != number[lo]:
+                    if now is not None:
+                        yield from now.result()
+                    now = Tile(number[lo], k)
+                (now.meet if is_row[lo] else now.ask)(batch.slice(lo, hi - lo))
+        if now is not None:
+            yield from now.result()
+
+    found = both.mapInArrow(run, "number long, query_id long, vec_id long, score long")
     place = F.row_number().over(Window.partitionBy("number").orderBy(F.desc("score"), F.asc_nulls_last("vec_id")))
     return found.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -149,9 +149,9 @@ def test_bounds_hold():
             assert (bound + 1e-6 >= dots).all()
 
 
-@pytest.mark.parametrize("tile", [(8192, 8192, 48), (64, 3, 1)])
+@pytest.mark.parametrize("tile", [(1 << 20, 8192, 4096), (64, 3, 20)])
 def test_top_k_of_odd_rows(spark, tile, monkeypatch):
-    for name, value in zip(("TILE_ROWS", "TILE_QUERIES", "TILES"), tile):
+    for name, value in zip(("TILE_ROWS", "TILE_QUERIES", "BLOCK"), tile):
         monkeypatch.setattr(topk_search, name, value)
     rng = np.random.default_rng(4)
     rows = make(rng, 300, 64) + [(400 + k, [0.5] * 64, 1) for k in range(60)]  # ties in plenty
