@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import archives, lines
+
 
 def json_documents(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """One row per file; a file that does not parse is an error."""
@@ -28,11 +30,8 @@ def json_lines(spark: SparkSession, path: str, schema: T.StructType | str, drop_
 
 
 def bad_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line, text) of lines that are no JSON object: what a read stops at.  Line numbers need a file in one task, so
-    this is for single files of up to some hundred MB each."""
-    lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("line", "text"))
-    is_object = F.try_parse_json("text").isNotNull() & F.trim("text").startswith("{")
-    return lines.where(F.trim("text") != "").where(~is_object).select("file", (F.col("line") + 1).alias("line"), "text")
+    """(file, line, text) of lines that are no JSON object: what a read stops at."""
+    return lines.bad_lines(spark, path).select("file", "line", "text")
 
 
 def csv_table(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
@@ -92,26 +91,9 @@ class DurableLog:
 
 
 def tar_members(spark: SparkSession, path: str, under: str = "", suffix: str = ".json") -> DataFrame:
-    """(archive, member, content) of a tar archive's files below ``under``, the archive's root folder stripped.  An archive
-    is read by one task, member by member; several archives run in parallel."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for archive, data in zip(batch["path"], batch["content"]):
-                out = []
-                with tarfile.open(fileobj=io.BytesIO(data), mode="r:*") as tar:
-                    for m in tar:
-                        name = m.name.partition("/")[2]
-                        if m.isfile() and name.startswith(under) and name.endswith(suffix):
-                            out.append((archive, name, tar.extractfile(m).read().decode("utf-8")))
-                            if len(out) >= 500:
-                                yield pd.DataFrame(out, columns=["archive", "member", "content"])
-                                out = []
-                if out:
-                    yield pd.DataFrame(out, columns=["archive", "member", "content"])
-
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(run, "archive string, member string, content string")
+    """(archive, member, content) of the text files of tar archives below folder ``under``, the archive's root folder
+    stripped."""
+    return archives.texts(archives.members(spark, path, under, suffix))
 
 
 def write_tar_gz(members: list[tuple[str, bytes]], path: str) -> str:
