@@ -40,9 +40,11 @@ from .simhash import unite
 THRESHOLD = 0.98
 MISS = 1e-6
 #: A crowd of n vectors is cut into sqrt(n / TILE) slices, of MOST vectors at most: each vector then goes to as many
-#: tiles as there are slices, and tiles stay far from a worker's memory.
+#: tiles as there are slices.  A tile's vectors are held whole (two slices of MOST vectors of 64 components take 70 MB in
+#: double precision) and compared PAIRS at a time.
 TILE = 128
 MOST = 65_536
+PAIRS = 1 << 21
 SEED = 20240607
 #: Words of 64 sign bits in a sketch, which tells unlike vectors of a bucket apart without their components.
 SKETCH = 2
@@ -91,10 +93,11 @@ def compare(a: dict, b: dict | None, threshold: float) -> tuple[list[np.ndarray]
     counts = np.zeros(n if b is None else n + len(right["cid"]), np.int64)
     labels = np.arange(len(counts))
     t = a["table"]
-    for s in range(0, n, 512):
-        near = a["x"][s : s + 512] @ right["x"].T >= threshold
+    step = max(1, PAIRS // max(1, len(right["cid"])))
+    for s in range(0, n, step):
+        near = a["x"][s : s + step] @ right["x"].T >= threshold
         if b is None:
-            near &= np.arange(s, min(s + 512, n))[:, None] < np.arange(n)[None, :]
+            near &= np.arange(s, min(s + step, n))[:, None] < np.arange(n)[None, :]
         i, j = np.nonzero(near)
         i += s
         if t and len(i):
@@ -124,12 +127,19 @@ def partnered(a: np.ndarray, b: np.ndarray | None, limit: int) -> np.ndarray:
     """Which rows of a, or of a then b, have a row of the other side (b None: another row of a) whose sketch differs
     in at most ``limit`` bits.  a, b: uint64 rows x SKETCH."""
     right = a if b is None else b
-    far = sum(np.bitwise_count(a[:, None, k] ^ right[None, :, k]).astype(np.int16) for k in range(SKETCH))
-    near = far <= limit
-    if b is None:
-        np.fill_diagonal(near, False)
-        return near.any(axis=1)
-    return np.concatenate([near.any(axis=1), near.any(axis=0)])
+    rows, columns = np.zeros(len(a), bool), np.zeros(len(right), bool)
+    step = max(1, PAIRS // max(1, len(right)))
+    for s in range(0, len(a), step):  # a matrix of PAIRS bits' counts at most
+        part = a[s : s + step]
+        far = np.zeros((len(part), len(right)), np.uint8)
+        for k in range(SKETCH):
+            far += np.bitwise_count(part[:, None, k] ^ right[None, :, k])
+        near = far <= limit
+        if b is None:
+            near[np.arange(len(part)), np.arange(s, s + len(part))] = False
+        rows[s : s + step] = near.any(axis=1)
+        columns |= near.any(axis=0)
+    return rows if b is None else np.concatenate([rows, columns])
 
 
 def runs(batches, keys: tuple[int, ...]) -> Iterator[list]:

@@ -249,3 +249,28 @@ def test_rounds_leave_no_tables(spark, data):
     assert queries.queries()["op13_elkan_clusters"](spark, data).count() == 500
     top = spark.sparkContext.getCheckpointDir().removeprefix("file:")
     assert not [d for d, _, _ in os.walk(top) if "elkan-" in d]
+
+
+# --- near-duplicate vectors: memory of a large bucket ---------------------------
+
+
+def test_sketches_of_a_large_slice_take_bounded_memory():
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    code = f"""
+import sys, resource
+sys.path.insert(0, {root!r})
+import numpy as np
+from mnemo.llm import embedding_dedup as e
+rng = np.random.default_rng(1)
+a = rng.integers(0, 1 << 63, (25_000, 2)).astype(np.uint64)
+a[-1], a[12] = a[7], a[24_000]
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+within, across = e.partnered(a, None, 20), e.partnered(a[:12_500], a[12_500:], 20)
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024, *np.flatnonzero(within), "-", *np.flatnonzero(across))
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout.split()
+    assert out[1:] == ["7", "12", "24000", "24999", "-", "7", "12", "24000", "24999"] and int(out[0]) < 150
