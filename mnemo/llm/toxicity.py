@@ -4,8 +4,9 @@ A bounded sample of labelled documents is indexed: unit vectors (1 + ln tf, smoo
 word tells the classes apart by chi-square) over all words of the sample.  The index is inverted and block-max: rare
 words have posting lists, common words a maximum for each block of BLOCK examples.  Blocks whose bound stays below the
 k-th cosine are not opened; in the others single-precision sums, then exact cosines, decide, so the neighbours are
-those of an exhaustive search.  Votes are weighted by similarity, and a logistic fit to the examples' leave-one-out
-votes turns them into probabilities; the neighbours are returned as evidence.
+those of an exhaustive search.  Votes are weighted by similarity, and a logistic fit turns them into probabilities; the
+neighbours are returned as evidence.  The fit is to votes out of fold: a fold's examples are scored by an index of the
+others, whose words' weights know nothing of the fold's labels.
 
 Near copies within a class (Jaccard similarity of their sets of word shingles 4/5 or more) are one example: else a much
 copied text's own words would look like signs of its label.
@@ -25,6 +26,7 @@ from __future__ import annotations
 import math
 import pickle
 import re
+import zlib
 from array import array
 from collections import Counter
 from collections.abc import Iterable
@@ -49,6 +51,7 @@ CHI2 = 25.0
 MARGIN = 1e-4
 BATCH = 128
 PRIOR = 0.5
+FOLDS = 4
 
 EVIDENCE = T.ArrayType(T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("cosine", T.DoubleType())]))
 
@@ -179,6 +182,11 @@ class BlockMaxIndex:
         self.at, self.part = at[tail], weight[tail].astype(np.float32)
         self.edges = np.searchsorted(self.term[tail], np.arange(self.heads, len(self.idf) + 1))
 
+    def counts(self, e: int) -> dict[int, int]:
+        """An example's words, by number, and their counts."""
+        a, b = self.starts[e], self.starts[e + 1]
+        return dict(zip(self.term[a:b].tolist(), self.tf[a:b].tolist()))
+
     def vectors(self, first: int = 0, last: int | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
         """The examples' own vectors."""
         some = self.starts[first : len(self.ids) + 1 if last is None else last + 1]
@@ -271,17 +279,31 @@ class Model:
         self.class_weights = class_weights
         self.beta = np.zeros(4)
         if index is not None:
-            n = len(index.ids)
-            own = [f for e in range(0, n, BATCH) for f in index.nearest_all(index.vectors(e, min(e + BATCH, n)), k, range(e, min(e + BATCH, n)))]
-            x = np.array([self.features(*f) for f in own])
-            y = index.labels
+            x, y = self.out_of_fold(), index.labels
             self.beta = logistic(x, y, np.where(y > 0, class_weights[1], class_weights[0]))
 
-    def features(self, at: np.ndarray, cosines: np.ndarray) -> list[float]:
-        """Log odds of the smoothed vote, the best cosine, and whether there is a neighbour at all."""
-        if not len(at):
+    def out_of_fold(self) -> np.ndarray:
+        """Features of the examples, each by an index of the other folds' examples."""
+        whole, out = self.index, np.zeros((len(self.index.ids), 4))
+        fold = np.array([zlib.crc32(str(i).encode()) // 5 % FOLDS for i in whole.ids.tolist()])
+        for f in range(FOLDS):
+            inside, own = np.flatnonzero(fold != f), np.flatnonzero(fold == f)
+            if not len(own):
+                continue
+            if not len(inside):
+                out[own] = self.features(np.zeros(0), np.zeros(0))
+                continue
+            others = BlockMaxIndex(whole.ids[inside], whole.labels[inside], (whole.counts(e) for e in inside), whole.block)
+            for s in range(0, len(own), BATCH):
+                some = own[s : s + BATCH]
+                found = others.nearest_all([others.vector(whole.counts(e)) for e in some], self.k)
+                out[some] = [self.features(others.labels[at], cosines) for at, cosines in found]
+        return out
+
+    def features(self, y: np.ndarray, cosines: np.ndarray) -> list[float]:
+        """Log odds of the neighbours' smoothed vote, the best cosine, and whether there is a neighbour at all."""
+        if not len(y):
             return [1.0, math.log(self.rate / (1 - self.rate)), 0.0, 0.0]
-        y = self.index.labels[at]
         w = cosines**2 * np.where(y > 0, self.class_weights[1], self.class_weights[0]) / max(self.class_weights)
         vote = ((w * y).sum() + PRIOR * self.rate) / (w.sum() + PRIOR)
         return [1.0, math.log(vote / (1 - vote)), cosines[0], 1.0]
@@ -293,7 +315,7 @@ class Model:
         for start in range(0, len(texts), BATCH):
             queries = [self.index.vector(Counter(words(t))) for t in texts[start : start + BATCH]]
             for at, cosines in self.index.nearest_all(queries, self.k):
-                z = float(np.dot(self.beta, self.features(at, cosines)))
+                z = float(np.dot(self.beta, self.features(self.index.labels[at], cosines)))
                 out.append((1 / (1 + math.exp(-min(max(z, -30), 30))), at, cosines))
         return out
 

@@ -74,13 +74,14 @@ def test_blocks_are_skipped_and_scores_equal_loops():
     y = np.array([int(bad) for _, bad in kinds])
     index = toxicity.BlockMaxIndex(np.arange(1000, 1640), y, counts, block=16)
     model = toxicity.Model(index, 0.2, (1.0, 2.5))
-    closed = list(index.closed)
-    assert closed[0] > 0.1 * closed[1]
+    queries = [" ".join(text("xy"[k % 2], k % 3 == 0)) for k in range(40)] + ["", "unknown words", None, "nasty"]
+    scores = model.scores(queries)
+    assert index.closed[0] > 0.1 * index.closed[1]
 
-    def loop(t, w, out=-1):
+    def loop(index, t, w):
         dense = np.zeros(len(index.terms))
         dense[t] = w
-        cos = [0.0 if e == out else float(v[1] @ dense[v[0]]) for e, v in enumerate(index.vectors())]
+        cos = [float(v[1] @ dense[v[0]]) for v in index.vectors()]
         best = sorted((e for e in range(len(cos)) if cos[e] > 0), key=lambda e: (-round(cos[e], 12), index.ids[e]))[:15]
         if not best:
             return [1.0, math.log(0.25), 0.0, 0.0]
@@ -88,12 +89,15 @@ def test_blocks_are_skipped_and_scores_equal_loops():
         p = (sum(v * index.labels[e] for v, e in zip(votes, best)) + 0.5 * 0.2) / (sum(votes) + 0.5)
         return [1.0, math.log(p / (1 - p)), cos[best[0]], 1.0]
 
-    x = np.array([loop(*v, out=e) for e, v in enumerate(index.vectors())])
-    beta = toxicity.logistic(x, index.labels, np.where(index.labels > 0, 2.5, 1.0))
+    # each example by an index of the other folds' texts
+    fold = [zlib.crc32(str(1000 + e).encode()) // 5 % 4 for e in range(640)]
+    others = [[e for e in range(640) if fold[e] != f] for f in range(4)]
+    indexes = [toxicity.BlockMaxIndex(np.array(o) + 1000, y[o], [counts[e] for e in o], block=16) for o in others]
+    x = np.array([loop(i := indexes[fold[e]], *i.vector(counts[e])) for e in range(640)])
+    beta = toxicity.logistic(x, y, np.where(y > 0, 2.5, 1.0))
     assert np.allclose(model.beta, beta, atol=1e-6)
-    queries = [" ".join(text("xy"[k % 2], k % 3 == 0)) for k in range(40)] + ["", "unknown words", None, "nasty"]
-    for q, (score, _, _) in zip(queries, model.scores(queries)):
-        z = float(np.dot(beta, loop(*index.vector(Counter(toxicity.words(q))))))
+    for q, (score, _, _) in zip(queries, scores):
+        z = float(np.dot(beta, loop(index, *index.vector(Counter(toxicity.words(q))))))
         assert abs(score - 1 / (1 + math.exp(-z))) < 1e-6
 
 
@@ -113,6 +117,18 @@ def test_toxicity_scores_are_calibrated(spark):
             assert abs(p[some].mean() - y[some].mean()) < 0.13
 
 
+def test_toxicity_of_random_labels_is_the_base_rate():
+    """Where words tell nothing, scores say no more than the share of toxic examples."""
+    rng = random.Random(1)
+    vocab = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(300)]
+    text = lambda: rng.choices(vocab, k=25)
+    y = np.array([int(rng.random() < 0.29) for _ in range(600)])
+    model = toxicity.Model(toxicity.BlockMaxIndex(np.arange(600), y, [Counter(text()) for _ in y]), y.mean())
+    new = np.array([int(rng.random() < 0.29) for _ in range(1500)])
+    p = np.array([s for s, _, _ in model.scores([" ".join(text()) for _ in new])])
+    assert np.mean((p - new) ** 2) < new.mean() * (1 - new.mean()) + 0.01 and (p >= 0.5).mean() < 0.02
+
+
 def test_toxicity_learns_and_keeps_clean(spark, odd):
     rng = random.Random(2)
     vocab = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(400)]
