@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import ordered_join, rank_tokens
 from ..session import cut
-from . import items
+from . import items, naming
 from .budget import prefix_within_budget
 from .perimeter import readable
 from .positions import numbered
@@ -28,11 +28,20 @@ def adjacency(edges: DataFrame) -> DataFrame:
 def shortest_paths(edges: DataFrame, anchors: DataFrame, hops: int = 3) -> DataFrame:
     """(source, target, hops, edge_ids) for anchor pairs source < target that a path of at most ``hops`` edges joins.
     anchors: column node."""
-    adj = adjacency(edges)
-    step = adj.join(anchors.select(F.col("node").alias("a")), "a", "left_semi").select(F.col("a").alias("source"), F.col("b").alias("at"), F.array("edge_id").alias("ids"), F.array("a", "b").alias("nodes")).where("source <> at")
-    found = [step]
+    adj = cut(adjacency(edges))
+    # rings around the anchors: a path goes on only to nodes from which an anchor is near enough, so a hub's other neighbours
+    # never meet a path
+    ring = cut(anchors.select(F.col("node").alias("b")).distinct())
+    rings = [ring]
     for _ in range(hops - 1):
-        nxt = step.join(adj, step["at"] == adj["a"]).where(~F.array_contains("nodes", F.col("b")))
+        more = adj.join(ring, "b", "left_semi").select(F.col("a").alias("b"))
+        ring = cut(ring.union(more).distinct())
+        rings.insert(0, ring)
+    step = adj.join(anchors.select(F.col("node").alias("a")), "a", "left_semi").join(rings[0], "b", "left_semi").select(F.col("a").alias("source"), F.col("b").alias("at"), F.array("edge_id").alias("ids"), F.array("a", "b").alias("nodes")).where("source <> at")
+    found = [step]
+    for near in rings[1:]:
+        onward = adj.join(near, "b", "left_semi")
+        nxt = step.join(onward, step["at"] == onward["a"]).where(~F.array_contains("nodes", F.col("b")))
         step = nxt.select("source", F.col("b").alias("at"), F.concat("ids", F.array("edge_id")).alias("ids"), F.concat("nodes", F.array("b")).alias("nodes"))
         # a least shortest path's beginnings are least shortest paths themselves: one way to each node is enough
         step = step.groupBy("source", "at").agg(F.min(F.struct("ids", "nodes")).alias("x")).select("source", "at", "x.ids", "x.nodes")
@@ -81,16 +90,6 @@ def mentions(texts: DataFrame, key: list[str], names: DataFrame) -> DataFrame:
     return met.where(F.contains("_text", F.col("_want"))).select(*key, "name")
 
 
-def seed_nodes(items: DataFrame, nodes: DataFrame, limit: int = 3) -> DataFrame:
-    """The first nodes that ranked items (rank, text, source_fact_ids) name in their raw text or share a source fact
-    with; nodes: node, node_order, names, source_fact_ids."""
-    low = F.lower("text")
-    named = F.exists("names", lambda n: low.contains(F.lower(n)))
-    hit = items.select("rank", "text", F.col("source_fact_ids").alias("facts")).join(nodes, named | F.arrays_overlap("facts", "source_fact_ids"))
-    first = hit.groupBy("node").agg(F.min(F.struct("rank", "node_order")).alias("k"))
-    return first.withColumn("pos", F.row_number().over(Window.orderBy("k"))).where(F.col("pos") <= limit).select("node", "pos")
-
-
 def path_complete(paths: DataFrame, selected: DataFrame) -> DataFrame:
     """For each path, whether all its edges are selected, and those that are not."""
     x = paths.select("source", "target", F.explode(F.split("edge_ids", ",")).alias("edge_id"))
@@ -160,18 +159,18 @@ def context(questions: DataFrame, edges: DataFrame, nodes: DataFrame, ranked: Da
     remaining items, in this order.
 
     questions: key, text, scope; edges and their states: key, edge_id, subject, relation, object, state, order and sources;
-    nodes: key, node, node_order, source_fact_ids (a node's name is its id); ranked: state items with score and rank.
+    nodes: key, node, node_order, source_fact_ids and, if they have other names, aliases and label; ranked: state items with
+    score and rank.
     Returns anchors, paths, ordered (items with part, pos, rank, selected) and edges (with ``readable``)."""
     edges = cut(edges.join(questions.select(*key, "scope"), key).withColumn("readable", readable(F.col("state"), F.col("scope"))))
     usable, ranked = edges.where("readable"), cut(ranked)
     positive = ranked.where("score > 0")
-    asked = questions.select(*key, F.explode(F.array_distinct(rank_tokens(F.col("text")))).alias("node"))
-    named = asked.join(nodes.select(*key, "node", "node_order"), [*key, "node"])
-    seed = positive.where(F.col("rank") <= seeds).select(*key, "rank", F.lower("text").alias("_low"), F.col("source_fact_ids").alias("_facts"))
-    hit = nodes.join(seed, key).where(F.contains("_low", F.col("node")) | F.arrays_overlap("source_fact_ids", "_facts"))
-    hit = hit.groupBy(*key, "node").agg(F.min(F.struct("rank", "node_order")).alias("_k"))
-    hit = hit.withColumn("pos", F.row_number().over(Window.partitionBy(*key).orderBy("_k"))).where(F.col("pos") <= seed_limit)
-    ends = cut(anchors(named, hit.select(*key, "node", "pos"), key))
+    known = nodes.withColumnRenamed("node", "node_id")
+    for name, kind in (("aliases", "array<string>"), ("label", "string")):
+        known = known if name in known.columns else known.withColumn(name, F.lit(None).cast(kind))
+    named = naming.mentioned_nodes(questions.select(*key, F.lit(0).alias("question_id"), "text"), known, key).withColumnRenamed("node_id", "node")
+    hit = naming.seed_nodes(positive.where(F.col("rank") <= seeds).select(*key, "rank", "item_id", "text", "source_fact_ids"), known, key, seed_limit).withColumnRenamed("node_id", "node")
+    ends = cut(anchors(named.select(*key, "node", "node_order"), hit.select(*key, "node", "pos"), key))
     paths = cut(question_paths(usable, ends, key, hops))
     own = Window.partitionBy(*key)
     on_path = paths.where("ids IS NOT NULL").select(*key, "k", F.posexplode("ids").alias("hop", "edge_id")).groupBy(*key, "edge_id").agg(F.min(F.struct("k", "hop")).alias("_k"))

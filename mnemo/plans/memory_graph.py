@@ -10,7 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import graph, memory, perimeter
+from ..operators import graph, memory, naming, perimeter
+from ..functions.text import rank_tokens
+from ..session import cut
 from .common import table, turns
 
 KIND = {"signup": "ADD", "click": "ADD", "purchase": "UPDATE", "error": "DELETE"}
@@ -79,10 +81,10 @@ def _edges(spark, d):
 
 
 def _anchors(spark, d):
-    """The first three suppliers, four nations and all regions."""
+    """Suppliers with a number divisible by 20, nations with one divisible by 5, and all regions."""
     e = _edges(spark, d)
     nodes = e.select(F.col("subject").alias("node")).union(e.select("object")).distinct()
-    small = F.col("node").rlike("^(S0000000[1-3]|N0000000[0-3]|R.*)$")
+    small = F.col("node").rlike(r"^(S\d*[02468]0|N\d*[05]|R.*)$")
     return nodes.where(small)
 
 
@@ -92,8 +94,8 @@ def graph_paths_3hop(spark, d):
 
 def _parts(spark, d):
     e, a = _edges(spark, d), _anchors(spark, d)
-    paths = graph.shortest_paths(e, a, 3).persist()  # a few rows per anchor pair, read several times below
-    on_path = graph.path_edges(paths).persist()
+    paths = cut(graph.shortest_paths(e, a, 3))  # read several times below
+    on_path = cut(graph.path_edges(paths))
     ends = e.join(on_path.select("edge_id"), "edge_id", "left_semi")
     nodes = a.union(ends.select("subject")).union(ends.select("object"))
     return paths, on_path, graph.incident_edges(e, nodes, on_path)
@@ -125,6 +127,50 @@ def mentioned_nodes(spark, d):
     return graph.mentions(t, ["kind", "id"], names)
 
 
+def _named(spark, d):
+    """Each user turn but a conversation's last one stands for a node with names of one to three words, and for facts of its
+    own and the next turn; the last turn is the question."""
+    t = turns(spark, d).withColumn("w", rank_tokens(F.col("text")))
+    last = F.max("session_order").over(Window.partitionBy("conv_id"))
+    t = t.withColumn("n_user", last).select("conv_id", "session_order", "n_user", "text", "w")
+    word = lambda a, n: F.array_join(F.slice("w", a, n), " ")
+    s = F.col("session_order").cast("string")
+    nodes = t.where("session_order < n_user AND size(w) > 0").select(
+        "conv_id", F.col("session_order").alias("node_order"), F.col("w")[0].alias("node_id"), F.array(word(2, 2), word(4, 1)).alias("aliases"), word(5, 3).alias("label"),
+        F.array(s, (F.col("session_order") + 1).cast("string")).alias("source_fact_ids"),
+    )
+    items = t.where("session_order < n_user").select("conv_id", (F.col("n_user") - F.col("session_order")).alias("rank"), s.alias("item_id"), "text", F.array(s).alias("source_fact_ids"))
+    return nodes, t.where("session_order = n_user").select("conv_id", F.lit("q").alias("question_id"), "text"), items
+
+
+def graph_named_nodes(spark, d):
+    """Nodes that a conversation's question names by id, alias or label, and by which name first."""
+    nodes, questions, _ = _named(spark, d)
+    return naming.mentioned_nodes(questions, nodes, ["conv_id"]).select("conv_id", "node_id", "node_order", "matched_name")
+
+
+def graph_seed_nodes(spark, d):
+    """The first three nodes of every other turn that the newest turns name in their raw text or share a fact with."""
+    nodes, _, items = _named(spark, d)
+    return naming.seed_nodes(items, nodes.where("node_order % 2 = 1"), ["conv_id"])
+
+
+def graph_provenance(spark, d):
+    """Proposed nodes and edges of each conversation with the messages that they come from, and what is wrong with them: every
+    third node cites an unknown fact, every fifth none; the last edge ends at a node that nobody declares; messages of every fourth
+    turn are not allowed."""
+    t = turns(spark, d).select("conv_id", F.col("session_order").alias("s"))
+    text = lambda c: c.cast("string")
+    s = F.col("s")
+    cited = F.when(s % 5 == 0, F.array().cast("array<string>")).otherwise(F.concat(F.array(text(s)), F.when(s % 3 == 0, F.array(F.lit("F0"))).otherwise(F.array(text(s + 1)))))
+    nodes = t.select("conv_id", s.alias("node_order"), F.concat(F.lit(" N"), text(s)).alias("node_id"), cited.alias("source_fact_ids"))
+    edges = t.select("conv_id", s.alias("order"), F.concat(F.lit("N"), text(s)).alias("subject"), F.concat(F.lit("N"), text(s + 1), F.lit(" ")).alias("object"), F.when(s % 4 == 1, "Superato ").when(s % 4 == 2, "altro").alias("state"), cited.alias("source_fact_ids"))
+    facts = t.select("conv_id", text(s).alias("fact_id"), s.alias("fact_order"), F.array(text(s), text(s - 1)).alias("source_message_ids"))
+    whole, e = naming.normalised_graph(nodes, edges, facts, t.where("s % 4 <> 3").select("conv_id", text(s).alias("message_id")), ["conv_id"], (perimeter.ACTIVE, perimeter.SUPERSEDED, perimeter.RETRACTED), perimeter.ACTIVE)
+    shown = lambda x, kind, name, state: x.select("conv_id", F.lit(kind).alias("kind"), name.alias("name"), F.array_join("source_message_ids", ",").alias("messages"), "provenance_valid", "provenance_problem", state.alias("state"))
+    return shown(whole, "node", F.col("node_id"), F.lit(None).cast("string")).union(shown(e, "edge", F.concat_ws(" ", "edge_id", "subject", "object"), F.concat_ws(" ", "state", text(F.col("state_valid")))))
+
+
 _OPS = """ops AS (SELECT user_id::VARCHAR AS scenario, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS op_order,
     (coalesce(CAST(json_extract_string(props, '$.k') AS BIGINT), 0) % 5)::VARCHAR AS claim_key,
     CASE event_type WHEN 'signup' THEN 'ADD' WHEN 'click' THEN 'ADD' WHEN 'purchase' THEN 'UPDATE' WHEN 'error' THEN 'DELETE' ELSE 'NOOP' END AS kind
@@ -148,7 +194,7 @@ _FOLD = f"""{_OPS},
 _EDGES = """ed AS (SELECT 'ES' || lpad(s_suppkey::VARCHAR, 8, '0') AS edge_id, 'S' || lpad(s_suppkey::VARCHAR, 8, '0') AS subject, 'N' || lpad(s_nationkey::VARCHAR, 8, '0') AS object FROM supplier
     UNION ALL SELECT 'EC' || lpad(c_custkey::VARCHAR, 8, '0'), 'C' || lpad(c_custkey::VARCHAR, 8, '0'), 'N' || lpad(c_nationkey::VARCHAR, 8, '0') FROM customer
     UNION ALL SELECT 'EN' || lpad(n_nationkey::VARCHAR, 8, '0'), 'N' || lpad(n_nationkey::VARCHAR, 8, '0'), 'R' || lpad(n_regionkey::VARCHAR, 8, '0') FROM nation),
-  an AS (SELECT DISTINCT node FROM (SELECT subject AS node FROM ed UNION SELECT object FROM ed) WHERE regexp_full_match(node, 'S0000000[1-3]|N0000000[0-3]|R.*')),
+  an AS (SELECT DISTINCT node FROM (SELECT subject AS node FROM ed UNION SELECT object FROM ed) WHERE regexp_full_match(node, 'S\\d*[02468]0|N\\d*[05]|R.*')),
   adj AS (SELECT edge_id, subject AS a, object AS b FROM ed UNION ALL SELECT edge_id, object, subject FROM ed WHERE subject <> object),
   p1 AS (SELECT a AS source, b AS at1, [edge_id] AS ids, [a, b] AS nodes FROM adj WHERE a IN (SELECT node FROM an)),
   p2 AS (SELECT source, b AS at1, list_append(ids, edge_id) AS ids, list_append(nodes, b) AS nodes FROM p1 JOIN adj ON at1 = a WHERE NOT list_contains(nodes, b)),
@@ -166,7 +212,30 @@ _RANKS = f"""{_EDGES},
     FROM (SELECT edge_id, 'path' AS part, 0 AS k, pos::DOUBLE AS pos FROM pe UNION ALL SELECT edge_id, 'incident', 1, pos FROM ie))"""
 _TOK = "' ' || array_to_string(regexp_extract_all(lower({}), '[a-z0-9_-]+'), ' ') || ' '"
 
+_NAMED = f"""u AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS s, count(*) OVER (PARTITION BY conv_id) AS n, text,
+    regexp_extract_all(lower(text), '[a-z0-9_-]+') AS w FROM conversations WHERE role = 'user'),
+  nd AS (SELECT conv_id, s AS node_order, w[1] AS node_id, [w[1], array_to_string(w[2:3], ' '), array_to_string(w[4:4], ' '), array_to_string(w[5:7], ' ')] AS names, [s, s + 1] AS facts FROM u WHERE s < n AND len(w) > 0),
+  nm AS (SELECT conv_id, node_order, node_id, unnest(names) AS name, generate_subscripts(names, 1) AS place FROM nd)"""
+_PROV = """t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS s, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations WHERE role = 'user'),
+  p AS (SELECT *, s % 5 = 0 AS bare, s % 3 = 0 AS unknown, s + 1 > n AS past FROM t),
+  f AS (SELECT *, CASE WHEN bare THEN [] WHEN unknown OR past THEN [s, s - 1] ELSE [s, s - 1, s + 1, s] END AS ms, CASE WHEN bare THEN [] WHEN unknown THEN ['unknown fact: F0'] WHEN past THEN ['unknown fact: ' || (s + 1)] ELSE [] END AS un FROM p),
+  g AS (SELECT *, list_filter(ms, lambda m: m > 0 AND m % 4 <> 3) AS good, list_transform(list_filter(ms, lambda m: m <= 0 OR m % 4 = 3), lambda m: 'message not allowed: ' || m) AS bad FROM f),
+  h AS (SELECT *, list_concat(bad, un, CASE WHEN bare THEN ['no source fact'] ELSE [] END) AS problems,
+    list_filter(good, lambda m, i: NOT list_contains(good[1:i - 1], m)) AS messages FROM g)"""
 QUERIES = {
+    "graph_named_nodes": (graph_named_nodes, f"""WITH {_NAMED} SELECT u.conv_id, node_id, node_order, arg_min(name, place) AS matched_name FROM u JOIN nm ON u.conv_id = nm.conv_id
+WHERE s = n AND name <> '' AND contains({_TOK.format('text')}, {_TOK.format('name')}) GROUP BY ALL"""),
+    "graph_seed_nodes": (graph_seed_nodes, f"""WITH {_NAMED}, it AS (SELECT conv_id, n - s AS rank, s, lower(text) AS low FROM u WHERE s < n),
+  hit AS (SELECT it.conv_id, rank, s, node_id, node_order FROM it JOIN nm ON it.conv_id = nm.conv_id WHERE node_order % 2 = 1 AND place < 4 AND name <> '' AND contains(low, name)
+    UNION SELECT it.conv_id, rank, s, node_id, node_order FROM it JOIN nd ON it.conv_id = nd.conv_id AND list_contains(facts, s) WHERE node_order % 2 = 1),
+  k AS (SELECT conv_id, node_id, min((rank, node_order, s)) AS k FROM hit GROUP BY ALL),
+  r AS (SELECT conv_id, node_id, k[3]::VARCHAR AS from_item, row_number() OVER (PARTITION BY conv_id ORDER BY k) AS pos FROM k)
+SELECT * FROM r WHERE pos <= 3"""),
+    "graph_provenance": (graph_provenance, f"""WITH {_PROV}
+SELECT conv_id, 'node' AS kind, 'N' || s AS name, array_to_string(messages, ',') AS messages, len(problems) = 0 AS provenance_valid, CASE WHEN len(problems) > 0 THEN array_to_string(problems, '; ') END AS provenance_problem, NULL::VARCHAR AS state FROM h
+UNION ALL SELECT conv_id, 'edge', printf('E%03d N%d N%d', s, s, s + 1), array_to_string(messages, ','), len(problems) = 0 AND NOT past,
+  CASE WHEN len(problems) > 0 OR past THEN array_to_string(list_concat(problems, CASE WHEN past THEN ['object is not a declared node: N' || (s + 1)] ELSE [] END), '; ') END,
+  CASE s % 4 WHEN 1 THEN 'superato true' WHEN 2 THEN 'altro false' ELSE 'attivo true' END FROM h"""),
     "memory_fold_ops": (memory_fold_ops, f"WITH {_FOLD} SELECT scenario, op_order, claim_key, kind, applied, rejection, CASE WHEN applied AND kind IN ('ADD', 'UPDATE') THEN mid END AS entry_id, CASE WHEN applied AND kind IN ('UPDATE', 'DELETE') THEN target END AS supersedes FROM f"),
     "memory_fold_state": (memory_fold_state, f"WITH {_FOLD} SELECT * FROM st"),
     "memory_current_archive": (memory_current_archive, f"WITH {_FOLD} SELECT scenario, CASE WHEN status = 'attivo' THEN 'current' ELSE 'archive' END AS part, count(*) AS entries, count(DISTINCT claim_key) AS keys FROM st GROUP BY ALL"),

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mnemo.functions import parse, text
-from mnemo.operators import evaluate, graph, items, memory, perimeter, positions, quality, resample, validate
+from mnemo.operators import evaluate, graph, items, memory, naming, perimeter, positions, quality, resample, validate
 from mnemo.plans import catalog
 from mnemo.sources import files
 from mnemo.streaming import memory_stream
@@ -87,9 +87,9 @@ def test_perimeters_cells_and_graph_parts(spark):
     assert perimeter.by_activity(asked, F.lit("shared"), F.col("activity"), F.col("asked")).count() == 2
     cells = evaluate.expected_cells(spark.createDataFrame([(1,), (2,)], "cell int"), spark.createDataFrame([(1, "ok")], "cell int, status string"), ["cell"])
     assert {r.cell: r.status for r in cells.collect()} == {1: "ok", 2: "missing"}
-    ranked = spark.createDataFrame([(1, "The Server fails", ["f1"]), (2, "other", ["f2"])], "rank int, text string, source_fact_ids array<string>")
-    nodes = spark.createDataFrame([("N1", 1, ["server"], ["f9"]), ("N2", 2, ["zzz"], ["f2"]), ("N3", 3, ["nope"], ["f8"]), ("N4", 0, ["fails"], ["f7"])], "node string, node_order int, names array<string>, source_fact_ids array<string>")
-    assert [(r.node, r.pos) for r in graph.seed_nodes(ranked, nodes, 2).orderBy("pos").collect()] == [("N4", 1), ("N1", 2)]
+    ranked = spark.createDataFrame([(1, 1, "i1", "The Server fails", ["f1"]), (1, 2, "i2", "other", ["f2"])], "k int, rank int, item_id string, text string, source_fact_ids array<string>")
+    nodes = spark.createDataFrame([(1, "N1", 1, ["server"], ["f9"]), (1, "N2", 2, ["zzz"], ["f2"]), (1, "N3", 3, ["nope"], ["f8"]), (1, "N4", 0, ["fails"], ["f7"])], "k int, node_id string, node_order int, aliases array<string>, source_fact_ids array<string>")
+    assert [(r.node_id, r.pos) for r in naming.seed_nodes(ranked, nodes, ["k"], 2).orderBy("pos").collect()] == [("N4", 1), ("N1", 2)]
     n, e = graph.normalise(spark.createDataFrame([("A", ["f"]), ("B", [])], "node_id string, source_fact_ids array<string>"), spark.createDataFrame([(1, "A", "B", ["f"]), (2, "A", "C", ["f"]), (3, "A", "B", [])], "order int, subject string, object string, source_fact_ids array<string>"))
     assert {r.node_id: r.provenance_valid for r in n.collect()} == {"A": True, "B": False}
     assert {r.edge_id: r.provenance_valid for r in e.collect()} == {"E001": True, "E002": False, "E003": False}
