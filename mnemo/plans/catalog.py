@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from ..session import query
-from . import evaluation, intake, memory_graph, modes, records, retrieval, selection, summaries, validation
+from . import evaluation, inputs, intake, memory_graph, modes, records, retrieval, selection, summaries, validation
 
-ALL = retrieval.QUERIES | memory_graph.QUERIES | evaluation.QUERIES | selection.QUERIES | intake.QUERIES | modes.QUERIES | validation.QUERIES | summaries.QUERIES | records.QUERIES
+ALL = retrieval.QUERIES | memory_graph.QUERIES | evaluation.QUERIES | selection.QUERIES | intake.QUERIES | modes.QUERIES | validation.QUERIES | summaries.QUERIES | records.QUERIES | inputs.QUERIES
 
 
 def queries() -> dict:
