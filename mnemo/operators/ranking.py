@@ -81,3 +81,32 @@ def rank_rounded(scored: DataFrame, corpus: list[str], ties: list[Column]) -> Da
 def top_k(ranked: DataFrame, k: int) -> DataFrame:
     """The first k of each ranking; rows without any shared term stay in."""
     return ranked.where(F.col("rank") <= k)
+
+
+def perimeter_scores(queries: DataFrame, docs: DataFrame, corpus: list[str], doc_key: list[str], members: dict[str, Column]) -> DataFrame:
+    """(corpus, doc_key, perimeter, score) for each document and perimeter that holds it: the scores of ``cosine_scores`` within
+    each perimeter, from one pass over the documents' terms.
+
+    members: {perimeter: condition on columns of ``docs``}, such as bounds of the session order; they may overlap in any way.
+    Document frequencies of all perimeters are conditional counts of one aggregation by term, weights and norms conditional
+    sums of one by document, so a document is not copied for each perimeter that it is in."""
+    flag, own = {n: f"_in{i}" for i, n in enumerate(members)}, {n: i for i, n in enumerate(members)}
+    d = docs.select(*corpus, *doc_key, "text", *[F.coalesce(c, F.lit(False)).alias(flag[n]) for n, c in members.items()])
+    size = d.groupBy(*corpus).agg(*[F.count_if(flag[n]).alias(f"_n{i}") for n, i in own.items()])
+    tf = term_counts(d, [*corpus, *doc_key, *flag.values()])
+    idf = tf.groupBy(*corpus, "term").agg(*[F.count_if(flag[n]).alias(f"_df{i}") for n, i in own.items()]).join(size, corpus)
+    # a word that no document of a perimeter has is no word of it
+    rate = lambda i: F.when(F.col(f"_df{i}") > 0, F.log((1 + F.col(f"_n{i}")) / (1 + F.col(f"_df{i}"))) + 1).alias(f"_idf{i}")
+    idf = idf.select(*corpus, "term", *[rate(i) for i in own.values()])
+    asked = term_counts(queries, corpus).withColumnRenamed("tf", "_q").join(idf, [*corpus, "term"])
+    length = asked.groupBy(*corpus).agg(*[F.sqrt(F.sum((F.col("_q") * F.col(f"_idf{i}")) ** 2)).alias(f"_len{i}") for i in own.values()])
+    met = tf.join(idf, [*corpus, "term"]).join(asked.select(*corpus, "term", "_q"), [*corpus, "term"], "left")
+    sums = []
+    for i in own.values():
+        w = F.col("tf") * F.col(f"_idf{i}")
+        sums += [F.sum(w * F.col("_q") * F.col(f"_idf{i}")).alias(f"_dot{i}"), F.sqrt(F.sum(w * w)).alias(f"_norm{i}")]
+    by_doc = met.groupBy(*corpus, *doc_key).agg(*sums)
+    x = d.drop("text").join(by_doc, [*corpus, *doc_key], "left").join(length, corpus, "left")
+    score = lambda i: F.coalesce(F.try_divide(F.col(f"_dot{i}"), F.col(f"_norm{i}") * F.col(f"_len{i}")), F.lit(0.0))
+    each = F.explode(F.array_compact(F.array(*[F.when(F.col(flag[n]), F.struct(F.lit(n).alias("perimeter"), score(i).alias("score"))) for n, i in own.items()])))
+    return x.select(*corpus, *doc_key, each.alias("_s")).select(*corpus, *doc_key, "_s.perimeter", "_s.score")

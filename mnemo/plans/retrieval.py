@@ -44,6 +44,16 @@ def tfidf_topk_conversations(spark, d):
     return top.select("conv_id", "condition", F.col("session_order").cast("long").alias("session_order"), "score", F.col("rank").cast("long").alias("rank"))
 
 
+def tfidf_perimeters(spark, d):
+    """The two best turns of each conversation under each condition, from one pass over the turns' words."""
+    t = turns(spark, d)
+    docs = perimeter.history(t)
+    last = F.col("session_order") == F.col("n_user") - 1
+    s = ranking.perimeter_scores(perimeter.questions(t), docs, ["conv_id"], ["session_order"], {"C1": last, "C2": F.lit(True)})
+    top = ranking.top_k(ranking.rank_exact(s, ["conv_id", "perimeter"], [F.col("session_order")]), 2)
+    return top.select("conv_id", F.col("perimeter").alias("condition"), F.col("session_order").cast("long").alias("session_order"), F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
 def tfidf_rank_rounded(spark, d):
     return ranked(spark, d).select("conv_id", F.col("session_order").cast("long").alias("session_order"), "score", F.col("rank").cast("long").alias("rank"))
 
@@ -227,6 +237,7 @@ QUERIES = {
 SELECT q.conv_id, condition, count(h.turn) AS n_accessible, coalesce(string_agg(h.turn::VARCHAR, ',' ORDER BY h.turn), '') AS turns
 FROM q CROSS JOIN (VALUES ('C0'), ('C1'), ('C2')) c(condition) LEFT JOIN h ON h.conv_id = q.conv_id AND (condition = 'C2' OR condition = 'C1' AND session_order = n_user - 1) GROUP BY ALL"""),
     "tfidf_topk_conversations": (tfidf_topk_conversations, f"{_TRIALS} SELECT conv_id, condition, session_order, round(score, 6) AS score, rank FROM r WHERE rank <= 2"),
+    "tfidf_perimeters": (tfidf_perimeters, f"{_TRIALS} SELECT conv_id, condition, session_order, round(score, 6) AS score, rank FROM r WHERE rank <= 2"),
     "tfidf_rank_rounded": (tfidf_rank_rounded, f"WITH {R_SQL} SELECT conv_id, session_order, score, rank FROM r"),
     "tfidf_topk_documents_benchmark": (tfidf_topk_documents_benchmark, _BENCH),
     "budget_prefix_t": (budget_prefix_t, _summary_sql(str(BUDGET))),

@@ -84,3 +84,20 @@ def test_oracle_and_retrieval(spark):
 def test_prompt_leaks(spark):
     rows = spark.createDataFrame([(1, "see HTTPS://x and GHSA-2345-6789-cfgh"), (2, "clean"), (3, None), (4, "on OSV.dev, cve-2020-1234")], "k int, p string")
     assert found(reproduce.prompt_leaks(rows, ["k"], "p")) == [("E-PROMPT", "1", "ghsa_id"), ("E-PROMPT", "1", "https://"), ("E-PROMPT", "4", "cve_id"), ("E-PROMPT", "4", "osv.dev")]
+
+
+def test_perimeter_scores_equal_scores_within_each(spark):
+    from mnemo.operators import ranking
+
+    rng = random.Random(12)
+    text = lambda n: " ".join(rng.choice(["ab", "b", "cd", "e-f", "Ab", "zz"]) for _ in range(n)) + rng.choice(["", " !", " only%d" % rng.randrange(9)])
+    docs = spark.createDataFrame([(k, s, rng.choice([text(5), text(1), "", "!"])) for k in range(6) for s in range(7)], "k int, s int, text string")
+    queries = spark.createDataFrame([(k, text(4)) for k in range(5)], "k int, text string")  # one corpus is not asked
+    members = {"all": F.lit(True), "late": F.col("s") >= 5, "middle": F.col("s").between(2, 4), "none": F.lit(False), "odd": F.col("s") % 2 == 1}
+    got = ranking.perimeter_scores(queries, docs, ["k"], ["s"], members)
+    want = None
+    for n, c in members.items():
+        own = ranking.cosine_scores(queries, docs.where(c), ["k"], ["s"]).select("k", "s", F.lit(n).alias("perimeter"), "score")
+        want = own if want is None else want.union(own)
+    rows = lambda df: sorted((r.k, r.s, r.perimeter, round(r.score, 9)) for r in df.collect())
+    assert rows(got) == rows(want) and any(r.score > 0.5 for r in got.collect())
