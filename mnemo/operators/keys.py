@@ -13,6 +13,18 @@ HOT = 1e-3
 LIGHT = 250
 
 
+def private(rows: DataFrame, *names: str) -> list[str]:
+    """Names for helper columns that clash with none of ``rows``."""
+    taken, out = {c.lower() for c in rows.columns}, []
+    for name in names:
+        new = f"__{name}"
+        while new in taken:
+            new = f"_{new}"
+        taken.add(new)
+        out.append(new)
+    return out
+
+
 def join_by_key(rows: DataFrame, table: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """``rows`` joined ("inner" or "left") with ``table``, which has one row for each value of ``keys``.  Rows of hot keys
     meet their few table rows by a broadcast (1 / HOT rows at most) where they are, and rows with a null key, which match

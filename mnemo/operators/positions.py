@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
+from .keys import private
 
 BUCKETS = 1024
 
@@ -16,14 +17,25 @@ BUCKETS = 1024
 def numbered(rows: DataFrame, order: list[str], name: str = "pos") -> DataFrame:
     """Rows with their number, from 1, in the order of ``order`` (which must tell rows apart for a defined result).  Rows
     are dealt to partitions by ranges of the order and counted there; the windows see one row a partition."""
-    own = F.spark_partition_id()
+    p, k, n, b = private(rows, "p", "k", "n", "b")
     x = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     # the rest of a row's id within its partition is its place there
-    x = cut(x.withColumn("_p", own).withColumn("_k", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
-    sizes = x.groupBy("_p").agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    x = x.join(F.broadcast(sizes.select("_p", before.alias("_b"))), "_p")
-    return x.withColumn(name, F.col("_b") + F.col("_k") + 1).drop("_p", "_k", "_b")
+    x = cut(x.withColumn(p, F.spark_partition_id()).withColumn(k, F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
+    sizes = x.groupBy(p).agg(F.count("*").alias(n))
+    before = F.coalesce(F.sum(n).over(Window.orderBy(p).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    x = x.join(F.broadcast(sizes.select(p, before.alias(b))), p)
+    return x.withColumn(name, F.col(b) + F.col(k) + 1).drop(p, k, b)
+
+
+def numbered_within(rows: DataFrame, group: str, order: list[str], name: str = "pos") -> DataFrame:
+    """Rows with their number, from 1, within their group in the order of ``order``: numbers of the whole order by group, less
+    those of the groups before.  No task sees a group; there is one small row a group."""
+    first, at = private(rows, "first", "at")
+    x = numbered(rows, [group, *order], at)
+    low = x.groupBy(group).agg((F.min(at) - 1).alias(first))
+    own = low.withColumnRenamed(group, f"{first}_g")
+    y = x.join(own, x[group].eqNullSafe(own[f"{first}_g"]))
+    return y.withColumn(name, F.col(at) - F.col(first)).drop(first, at, f"{first}_g")
 
 
 def order_statistics(rows: DataFrame, by: list[str], value: str, places: dict[str, Column]) -> DataFrame:

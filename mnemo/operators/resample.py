@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import at_fraction, md5_int, sha_int, sha_text
 from ..session import cut
-from .keys import join_by_key
+from .keys import join_by_key, private
 from .positions import numbered
 
 
@@ -128,8 +128,14 @@ def blocks_of(rows: DataFrame, order: list[str], size: int = 3, strict: bool = T
     not ``strict``."""
     if strict:
         full_blocks(rows, size)
-    n = F.col("_n") - 1
-    return numbered(rows, order, "_n").withColumn("block", (F.floor(n / size) + 1).cast("long")).withColumn("place", (n % size).cast("long")).drop("_n")
+    (at,) = private(rows, "at")
+    return in_blocks(numbered(rows, order, at), at, size)
+
+
+def in_blocks(rows: DataFrame, number: str, size: int) -> DataFrame:
+    """block (from 1) and place (from 0) of rows by their ``number``, which is dropped."""
+    n = F.col(number) - 1
+    return rows.withColumn("block", (F.floor(n / size) + 1).cast("long")).withColumn("place", (n % size).cast("long")).drop(number)
 
 
 def rotation(seed: str, key: Column, n: int) -> Column:
@@ -148,7 +154,8 @@ def reuse_plan(cells: DataFrame, key: list[str], position: list[str], cell: str,
     contents is an error, found where the plan runs."""
     if content is not None:
         apart = F.raise_error(F.concat_ws(" ", F.lit("one hash, two contents:"), *[F.col(k).cast("string") for k in key])).cast("boolean")
-        one = cells.groupBy(*key).agg(F.min(content).alias("_a"), F.max(content).alias("_z")).where(F.when(F.col("_a").eqNullSafe(F.col("_z")), True).otherwise(apart))
+        lo, hi = private(cells, "lo", "hi")
+        one = cells.groupBy(*key).agg(F.min(content).alias(lo), F.max(content).alias(hi)).where(F.when(F.col(lo).eqNullSafe(F.col(hi)), True).otherwise(apart))
         cells = cells.join(one.select(*key), key)
     cells = cut(cells)
     first = cells.groupBy(*key).agg(F.min(F.struct(*position, cell)).alias("_first")).select(*key, F.col(f"_first.{cell}").alias("first_cell"))

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .keys import private
 from .perimeter import ACTIVE, RETRACTED, SUPERSEDED
 from .quality import duplicates, field_rules, missing_reference, union, violation
 
@@ -36,9 +37,10 @@ def without_oracle(rows: DataFrame, forbidden: tuple[str, ...] = ORACLE) -> Data
 
 def all_present(left: DataFrame, right: DataFrame, key: list[str], how: str = "inner") -> DataFrame:
     """An inner join that fails where a row of ``left`` has no partner."""
-    x = left.join(right.withColumn("_there", F.lit(True)), key, "left")
+    (there,) = private(left.join(right.limit(0), key), "there")
+    x = left.join(right.withColumn(there, F.lit(True)), key, "left")
     lost = F.raise_error(F.concat_ws("|", F.lit("no partner"), *[F.col(k).cast("string") for k in key])).cast("boolean")
-    return x.where(F.coalesce("_there", lost)).drop("_there")
+    return x.where(F.coalesce(there, lost)).drop(there)
 
 
 def group_of(question: Column, groups: dict[str, tuple[str, ...]]) -> Column:

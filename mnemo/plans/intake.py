@@ -48,7 +48,7 @@ def proposal_register(spark, d):
     read."""
     p = _proposals(spark, d)
     first = p.groupBy("scenario").agg(F.min("op_order").alias("first"))
-    known = p.where("fact_id <> 'F0'").join(F.broadcast(first), "scenario")
+    known = p.where("fact_id <> 'F0'").join(first, "scenario")
     ids = F.array(F.col("op_order").cast("string"), F.expr("CAST(op_order DIV 2 AS STRING)"))
     known = known.select("scenario", "session", "fact_id", ids.alias("source_message_ids"), F.filter(ids, lambda s: s.cast("long") >= F.col("first")).alias("allowed_message_ids"))
     return intake.register(p, known).select("scenario", "op_id", "has_fact", "provenance_valid", "provenance_problem")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import plain_spaces, sha_int, usable_value
 from ..operators import budget, evaluate, metrics, perimeter, quality, resample
+from ..operators.positions import numbered_within
 from ..operators.quality import LEAKS
 from .common import BUDGET, ranked, table
 from .retrieval import TIERS_SQL
@@ -90,9 +91,7 @@ def resume_pending(spark, d):
 
 def _blocks(spark, d):
     x = table(spark, d, "documents").select("doc_id", "lang", F.sha2(F.concat_ws(":", F.lit(SEED), F.col("doc_id").cast("string")), 256).alias("k"))
-    per = Window.partitionBy("lang").orderBy("k", "doc_id")
-    x = x.withColumn("n", F.row_number().over(per) - 1)
-    return x.withColumn("block", (F.floor(F.col("n") / 3) + 1).cast("long")).withColumn("place", (F.col("n") % 3).cast("long")).drop("n")
+    return resample.in_blocks(numbered_within(x, "lang", ["k", "doc_id"], "n"), "n", 3)
 
 
 def block_of_three(spark, d):

@@ -148,3 +148,61 @@ def test_paths_equal_breadth_first_search(spark):
 
     got = {(r.source, r.target): r.edge_ids for r in graph.shortest_paths(spark.createDataFrame(edges, "edge_id string, subject string, object string"), spark.createDataFrame([(a,) for a in anchors], "node string")).collect()}
     assert got == {(a, b): p for a in anchors for b in anchors if a < b and (p := bfs(a, b))}
+
+
+def test_annotation_template_equals_loops(spark):
+    from mnemo.operators import template
+
+    rng = random.Random(7)
+    ids = lambda n: [f"m{rng.randrange(6)}" for _ in range(n)]
+    cells = [(s, q, m) for s in "st" for q in ("q1", "q2", "q3", "q4") for m in "FG"]
+    facts = [(s, q, f"f{k}", rng.choice([None, [], ids(1), ids(3)])) for s in "st" for q in ("q1", "q2") for k in range(3)]
+    memory = [(s, m, f"m{k}") for s in "st" for m in "FG" for k in range(6) if rng.random() < 0.6]
+    context = [(*c, x) for c in cells for x in sorted(set(ids(6)))]
+    declared = [(s, f"r{k}", rng.choice([[], ids(1), ids(2)])) for s in "st" for k in range(3)]
+    required = [(s, q, f"r{k}") for s in "st" for q in ("q1", "q3") for k in range(4) if rng.random() < 0.7]
+    selected = [(*c, f"i{k}", rng.choice(["edge", "entry"]), ids(3)) for c in cells for k in range(4)]
+    chains = [("s", "q1", ["r0", "r1"]), ("s", "q3", ["r1"]), ("t", "q1", []), ("t", "q3", ["r2"])]
+    df = lambda rows, more: spark.createDataFrame(rows, more)
+    cell, arr = "scenario string, question string, mode string", "source_message_ids array<string>"
+    got = template.annotation_template(
+        df(cells, cell), df(facts, f"scenario string, question string, fact_key string, {arr}"), df(memory, "scenario string, mode string, message_id string"), df(context, f"{cell}, message_id string"),
+        df(required, "scenario string, question string, relation_id string"), df(declared, f"scenario string, relation_id string, {arr}"), df(selected, f"{cell}, item_id string, unit string, {arr}"), df(chains, "scenario string, question string, chain array<string>"),
+    )
+    want = []
+    for s, q, m in cells:
+        has, seen = {x for a, b, x in memory if (a, b) == (s, m)}, {x for *c, x in context if c == [s, q, m]}
+        fs = [(k, v or []) for a, b, k, v in facts if (a, b) == (s, q)]
+        rs, known = [r for a, b, r in required if (a, b) == (s, q)], {r: v for a, r, v in declared if a == s}
+        present = {r for r in rs if known.get(r) and any(set(known[r]) <= set(v) for *c, _, _, v in selected if c == [s, q, m])}
+        missing, gone = sorted(k for k, v in fs if not set(v) <= seen), sorted(set(rs) - present)
+        chain = next((c for a, b, c in chains if (a, b) == (s, q)), [])
+        want.append((s, q, m, len(fs), sum(set(v) <= has for _, v in fs), ",".join(missing), len(rs), ",".join(gone), all(r not in gone for r in chain) if chain else None, False if missing or gone else None))
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+    assert {w[-1] for w in want} == {False, None}
+    rows = template.relation_rows(df(cells, cell), df(required, "scenario string, question string, relation_id string"), df(declared, f"scenario string, relation_id string, {arr}"), df(selected, f"{cell}, item_id string, unit string, {arr}"))
+    assert {r.problem for r in rows.collect() if r.relation_id == "r3"} == {"relation not declared"} and not [r for r in rows.collect() if r.relation_id != "r3" and r.problem]
+
+
+def test_evidence_ranks(spark):
+    from mnemo.operators import template
+
+    a = "array<string>"
+    rows = spark.createDataFrame([("q1", "x", ["m1", "m2"], ["m2", "m1"], ["m2"], ["x"]), ("q2", "x", ["m1"], ["m1"], ["m1"], ["y"]), ("q3", "x", [], [], [], [])], f"question string, activity string, accessible {a}, ranked {a}, retrieved {a}, retrieved_activities {a}")
+    oracle = spark.createDataFrame([("q1", "m1"), ("q2", "m9"), ("q3", "m1")], "question string, evidence_id string")
+    got = {r.question: tuple(r)[1:] for r in template.evidence_ranks(rows, oracle).collect()}
+    assert got == {"q1": (True, False, 2, 0, 0.0), "q2": (False, False, None, 1, 1.0), "q3": (False, False, None, 0, None)}
+
+
+def test_numbers_within_groups_and_clashing_names(spark):
+    from mnemo.operators import positions
+
+    rng = random.Random(3)
+    rows = [(rng.choice(["a", "b", None]), rng.randrange(40), k, "mine") for k in range(120)]
+    df = spark.createDataFrame(rows, "g string, v int, k int, __p string").withColumnRenamed("__p", "_p").withColumn("__k", F.lit("mine"))
+    got = positions.numbered_within(df, "g", ["v", "k"])
+    assert got.columns == ["g", "v", "k", "_p", "__k", "pos"]
+    want = {}
+    for g in ("a", "b", None):
+        want |= {r[2]: n for n, r in enumerate(sorted((r for r in rows if r[0] == g), key=lambda r: (r[1], r[2])), 1)}
+    assert {r.k: r.pos for r in got.collect()} == want
