@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from ..session import query
-from . import annotation, evaluation, inputs, intake, memory_graph, modes, records, retrieval, selection, sqltext, summaries, validation
+from . import annotation, design, evaluation, inputs, intake, memory_graph, modes, records, retrieval, selection, sqltext, summaries, validation
 
-ALL = retrieval.QUERIES | memory_graph.QUERIES | evaluation.QUERIES | selection.QUERIES | intake.QUERIES | modes.QUERIES | validation.QUERIES | summaries.QUERIES | records.QUERIES | inputs.QUERIES | sqltext.QUERIES | annotation.QUERIES
+ALL = retrieval.QUERIES | memory_graph.QUERIES | evaluation.QUERIES | selection.QUERIES | intake.QUERIES | modes.QUERIES | validation.QUERIES | summaries.QUERIES | records.QUERIES | inputs.QUERIES | sqltext.QUERIES | annotation.QUERIES | design.QUERIES
 
 
 def queries() -> dict:
