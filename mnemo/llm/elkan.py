@@ -137,10 +137,11 @@ def add_changes(table: DataFrame, sums: list[list[int]], counts: list[int]) -> N
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(k)), pa.array(n), pa.array(list(total), pa.list_(pa.int64()))], names=["j", "n", "s"])
 
     parts = table.where("cluster <> was").select("cluster", "was", "v").mapInArrow(run, "j long, n long, s array<long>")
-    wide = parts.groupBy("j").agg(F.sum("n").alias("n"), *[F.sum(F.col("s")[i].cast("decimal(38,0)")).alias(f"s{i}") for i in range(width)])
-    for r in wide.collect():  # k rows
-        counts[r.j] += r.n
-        sums[r.j] = [a + int(r[f"s{i}"]) for i, a in enumerate(sums[r.j])]
+    long = parts.select("j", "n", F.posexplode("s").alias("i", "x")).groupBy("j", "i").agg(F.sum("n").alias("n"), F.sum(F.col("x").cast("decimal(38,0)")).alias("x"))
+    for r in long.collect():  # k times the components of a vector
+        sums[r.j][r.i] += int(r.x)
+        if r.i == 0:
+            counts[r.j] += r.n
 
 
 def clustered(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, rounds: int = ROUNDS, size: int = SIZE, scale: int = SCALE, seed: str = "3") -> tuple[DataFrame, np.ndarray]:
