@@ -15,6 +15,7 @@ from ..functions.text import ordered_join, rank_tokens
 from ..session import cut
 from . import items, naming
 from .budget import prefix_within_budget
+from .keys import join_by_key
 from .perimeter import readable
 from .positions import numbered
 
@@ -79,15 +80,16 @@ def mentioned(text: Column, name: Column) -> Column:
     return (F.size(rank_tokens(name)) > 0) & padded(text).contains(padded(name))
 
 
-def mentions(texts: DataFrame, key: list[str], names: DataFrame) -> DataFrame:
-    """(key, name) for each name whose tokens stand side by side in a text.  A text's different tokens meet names by their
-    first token: an equi join instead of every text with every name."""
-    t = texts.select(*key, rank_tokens(F.col("text")).alias("tokens"))
-    n = names.select("name").distinct().withColumn("_want", rank_tokens(F.col("name"))).where(F.size("_want") > 0)
-    n = n.select("name", F.col("_want")[0].alias("_first"), F.concat(F.lit(" "), F.array_join("_want", " "), F.lit(" ")).alias("_want"))
-    padded = F.concat(F.lit(" "), F.array_join("tokens", " "), F.lit(" "))
-    met = t.withColumn("_text", padded).withColumn("_first", F.explode(F.array_distinct("tokens"))).join(n, "_first")
-    return met.where(F.contains("_text", F.col("_want"))).select(*key, "name")
+def mentions(texts: DataFrame, key: list[str], names: DataFrame, limit: int = naming.LIMIT) -> DataFrame:
+    """(key, name) for each text and each row of ``names`` whose tokens stand side by side in it.  A text goes through an
+    automaton of all different names where it is, or in shards beyond ``limit`` names; only keys and found names are joined."""
+    n = cut(names.select("name", naming.spaced(F.col("name")).alias("_form")).where("_form IS NOT NULL"))
+    found = naming.found_forms(texts.select(*key, naming.spaced(F.col("text")).alias("form")), n.select(F.col("_form").alias("form")), "tokens", limit).withColumnRenamed("form", "_form")
+    if n.count() <= limit:
+        met = found.join(F.broadcast(n), "_form")
+    else:
+        met = join_by_key(cut(found), cut(n.groupBy("_form").agg(F.collect_list("name").alias("_names"))), ["_form"]).withColumn("name", F.explode("_names"))
+    return met.select(*key, "name")
 
 
 def path_complete(paths: DataFrame, selected: DataFrame) -> DataFrame:

@@ -90,17 +90,18 @@ def found_forms(texts: DataFrame, forms: DataFrame, how: str, limit: int = LIMIT
 
         return texts.select(*keep, "form").mapInArrow(run, schema)
 
-    # a symbol with many names has several shards, its names dealt to them by hash
+    # a symbol with many names has several shards, its names dealt to them by hash; such symbols are fewer than 2 * shards
+    shards = max(1, int(-(-n // limit)), int(-(-size // characters)))
     named = forms.withColumn("_symbol", first_symbol(F.col("form"), how))
     counts = named.groupBy("_symbol").agg(F.ceil(F.greatest(F.count("*") / limit, F.sum(F.length("form")) / characters)).cast("int").alias("_parts"))
-    counts = cut(counts)
-    shards = max(1, int(-(-n // limit)), int(-(-size // characters)))
-    place = lambda part: F.pmod(F.xxhash64(F.col("_symbol")) + part, F.lit(shards)).cast("int").alias("_shard")
-    dealt = named.join(counts, "_symbol").select(place(F.pmod(F.xxhash64("form"), F.col("_parts"))), "form")
-    sent = texts.select(*keep, "form").where("form IS NOT NULL").withColumn("_symbol", F.explode(symbols(F.col("form"), how))).join(counts, "_symbol")
-    sent = sent.withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
-    # a text comes to a shard once, whichever of its symbols lead there
-    sent = sent.select(*keep, "form", place(F.col("_part"))).groupBy(*keep, "form", "_shard").agg(F.lit(1).alias("_copies"))
+    many = cut(counts.where("_parts > 1"))
+    place = lambda symbol, part: F.pmod(F.pmod(F.xxhash64(symbol), F.lit(shards)) + part, F.lit(shards)).cast("int")
+    dealt = named.join(F.broadcast(many), "_symbol", "left").select(place(F.col("_symbol"), F.pmod(F.xxhash64("form"), F.coalesce("_parts", F.lit(1)))).alias("_shard"), "form")
+    # a text comes to a shard once, whichever of its symbols lead there: it is copied for shards, not for symbols
+    held = F.broadcast(many.agg(F.map_from_entries(F.collect_list(F.struct("_symbol", "_parts"))).alias("_many")))
+    each = lambda s: F.transform(F.sequence(F.lit(0), F.coalesce(F.try_element_at("_many", s), F.lit(1)) - 1), lambda part: place(s, part))
+    sent = texts.select(*keep, "form").where("form IS NOT NULL").crossJoin(held)
+    sent = sent.select(*keep, "form", F.explode(F.array_distinct(F.flatten(F.transform(symbols(F.col("form"), how), each)))).alias("_shard"))
     both = dealt.select(*[F.lit(None).cast(schema[c].dataType).alias(c) for c in keep], "form", "_shard", F.lit(True).alias("_name")).union(sent.select(*keep, "form", "_shard", F.lit(False)))
     both = both.repartition(shards, "_shard").sortWithinPartitions("_shard", F.col("_name").desc())
 
@@ -122,7 +123,7 @@ def found_forms(texts: DataFrame, forms: DataFrame, how: str, limit: int = LIMIT
                 found += [names[k] for k in got]
             yield _emit(batch.columns[: len(keep)], keep, rows, found)
 
-    return both.mapInArrow(scan, schema).distinct()
+    return both.mapInArrow(scan, schema)
 
 
 def _names(nodes: DataFrame, key: list[str], how: str, label: bool) -> DataFrame:

@@ -206,3 +206,29 @@ def test_numbers_within_groups_and_clashing_names(spark):
     for g in ("a", "b", None):
         want |= {r[2]: n for n, r in enumerate(sorted((r for r in rows if r[0] == g), key=lambda r: (r[1], r[2])), 1)}
     assert {r.k: r.pos for r in got.collect()} == want
+
+
+def shuffled(spark):
+    """MB that all stages so far have written to shuffles."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    none = sc._gateway.new_array(sc._jvm.double, 0)
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, none, sc._jvm.java.util.ArrayList())
+    return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size())) / 1e6
+
+
+@pytest.mark.parametrize("limit", [200_000, 30, 1])
+def test_mentions_copy_no_text_for_its_words(spark, limit):
+    """Long texts, of which each word begins a name: a text is not moved once a word."""
+    rng = random.Random(8)
+    words = [f"w{k}" for k in range(1500)]
+    texts = [(k, " ".join(rng.sample(words, 1200)) + (". The end" if k % 3 else "")) for k in range(12)] + [(12, ""), (13, None), (12, "the END the end")]
+    names = [" ".join(rng.sample(words, n)) for n in (1, 1, 2, 2)] + ["the end", "The End", "the end", "end the", "!", None]
+    names += [" ".join(tokens(texts[k][1])[7 : 7 + n]) for k in range(5) for n in (2, 3)]
+    if limit == 30:
+        names += words
+    before = shuffled(spark)
+    got = graph.mentions(spark.createDataFrame(texts, "k int, text string"), ["k"], spark.createDataFrame([(n,) for n in names], "name string"), limit).collect()
+    if limit != 1:
+        assert shuffled(spark) - before < (0.5 if limit > len(names) else 10)
+    assert sorted((r.k, r.name) for r in got) == sorted((k, n) for k, t in texts for n in names if t and n and stands(tokens(t), n))
