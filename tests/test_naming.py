@@ -6,6 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from conftest import shuffled
 from mnemo.operators import graph, naming
 
 NODE = "k int, node_id string, node_order int, aliases array<string>, label string, source_fact_ids array<string>"
@@ -208,15 +209,6 @@ def test_numbers_within_groups_and_clashing_names(spark):
     assert {r.k: r.pos for r in got.collect()} == want
 
 
-def shuffled(spark):
-    """MB that all stages so far have written to shuffles."""
-    sc = spark.sparkContext
-    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
-    none = sc._gateway.new_array(sc._jvm.double, 0)
-    stages = sc._jsc.sc().statusStore().stageList(None, False, False, none, sc._jvm.java.util.ArrayList())
-    return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size())) / 1e6
-
-
 @pytest.mark.parametrize("limit", [200_000, 30, 1])
 def test_mentions_copy_no_text_for_its_words(spark, limit):
     """Long texts, of which each word begins a name: a text is not moved once a word."""
